@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.words import chunks, mix
+from tabulon.plans.lineage import cut
 
 #: n-gram lengths in code points, and the seed of each.
 SIZES = (2, 3, 4)
@@ -26,7 +27,7 @@ SLOT_BITS, PROBES = 20, 3
 #: At most so many n-grams of each length and language go in: the most frequent ones, ties by hash.
 TOP_NGRAMS = 8000
 #: Languages are fitted on at most so many of their labelled documents each, chosen by a hash of the id.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 5_000
 UNKNOWN = "und"
 
 
@@ -118,19 +119,20 @@ class LanguageModel:
 
 
 def _ngram_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, size, gram, n): how many of the language's documents have the n-gram."""
+    """(lang, size, gram, n): how often each n-gram stands in the language's documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 names, code = np.unique(part.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
                 row, size, h = ngrams(part.column("text"))
-                once = np.unique(np.rec.fromarrays([row, size, h], names="r,s,h"))
-                each, n = np.unique(np.rec.fromarrays([code[once.r], once.s, once.h], names="l,s,h"), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[each.l].tolist(), pa.string()), pa.array(each.s, pa.int8()), pa.array(each.h.view(np.int64)), pa.array(n, pa.int64())],
-                    names=["lang", "size", "gram", "n"],
-                )
+                for own, name in enumerate(names):
+                    for i in range(len(SIZES)):
+                        gram, n = np.unique(h[(code[row] == own) & (size == i)], return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([str(name)] * len(gram), pa.string()), pa.array(np.full(len(gram), i, np.int8)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))],
+                            names=["lang", "size", "gram", "n"],
+                        )
 
     return labelled.mapInArrow(work, "lang string, size byte, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
@@ -149,16 +151,12 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top_ngrams: int = T
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
     sample = known.where(draw < rate[F.col("lang")]).select("text", "lang")
-    grams = _ngram_counts(sample)
-    # A language's most frequent n-grams: the least count that lets no more than top_ngrams in, then ties by hash.
-    ranked = (
-        grams.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("m")).groupBy("lang", "size").agg(F.sort_array(F.collect_list(F.struct("n", "m")), False).alias("hist"))
-    )
-    cut = ranked.withColumn(
-        "least",
-        F.aggregate("hist", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(1 << 62).cast("long").alias("least")), lambda s, x: F.when((s["sum"] + x["m"] <= top_ngrams) | (s["sum"] == 0), F.struct((s["sum"] + x["m"]).alias("sum"), x["n"].alias("least"))).otherwise(F.struct((s["sum"] + top_ngrams + 1).alias("sum"), s["least"].alias("least"))), lambda s: s["least"]),
-    ).select("lang", "size", "least")
-    chosen = grams.join(F.broadcast(cut), ["lang", "size"]).where("n >= least")
+    grams = cut(_ngram_counts(sample))
+    # The least count that lets no more than top_ngrams of a language and length in; counts are few, n-grams many.
+    ranked = grams.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("m"))
+    over = Window.partitionBy("lang", "size").orderBy(F.desc("n"))
+    least = ranked.withColumn("upto", F.sum("m").over(over)).where((F.col("upto") <= top_ngrams) | (F.col("upto") == F.col("m"))).groupBy("lang", "size").agg(F.min("n").alias("least"))
+    chosen = grams.join(F.broadcast(least), ["lang", "size"]).where("n >= least")
     languages = sorted(counts)
     planes = np.zeros(((len(languages) + 63) // 64, 1 << SLOT_BITS), np.uint64)
     at = {lang: i for i, lang in enumerate(languages)}
