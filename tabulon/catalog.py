@@ -1,0 +1,6 @@
+"""All registered queries of the analytics layers and the SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
