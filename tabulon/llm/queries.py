@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat_format, embedding_dedup, fingerprints, html_extract, language_id, sentencepiece_codec, source_mixing, token_counts
+from tabulon.llm import chat_format, embedding_dedup, fingerprints, html_extract, jaccard_join, language_id, sentencepiece_codec, source_mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_documents(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,32 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extract": op8_html_extract,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL = {"op1_source_mixing": source_mixing.MIX_SQL}
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+tokens AS (SELECT doc_id, unnest(s) AS t FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= 90 * (len(x.s) + len(y.s) - n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node WHERE r.root < e.b)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, min(root) AS component_id
+FROM sets JOIN reach ON node = sets.doc_id GROUP BY ALL
+"""
+
+ORACLE_SQL = {"op9_jaccard_join": JACCARD_SQL, "op1_source_mixing": source_mixing.MIX_SQL}
