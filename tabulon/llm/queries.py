@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import chat_format, embedding_dedup, fingerprints, html_extract, jaccard_join, language_id, sentencepiece_codec, source_mixing, token_counts
+from tabulon.llm import chat_format, embedding_dedup, fingerprints, html_extract, jaccard_join, language_id, sentencepiece_codec, source_mixing, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_conversations(chat_format.format_conversations(messages))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole text, and digests of the text and of what the pieces decode to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_chat_format": op5_chat_format,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extract": op8_html_extract,
     "op9_jaccard_join": op9_jaccard_join,
@@ -97,4 +103,17 @@ SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, min(root) AS component_id
 FROM sets JOIN reach ON node = sets.doc_id GROUP BY ALL
 """
 
-ORACLE_SQL = {"op9_jaccard_join": JACCARD_SQL, "op1_source_mixing": source_mixing.MIX_SQL}
+SUBSTRING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words)),
+twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, list(i) AS places FROM windows SEMI JOIN twice USING (s) GROUP BY doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list_transform(places, lambda i: range(i, i + 35)))) AS g FROM hits)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+       sha256(coalesce(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE
+         array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]), ' ') END, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE_SQL = {"op6_substring_dedup": SUBSTRING_SQL, "op9_jaccard_join": JACCARD_SQL, "op1_source_mixing": source_mixing.MIX_SQL}
