@@ -20,6 +20,7 @@ Characters outside the vocabulary become byte pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -179,13 +180,27 @@ class Codec:
         return out
 
     def split(self, text: str) -> list[str]:
-        """Marked words of a text with its leading mark; empty for an empty text."""
-        return self.words.findall((MARK + text).replace(" ", MARK)) if text else []
+        """Marked words of a text with its leading mark, given without their first mark; empty for an empty text.
+
+        Where blanks stand alone, plain splitting at them gives just these; a run of blanks is one mark each but the last,
+        which the pattern tells apart.
+        """
+        if "  " in text or text[:1] in (" ", "") or text[-1] == " ":
+            return [w[1:] if w[0] == MARK else MARK_FREE + w for w in self.words.findall((MARK + text).replace(" ", MARK))] if text else []
+        return text.split(" ")
 
     def decode(self, ids) -> str:
         """Text of piece ids; the leading mark's blank is taken off, broken byte runs read as U+FFFD."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return _unmarked(b"".join(map(self.raw.__getitem__, ids)))
+
+
+#: Stands before words that have no mark (they follow a line break), so that they differ from marked ones; a noncharacter, found in no text.
+MARK_FREE = "\uffff"
+
+
+def _unmarked(raw: bytes) -> str:
+    text = raw.decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -193,15 +208,18 @@ def codec(model: str, algorithm: str) -> Codec:
     return Codec(model, algorithm)
 
 
-def encode_texts(tool: Codec, texts: list[str | None], table: dict[str, list[int]]) -> list[list[int]]:
-    """Ids of each text; ``table`` keeps the pieces of words seen before and is renewed when it is full."""
+def encode_texts(tool: Codec, texts: list[str | None], table: dict[str, bytes]) -> list[bytes]:
+    """32-bit ids of each text; ``table`` keeps the pieces of words seen before and is renewed when it is full."""
     split = [tool.split(x or "") for x in texts]
-    new = sorted(set(chain.from_iterable(split)).difference(table))
+    words = set(chain.from_iterable(split))
+    new = words.difference(table)
     if len(table) + len(new) > KEPT_WORDS:
         table.clear()
-        new = sorted(set(chain.from_iterable(split)))
-    table.update(zip(new, tool.encode_sorted(new), strict=True))
-    return [list(chain.from_iterable(map(table.__getitem__, words))) for words in split]
+        new = words
+    lined = sorted(w[1:] if w[:1] == MARK_FREE else MARK + w for w in new)
+    for word, ids in zip(lined, tool.encode_sorted(lined), strict=True):
+        table[word[1:] if word[:1] == MARK else MARK_FREE + word] = array("i", ids).tobytes()
+    return [b"".join(map(table.__getitem__, words)) for words in split]
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, algorithm: str = "bpe") -> DataFrame:
@@ -219,8 +237,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, algorithm: str = "bpe"
         for batch in batches:
             for part in chunks(batch, size=TRIE_BYTES):
                 ids = encode_texts(tool, part.column("text").to_pylist(), table)
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = list_array(flat, np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(n)], names=[*part.schema.names, "piece_ids", "n_pieces"])
 
@@ -232,11 +250,16 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     kept = encoded.drop("decoded")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(model, "bpe")
+        pieces = pa.array(codec(model, "bpe").raw, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                text = [tool.decode(x.as_py() or ()) for x in part.column("piece_ids")]
+                ids = part.column("piece_ids")
+                joined = pieces.take(ids.flatten())  # its bytes stand one after the other
+                _, offsets, data = joined.buffers()
+                ends = np.frombuffer(offsets, np.int32)[np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in ids])])]
+                raw = data.to_pybytes() if data is not None else b""
+                text = [_unmarked(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*part.schema.names, "decoded"])
 
     return kept.mapInArrow(work, kept.withColumn("decoded", F.lit("")).schema)
