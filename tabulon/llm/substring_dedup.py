@@ -100,7 +100,7 @@ class SuffixAutomaton:
             if symbol in self.next[state]:
                 state = self.next[state][symbol]
                 matched += 1
-            while self.length[self.link[state]] >= length:
+            while state and self.length[self.link[state]] >= length:
                 state = self.link[state]
                 matched = self.length[state]
             if matched >= length and self.count[state] >= least:
