@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.words import least_reachable
 from tabulon.plans.components import connected_components
 from tabulon.plans.lineage import cut
 
@@ -75,19 +76,6 @@ def colliding_pairs(q: np.ndarray, x: np.ndarray, half: float, need: int) -> tup
     return np.nonzero(count >= need)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of n nodes."""
-    root = np.arange(n)
-    while True:
-        was = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == was).all():
-            return root
-
-
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, lines: int = LINES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
@@ -168,7 +156,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
             edges_a.append(a)
             edges_b.append(b)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (edges_a, edges_b))
-        root = _roots(len(pdf), a, b)
+        root = least_reachable(len(pdf), a, b)
         some = links > 0
         return pd.DataFrame({"rep": reps[some], "links": links[some], "other": reps[root[some]]})
 

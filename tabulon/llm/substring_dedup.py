@@ -26,11 +26,10 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.words import Grams, chunks, words_of
+from tabulon.llm.words import Grams, chunks, packed, unpack, words_of
 from tabulon.plans.lineage import cut
 
 LENGTH = 35
@@ -138,28 +137,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.hash("text"))
 
 
-def _packed(keyed: DataFrame) -> DataFrame:
-    """The same rows with ``text`` replaced by ``packed``, compressed for the way through a shuffle."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in chunks(batch):
-                packed = pa.array([None if x is None else zip_.compress(x.encode()) for x in part.column("text").to_pylist()], pa.binary())
-                rest = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], packed], names=[*rest, "packed"])
-
-    return keyed.mapInArrow(work, keyed.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema)
-
-
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of batches with ``packed`` replaced by ``text``."""
     for batch in batches:
-        at, size, unzip = 0, 0, zstandard.ZstdDecompressor()
+        at, size = 0, 0
         texts: list[str | None] = []
         rest = [i for i, name in enumerate(batch.schema.names) if name != "packed"]
         for i, x in enumerate(batch.column("packed")):
-            texts.append(unzip.decompress(x.as_py()).decode() if x.is_valid else None)
+            texts.append(unpack(x))
             size += len(texts[-1] or "")
             if size >= 1 << 20 or i == batch.num_rows - 1:
                 part = batch.slice(at, len(texts))
@@ -190,7 +175,7 @@ def fragment_words(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFram
     """(anchor, fragment, weight, words): word hashes of each wanted fragment, read from one of its places."""
     by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "fragment", "weight", "first", "windows")).alias("want"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "want")
-    placed = _packed(keyed).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("want", "packed")
+    placed = packed(keyed).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("want", "packed")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _unpacked(batches):
@@ -318,7 +303,7 @@ def remove_repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     columns = own.columns
     windows = repeated_windows(_keyed(own), length).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "mask")).alias("sd_found"))
     found = windows.select(F.col("doc_id").alias("sd_doc"), F.col("text_key").alias("sd_text"), "sd_found")
-    whole = _packed(own.withColumn("sd_key", F.hash(F.coalesce("text", F.lit("")))))
+    whole = packed(own.withColumn("sd_key", F.hash(F.coalesce("text", F.lit("")))))
     placed = whole.join(found, F.col("doc_id").eqNullSafe(F.col("sd_doc")) & (F.col("sd_key") == F.col("sd_text")), "left").drop("sd_doc", "sd_text", "sd_key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

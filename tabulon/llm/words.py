@@ -12,6 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -166,3 +169,34 @@ def shingle_sets(text: pa.Array, k: int, lower: bool) -> tuple[np.ndarray, np.nd
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Arrow lists from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def packed(frame: DataFrame) -> DataFrame:
+    """``frame`` with the column text replaced by ``packed``: compressed for the way through a shuffle, null staying null."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in chunks(batch):
+                small = pa.array([None if x is None else zip_.compress(x.encode()) for x in part.column("text").to_pylist()], pa.binary())
+                rest = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], small], names=[*rest, "packed"])
+
+    return frame.mapInArrow(work, frame.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema)
+
+
+def unpack(value: pa.Scalar) -> str | None:
+    return zstandard.ZstdDecompressor().decompress(value.as_py()).decode() if value.is_valid else None
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least index reachable from each of n nodes."""
+    root = np.arange(n)
+    while True:
+        was = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == was).all():
+            return root

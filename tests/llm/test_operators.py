@@ -337,10 +337,12 @@ def brute_components(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "least"), [(3, 90, 8), (5, 80, 8), (3, 90, 1), (5, 80, 2), (2, 50, 2)])
-def test_jaccard_components_match_brute_force(spark, monkeypatch, k, percent, least):
+@pytest.mark.parametrize(("k", "percent", "least", "crowd"), [(3, 90, 8, 100), (5, 80, 8, 2), (3, 90, 1, 100), (5, 80, 2, 4), (2, 50, 2, 3)])
+def test_jaccard_components_match_brute_force(spark, monkeypatch, k, percent, least, crowd):
     monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", least)
     monkeypatch.setattr(jaccard_join, "BLOCK_COUNT", 1)
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     rng = np.random.default_rng(5)
     common = [f"line{i}" for i in range(25)]
     rows = []
