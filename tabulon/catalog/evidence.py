@@ -26,7 +26,7 @@ def usage_by_type(spark, sf_dir):
 def usage_batches(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     out = E.usage_batches(e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("at")), e.where("event_type <> 'signup'").select("user_id", F.col("ts").alias("at"), _k().alias("tokens")), "user_id")
-    return out.withColumn("batch_at", F.unix_micros("batch_at"))
+    return out.withColumn("batch_at", F.date_format("batch_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 def errors_since_batch(spark, sf_dir):
@@ -156,7 +156,7 @@ pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_
 ORACLE_SQL = {
     "usage_by_type": f"SELECT event_type, count(*) AS calls, sum({_K}) AS tokens, floor((sum({_K}) / 1e6 * 2 + count(*) / 1e6 * 10) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS cost_usd FROM events GROUP BY 1",
     "usage_batches": f"""WITH u AS (SELECT e.user_id, e.event_id, {_K} AS tokens, (SELECT max(s.ts) FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND s.ts <= e.ts) AS began FROM events e WHERE e.event_type <> 'signup')
-SELECT user_id, epoch_us(began) AS batch_at, count(*) AS events, floor(sum(tokens) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS tokens FROM u WHERE began IS NOT NULL GROUP BY 1, 2""",
+SELECT user_id, strftime(began, '%Y-%m-%d %H:%M:%S.%f') AS batch_at, count(*) AS events, floor(sum(tokens) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS tokens FROM u WHERE began IS NOT NULL GROUP BY 1, 2""",
     "errors_since_batch": "WITH l AS (SELECT user_id, max(ts) AS since FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT event_id, events.user_id FROM events LEFT JOIN l ON l.user_id = events.user_id WHERE event_type = 'error' AND (since IS NULL OR ts >= since)",
     "corroborated_copies": "WITH g AS (SELECT min(doc_id) AS group_id, count(DISTINCT source) AS sources, count(*) AS n FROM documents GROUP BY text) SELECT group_id, sources, CASE WHEN sources > 1 THEN 'corroborated' ELSE 'single_source' END AS level FROM g WHERE n > 1",
     "provenance": "WITH g AS (SELECT min(doc_id) AS group_id, count(*) AS members, count(DISTINCT source) AS themes FROM documents GROUP BY text) SELECT *, CASE WHEN members >= 3 AND themes >= 2 THEN 'strong' WHEN members >= 2 THEN 'moderate' ELSE 'exploratory' END AS tier FROM g",

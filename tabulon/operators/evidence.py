@@ -108,7 +108,7 @@ def usage_batches(markers: DataFrame, usage: DataFrame, key: str) -> DataFrame:
     Markers (key, at) and usage (key, at, tokens) are laid in one line of time
     for each key; the last marker at or before an event owns it.
     """
-    both = markers.select(key, "at", F.col("at").alias("mark"), F.lit(None).cast("double").alias("tokens")).union(usage.select(key, "at", F.lit(None).cast("timestamp"), F.col("tokens").cast("double")))
+    both = markers.select(key, "at", F.col("at").alias("mark"), F.lit(None).cast("double").alias("tokens")).union(usage.select(key, "at", F.lit(None).cast(markers.schema["at"].dataType), F.col("tokens").cast("double")))
     w = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     owned = both.withColumn("batch_at", F.max("mark").over(w)).where("mark IS NULL AND batch_at IS NOT NULL")
     return owned.groupBy(key, "batch_at").agg(F.count(F.lit(1)).alias("events"), jround(F.sum("tokens"), 2).alias("tokens"))

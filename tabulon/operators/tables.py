@@ -235,8 +235,8 @@ def best_split(df: DataFrame, split: str, outcome: str) -> DataFrame:
     sums = each.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss"))
     cuts = each.select("x", F.lead("x").over(over).alias("after"), *[F.sum(c).over(over).alias(c) for c in ("n", "s", "ss")]).where("after IS NOT NULL").join(F.broadcast(sums))
     n2, s2, ss2 = F.col("tn") - F.col("n"), F.col("ts") - F.col("s"), F.col("tss") - F.col("ss")
-    v1 = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    v2 = (ss2 - s2 * s2 / n2) / (n2 - 1)
+    v1 = F.try_divide(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)
+    v2 = F.try_divide(ss2 - s2 * s2 / n2, n2 - 1)
     fits = cuts.where((F.col("n") >= GROUP_LEAST) & (n2 >= GROUP_LEAST)).withColumn("gap", F.col("s") / F.col("n") - s2 / n2).withColumn("se", F.sqrt(v1 / F.col("n") + v2 / n2))
     scored = fits.where("se > 0").withColumn("t", jround(F.col("gap") / F.col("se"), 2)).withColumn("threshold", (F.col("x") + F.col("after")) / 2)
     best = scored.where(F.abs("t") >= CRITICAL[95]).orderBy(F.desc(F.abs("t")), "threshold").limit(1)

@@ -1 +1 @@
-
+"""Readers and writers: tables, transcripts, coding grids, exports."""
