@@ -75,6 +75,8 @@ def leaves(page: str) -> list[tuple[int, tuple[str, ...], bool, bool, str]]:
                     break
             continue
         if tag in VOID:
+            if tag == "br":
+                out.append((block, tuple(t for t, _, _ in stack), stack[-1][1] if stack else False, stack[-1][2] if stack else False, " "))
             continue
         closes = _CLOSES.get(tag) or ({"p"} if tag not in INLINE else ())
         for i in range(len(stack) - 1, -1, -1):

@@ -302,7 +302,7 @@ def test_page_text(spark):
         '<aside>Aside.</aside><form><p>Sign up.</p></form><div class="comments"><p>Reader says, hello.</p></div></article><footer>&copy; x</footer></body></html>'
     )
     plain = "<body><div id=menu><a>One</a><a>Two</a></div><div><p>Long text, with marks. And more, and more.</p><p>Another long text, with marks; again.</p></div><div class='cookie-notice'>We use cookies.</div></body>"
-    rows = [(1, "u", page), (2, "v", None), (3, None, ""), (4, "w", plain), (4, "w", plain), (5, "x", "<p>unclosed <b>text"), (6, "y", "no tags at all"), (7, "z", "<article>" + "<p>word, word.</p>" * 20000 + "</article>")]
+    rows = [(1, "u", page), (2, "v", None), (3, None, ""), (4, "w", plain), (4, "w", plain), (5, "x", "<p>unclosed <b>text"), (6, "y", "no tags at all"), (8, "b", "<article><p>a<br>b &lt;c&gt;</p></article>"), (7, "z", "<article>" + "<p>word, word.</p>" * 20000 + "</article>")]
     got = defaultdict(list)
     for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         got[r.page_id].append(r.text)
@@ -310,6 +310,7 @@ def test_page_text(spark):
     assert got[1] == ["Head & tail\nFirst bit, with text.\nSecond é part, here."]
     assert got[2] == got[3] == [""]
     assert got[4] == ["Long text, with marks. And more, and more.\nAnother long text, with marks; again."] * 2
+    assert got[8] == ["a b <c>"]
     assert got[5] == ["unclosed text"] and got[6] == ["no tags at all"]
     assert got[7] == ["\n".join(["word, word."] * 20000)]
 
