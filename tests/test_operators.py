@@ -85,7 +85,8 @@ def test_row_order_is_kept_by_the_ordinal(spark):
     assert sorted(a) == sorted(b) and sum(r.n for r in a) == 60
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_match_union_find(spark, small):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
     root = {x: x for e in edges for x in e}
@@ -98,7 +99,7 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
