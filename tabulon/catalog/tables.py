@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import stats
 from tabulon.functions.exprs import jround
+from tabulon.operators import charts as K
 from tabulon.operators import tables as T
 
 
@@ -49,6 +50,10 @@ QUERIES = {
     "histogram_lineitem": lambda s, d: T.histogram(_t(s, d, "lineitem"), "l_extendedprice"),
     "category_digest_brands": lambda s, d: T.category_digest(_t(s, d, "part"), "p_brand", "p_partkey"),
     "even_sample_orders": lambda s, d: T.even_sample(_orders(s, d).select("o_orderkey", "o_totalprice"), T.POINTS, "o_orderkey"),
+    "chart_crosstab_orders": lambda s, d: K.crosstab_chart(_orders(s, d), "o_orderpriority", "o_orderstatus", "o_orderkey"),
+    "chart_means_orders": lambda s, d: K.means_chart(_orders(s, d), "o_orderpriority", "o_totalprice", "o_orderkey"),
+    "chart_scatter_line_part": lambda s, d: K.scatter_line(_t(s, d, "part"), "p_partkey", "p_retailprice"),
+    "chart_outliers_events": lambda s, d: K.outlier_strip(_t(s, d, "events"), "value", "event_id"),
     "fitted_line_lineitem": lambda s, d: _t(s, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), jround(F.regr_slope("l_extendedprice", "l_quantity"), 2).alias("slope"), jround(F.regr_intercept("l_extendedprice", "l_quantity"), 1).alias("intercept")),
 }
 
@@ -142,5 +147,17 @@ SELECT w.bin::INTEGER AS bin, {_r("lo + w.bin * width", 4)} AS low, {_r("lo + (w
 SELECT CASE WHEN k > 8 THEN 'Other' ELSE category END AS category, sum(n)::BIGINT AS n, {_r("sum(n) * 100.0::DOUBLE / max(total)", 1)} AS pct FROM r GROUP BY 1""",
     "even_sample_orders": """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, o_totalprice FROM r WHERE n <= 300 OR rank IN (SELECT floor(i * n / 300.0) FROM range(300) t(i))""",
+    "chart_crosstab_orders": f"""WITH {_CELLS},
+p AS (SELECT a.stub, a.n::DOUBLE / a.base AS p1, c.n::DOUBLE / c.base AS p2, a.base AS n_a, c.base AS n_b, (a.n + c.n)::DOUBLE / (a.base + c.base) AS pp FROM cells a JOIN cells c ON a.stub = c.stub AND a.ord < c.ord),
+t AS (SELECT stub, count(*) FILTER (pp * (1 - pp) > 0 AND abs((p1 - p2) / sqrt(pp * (1 - pp) * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b))) >= 1.96) AS significant_pairs, max(abs({_r("(p1 - p2) * 100", 1)})) AS largest_gap FROM p GROUP BY 1)
+SELECT stub, banner, {_r("n * 100.0::DOUBLE / base", 1)} AS pct, significant_pairs, largest_gap FROM cells LEFT JOIN t USING (stub)""",
+    "chart_means_orders": f"WITH {_GROUPS} SELECT (row_number() OVER (ORDER BY mean DESC NULLS LAST, ord))::INTEGER AS position, banner, {_r('mean', 2)} AS mean, n FROM g",
+    "chart_scatter_line_part": f"""WITH s AS (SELECT count(*) AS n, {_r("corr(p_partkey::DOUBLE, p_retailprice::DOUBLE)", 2)} AS r, regr_slope(p_retailprice, p_partkey) AS b, regr_intercept(p_retailprice, p_partkey) AS a FROM part)
+SELECT n, r, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength, {_r("b", 2)} AS slope, {_r("a", 1)} AS intercept FROM s""",
+    "chart_outliers_events": f"""WITH m AS (SELECT event_id AS row, value::DOUBLE AS v, value::DOUBLE - avg(value::DOUBLE) OVER () AS c FROM events WHERE value IS NOT NULL),
+s AS (SELECT count(*) AS n, sum(c) AS s, sum(c * c) AS ss FROM m),
+z AS (SELECT row, v, (c - (s - c) / (n - 1)) / sqrt((ss - c * c) / (n - 1) - ((s - c) / (n - 1)) * ((s - c) / (n - 1))) AS z FROM m CROSS JOIN s),
+o AS (SELECT row, v, {_r("z", 1)} AS z FROM z WHERE abs(z) >= 2)
+SELECT '#' || row_number() OVER (ORDER BY abs(z) DESC, row) AS label, row, v, z FROM o""",
     "fitted_line_lineitem": f"SELECT count(*) AS n, {_r('regr_slope(l_extendedprice, l_quantity)', 2)} AS slope, {_r('regr_intercept(l_extendedprice, l_quantity)', 1)} AS intercept FROM lineitem",
 }
