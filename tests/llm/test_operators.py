@@ -360,6 +360,20 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, k, percent, le
     assert got == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(5, 80), (3, 90)])
+def test_jaccard_links_lone_pairs_with_text_added_or_cut_off(spark, k, percent):
+    rows = []
+    for g in range(120):
+        n = 4 * (5 + g % 12) if percent == 80 else 9 * (2 + g % 12)  # n shingles against n / 4 or n / 9 more: right at the threshold
+        more = n * 100 // percent - n
+        own = [f"g{g}w{i}" for i in range(n + more + k - 1)]
+        rows.append((2 * g, " ".join(own[: n + k - 1] if g % 2 else own)))
+        rows.append((2 * g + 1, " ".join(own if g % 2 else own[: n + k - 1] if g % 4 else own[more:])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_documents(docs(spark, rows), k, percent).collect()}
+    assert got == brute_components(rows, k, percent)
+    assert all(got[2 * g + 1][1] == 2 * g for g in range(120))
+
+
 def test_jaccard_edges(spark):
     got = Counter((r.doc_id, r.component_id) for r in jaccard_join.near_duplicate_documents(docs(spark, edge_rows()), 3, 90).collect())
     assert sum(got.values()) == len(edge_rows()) and got[2, 1] == 2 and got[None, 1] == 1 and got[3, 3] == 1
