@@ -5,8 +5,9 @@ are aggregated by path: text length and punctuation a leaf.  The two ratios
 are smoothed over paths that stand close (same container, or a path and its
 inline parts), fused by product, and paths above a share of the text-weighted
 mean are content.  Menus, headers, footers, asides, forms, scripts, styles
-and blocks whose class or id names an advert, notice, sidebar or comment list
-weigh nothing, whatever their ratios.
+and blocks that have a class or id naming an advert, notice, sidebar or comment
+list weigh nothing, whatever their ratios.  In article and main elements all
+else is content.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form button menu dialog head".split())
 CONTAINERS = frozenset("article main".split())
-#: Words of a class, id or role that mark what isn't the article.
-NAMED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|notices?|newsletter|subscribe|popup|modal|comments?|disqus|respond|related|share|social|complementary|contentinfo|search|widget)(?:$|[\s_-])"
-)
+_NAME = r"(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|notices?|newsletter|subscribe|popup|modal|comments?|disqus|respond|related|share|social|complementary|contentinfo|search|widget)"
+#: A class, id or role that marks what isn't the article: whole, of such words alone, so that 'no-sidebar' or 'page-header' don't count.
+NAMED = re.compile(rf"(?i)(?:^|\s){_NAME}(?:[_-]+{_NAME})*(?:$|\s)")
 #: A path is content from this share of the text-weighted mean of the fused ratio.
 THRESHOLD = 0.2
 
@@ -126,17 +126,16 @@ def content_paths(found: list[tuple[int, tuple[str, ...], bool, bool, str]]) ->
 def main_text(page: str | None) -> str:
     """The article's blocks, white space turned into single blanks, joined by newlines; '' if there is none.
 
-    Where a page has article or main elements, only what stands in them competes, and a block
-    there is never dropped for being short: its path is fused with the rest of its container.
+    Where a page has article or main elements, all that stands in them and isn't boilerplate is
+    kept, however short it is and whatever container of its own it has; elsewhere paths compete.
     """
     found = leaves(page or "")
     inside = [x for x in found if x[3] and not x[2]]
     pool = inside if any(x[4].strip() for x in inside) else found
-    paths = content_paths(pool)
-    boxes = {_block_path(p)[:-1] for p in paths} if pool is inside else set()
+    paths = {x[1] for x in inside} if pool is inside else content_paths(pool)
     blocks: dict[int, list[str]] = defaultdict(list)
     for block, path, bad, _, piece in pool:
-        if not bad and (path in paths or _block_path(path)[:-1] in boxes or not piece.strip()):
+        if not bad and (path in paths or not piece.strip()):
             blocks[block].append(piece)
     joined = (" ".join("".join(b).split()) for _, b in sorted(blocks.items()))
     return "\n".join(b for b in joined if b)

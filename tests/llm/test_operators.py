@@ -315,6 +315,17 @@ def test_page_text(spark):
     assert got[7] == ["\n".join(["word, word."] * 20000)]
 
 
+def test_short_blocks_of_an_article_stay():
+    long = "<p>" + "Some words, and others. " * 9 + "</p>"
+    text = " ".join(("Some words, and others. " * 9).split())
+    inner = f"<h1>Head</h1><div>{long}{long}<ul><li>one<ul><li>deep</li></ul></li><li>two</li></ul></div><table><tr><th>k</th><td>v</td></tr></table><dl><dt>t</dt><dd>d</dd></dl><figure><figcaption>Cap</figcaption></figure>"
+    want = "\n".join(["Head", text, text, "one", "deep", "two", "k", "v", "t", "d", "Cap"])
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<body><ul><li>menu</li></ul><{tag}>{inner}<div class='share'>x</div><nav>y</nav></{tag}><p>after</p></body>") == want
+    assert html_extract.main_text(f"<body><main><div class='page-wrap'><article>{inner}</article></div></main></body>") == want
+    assert html_extract.main_text(f"<body class='x'><div class='layout no-sidebar' id='page-header'><article class='has_comments'>{inner}<div class='x cookie_notice'>x</div></article></div></body>") == want
+
+
 # 9
 
 
