@@ -25,27 +25,23 @@ def hash_uniform(*parts: Column) -> Column:
 def poisson_quantile(u: Column, rate: Column) -> Column:
     """Least k with P(X <= k) > u for X of that mean: the inverse of the distribution, term by term.
 
-    Large means would underflow exp(-rate), so a mean is taken as whole part
-    plus remainder: the whole part is repeated as it is and only the remainder
-    is drawn.  The mean is kept, and the spread is never wider than Poisson's.
+    Terms are taken by their logarithms, as exp(-rate) underflows from about 745 on.
+    The walk ends at mean + 12 deviations + 20, beyond which less than 2**-52 is left.
     """
-    whole = F.when(rate > 8, F.floor(rate)).otherwise(F.lit(0))
-    mean = rate - whole
-    first = F.exp(-mean)
-    # The terms of a mean of at most 8 fall under 2**-52 before k = 60.
+    last = F.ceil(rate + 12 * F.sqrt(rate)).cast("int") + 20
     state = F.aggregate(
-        F.sequence(F.lit(1), F.lit(60)),
-        F.struct(F.lit(0).alias("k"), first.alias("term"), first.alias("sum")),
+        F.sequence(F.lit(1), last),
+        F.struct(F.lit(0).alias("k"), (-rate).alias("log"), F.exp(-rate).alias("sum")),
         lambda s, i: F.when(u < s["sum"], s).otherwise(
             F.struct(
                 i.alias("k"),
-                (s["term"] * mean / i).alias("term"),
-                (s["sum"] + s["term"] * mean / i).alias("sum"),
+                (s["log"] + F.log(rate / i)).alias("log"),
+                (s["sum"] + F.exp(s["log"] + F.log(rate / i))).alias("sum"),
             )
         ),
         lambda s: s["k"],
     )
-    return (whole + state).cast("int")
+    return F.when((rate > 0) & (u > 0), state).otherwise(0).cast("int")
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, budget_ratio: float, temperature: float) -> DataFrame:

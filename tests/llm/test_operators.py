@@ -73,6 +73,22 @@ def test_poisson_quantile_is_the_inverse_distribution(spark):
         assert r.k == k
 
 
+def test_poisson_quantile_of_large_means(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(u, m) for u in (0.0, 0.001, 0.1, 0.5, 0.9, 0.999999) for m in (8.5, 9.0, 20.0, 50.0, 1000.0)]
+    got = spark.createDataFrame(rows, "u double, m double").select("u", "m", source_mixing.poisson_quantile(F.col("u"), F.col("m")).alias("k")).collect()
+    for r in got:
+        total, k = math.exp(-r.m), 0
+        while total <= r.u and r.u > 0:
+            k += 1
+            total += math.exp(k * math.log(r.m) - r.m - math.lgamma(k + 1))
+        assert r.k == k, r
+    few = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("a").alias("source"))
+    n = [r.mix_count for r in source_mixing.mix_sources(few, budget_ratio=20.0).where("mix_copy = 0").collect()]
+    assert abs(np.mean(n) - 20) < 0.5 and abs(np.var(n) - 20) < 3
+
+
 def test_mix_sources_meets_weights_and_edges(spark):
     from pyspark.sql import functions as F
 
