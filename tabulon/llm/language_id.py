@@ -9,12 +9,13 @@ the share that a filter so full returns by chance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.words import chunks, mix
@@ -22,10 +23,14 @@ from tabulon.plans.lineage import cut
 
 #: n-gram lengths in code points, and the seed of each.
 SIZES = (2, 3, 4)
-#: Slots of the filter, a power of two, and slots that each n-gram sets.
-SLOT_BITS, PROBES = 20, 3
-#: At most so many n-grams of each length and language go in: the most frequent ones, ties by hash.
-TOP_NGRAMS = 8000
+#: Slots that each n-gram sets, and the share of slots that a language may fill, about: the filter's size follows from the counts.
+PROBES, FILL = 3, 0.2
+#: An n-gram goes in if it makes up at least this share of its language's n-grams of that length, so at most 1 / share of them do.
+LEAST_SHARE = 1 / 40_000
+#: Languages that a model may have, checked before anything of their number reaches the driver.
+MOST_LANGUAGES = 4096
+#: Code points whose n-grams are taken at once.
+BLOCK = 1 << 16
 #: Languages are fitted on at most so many of their labelled documents each, chosen by a hash of the id.
 SAMPLE_DOCS = 5_000
 UNKNOWN = "und"
@@ -48,46 +53,47 @@ def _fold_table() -> np.ndarray:
     return _CLASS
 
 
-def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, size index, hash) of the n-grams of each row; runs of non-letters count as one blank.
-
-    N-grams lie inside one row and hold a letter; blanks stand at both ends of each row.
-    """
+def folded(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of folded characters; a run of non-letters is one blank, and blanks stand at both ends of each row."""
     table = _fold_table()
-    joined = "\n".join(x if x is not None else "" for x in text.to_pylist())
-    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n_chars = np.fromiter((len(x) if x is not None else 0 for x in text.to_pylist()), np.int64, len(text))
+    own = [x if x is not None else "" for x in text.to_pylist()]
+    raw = np.frombuffer("\n".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n_chars = np.fromiter(map(len, own), np.int64, len(own))
     # Each row is its characters and one separator, a blank.
-    row = np.repeat(np.arange(len(text)), n_chars + 1)
-    code = np.concatenate([table[raw], np.array([32], np.uint32)])
+    code = np.append(table[raw], np.uint32(32))
     blank = code == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
     keep[0] = True
-    row, code = row[keep], code[keep].astype(np.uint64)
-    blank = code == 32
-    rows, sizes, hashes = [], [], []
-    h = np.zeros(len(code), np.uint64)
+    return np.repeat(np.arange(len(own), dtype=np.int32), n_chars + 1)[keep], code[keep]
+
+
+def ngrams(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size index, rows, hashes) of the n-grams of a chunk, BLOCK starts at a time.
+
+    N-grams lie inside one row and hold a letter.
+    """
+    row, code = folded(text)
     for i, n in enumerate(SIZES):
-        if len(code) < n:
-            continue
-        m = len(code) - n + 1
-        h = np.zeros(m, np.uint64)
-        letter = np.zeros(m, bool)
-        for j in range(n):
-            h = h * np.uint64(0x100000001B3) + code[j : j + m]
-            letter |= ~blank[j : j + m]
-        # Two blanks never touch, so an inner blank of a longer n-gram is a word border.
-        ok = letter & (row[:m] == row[n - 1 :])
-        hashes.append(mix(h[ok] + np.uint64(n << 56)))
-        rows.append(row[:m][ok])
-        sizes.append(np.full(int(ok.sum()), i, np.int8))
-    return np.concatenate(rows), np.concatenate(sizes), np.concatenate(hashes)
-
-
-def _slots(h: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << SLOT_BITS) - 1)
-    return [((h >> np.uint64(20 * i)) & mask).astype(np.int64) for i in range(PROBES)]
+        last = len(code) - n + 1
+        for at in range(0, last, BLOCK):
+            m = min(BLOCK, last - at)
+            h, letter = np.zeros(m, np.uint64), np.zeros(m, bool)
+            for j in range(at, at + n):
+                own = code[j : j + m]
+                h *= np.uint64(0x100000001B3)
+                h += own
+                letter |= own != 32
+            # Two blanks never touch, so an inner blank of a longer n-gram is a word border.
+            ok = letter & (row[at : at + m] == row[at + n - 1 : at + n - 1 + m])
+            yield i, row[at : at + m][ok], mix(h[ok] + np.uint64(n << 56))
+
+
+def _slots(h: np.ndarray, slots: int) -> Iterator[np.ndarray]:
+    """PROBES slots of each hash among a power of two of them."""
+    step, mask = (h >> np.uint64(32)) | np.uint64(1), np.uint64(slots - 1)
+    for i in range(PROBES):
+        yield ((h + np.uint64(i) * step) & mask).astype(np.int64)
 
 
 @dataclass
@@ -101,15 +107,20 @@ class LanguageModel:
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each row; score = corrected share of n-grams that the language has."""
         n, k = len(text), len(self.languages)
-        row, _, h = ngrams(text)
-        hits = np.zeros((n, max(k, 1)))
-        for p, plane in enumerate(self.planes):
-            found = plane[_slots(h)[0]]
-            for s in _slots(h)[1:]:
-                found = found & plane[s]
-            for bit in range(min(64, k - 64 * p)):
-                hits[:, 64 * p + bit] = np.bincount(row, (found >> np.uint64(bit)) & np.uint64(1), minlength=n)
-        total = np.bincount(row, minlength=n)
+        hits, total = np.zeros((n, max(k, 1))), np.zeros(n, np.int64)
+        for _, row, h in ngrams(text):
+            if not len(row):
+                continue
+            low, high = int(row[0]), int(row[-1]) + 1
+            row = row - low
+            total[low:high] += np.bincount(row, minlength=high - low)
+            slots = list(_slots(h, self.planes.shape[1]))
+            for p, plane in enumerate(self.planes):
+                found = plane[slots[0]]
+                for s in slots[1:]:
+                    found &= plane[s]
+                for bit in range(min(64, k - 64 * p)):
+                    hits[low:high, 64 * p + bit] += np.bincount(row, (found >> np.uint64(bit)) & np.uint64(1), minlength=high - low)
         share = hits / np.maximum(total, 1)[:, None]
         score = np.clip((share - self.chance) / (1 - self.chance), 0, 1) if k else hits
         best = score.argmax(axis=1)
@@ -125,10 +136,11 @@ def _ngram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 names, code = np.unique(part.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-                row, size, h = ngrams(part.column("text"))
-                for own, name in enumerate(names):
-                    for i in range(len(SIZES)):
-                        gram, n = np.unique(h[(code[row] == own) & (size == i)], return_counts=True)
+                found = list(ngrams(part.column("text")))
+                for i in range(len(SIZES)):
+                    row, h = (np.concatenate([x[c] for x in found if x[0] == i] or [np.zeros(0, t)]) for c, t in ((1, np.int32), (2, np.uint64)))
+                    for own, name in enumerate(names):
+                        gram, n = np.unique(h[code[row] == own], return_counts=True)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([str(name)] * len(gram), pa.string()), pa.array(np.full(len(gram), i, np.int8)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))],
                             names=["lang", "size", "gram", "n"],
@@ -137,33 +149,34 @@ def _ngram_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(work, "lang string, size byte, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, top_ngrams: int = TOP_NGRAMS) -> LanguageModel:
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, least_share: float = LEAST_SHARE) -> LanguageModel:
     """Model of the non-null ``lang`` values of ``labelled`` (doc_id, text, lang).
 
     The fit sees at most about ``sample_docs`` documents a language, taken by a
     hash of the id at a rate set from exact counts; the result's size depends
-    on languages and n-grams only.  Null texts teach nothing.
+    on languages and ``least_share`` only.  Null texts teach nothing.
     """
     known = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in sizes.collect()}
     if not counts:
-        return LanguageModel([], np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(1))
+        return LanguageModel([], np.zeros((1, 1), np.uint64), np.zeros(1))
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
     sample = known.where(draw < rate[F.col("lang")]).select("text", "lang")
     grams = cut(_ngram_counts(sample))
-    # The least count that lets no more than top_ngrams of a language and length in; counts are few, n-grams many.
-    ranked = grams.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("m"))
-    over = Window.partitionBy("lang", "size").orderBy(F.desc("n"))
-    least = ranked.withColumn("upto", F.sum("m").over(over)).where((F.col("upto") <= top_ngrams) | (F.col("upto") == F.col("m"))).groupBy("lang", "size").agg(F.min("n").alias("least"))
-    chosen = grams.join(F.broadcast(least), ["lang", "size"]).where("n >= least")
+    least = grams.groupBy("lang", "size").agg((F.sum("n") * least_share).alias("least"))
+    chosen = grams.join(F.broadcast(least), ["lang", "size"]).where("n >= least").groupBy("lang", "size").agg(F.collect_list("gram").alias("grams"))
+    chosen = [(r["lang"], np.array(r["grams"], np.int64).view(np.uint64)) for r in chosen.toLocalIterator()]
     languages = sorted(counts)
-    planes = np.zeros(((len(languages) + 63) // 64, 1 << SLOT_BITS), np.uint64)
-    at = {lang: i for i, lang in enumerate(languages)}
-    for r in chosen.groupBy("lang", "size").agg(F.slice(F.sort_array(F.collect_list("gram")), 1, top_ngrams).alias("grams")).toLocalIterator():
-        h = np.array(r["grams"], np.int64).view(np.uint64)
-        plane, bit = divmod(at[r["lang"]], 64)
-        for s in _slots(h):
+    many = max(sum(len(h) for lang, h in chosen if lang == own) for own in languages)
+    slots = 1 << max(10, math.ceil(math.log2(max(1, many) * PROBES / FILL)))
+    planes = np.zeros(((len(languages) + 63) // 64, slots), np.uint64)
+    for lang, h in chosen:
+        plane, bit = divmod(languages.index(lang), 64)
+        for s in _slots(h, slots):
             planes[plane][s] |= np.uint64(1 << bit)
     fill = np.array([((planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return LanguageModel(languages, planes, fill**PROBES)

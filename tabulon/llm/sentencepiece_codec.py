@@ -35,7 +35,9 @@ from tabulon.llm.words import chunks, list_array
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text handled with one trie, and distinct words whose pieces a task keeps between tries.
-TRIE_BYTES, KEPT_WORDS = 4 << 20, 400_000
+TRIE_BYTES, KEPT_WORDS = 1 << 20, 150_000
+#: Pairs of neighbouring pieces whose admissibility a task remembers.
+KEPT_PAIRS = 400_000
 _LOST = -1e18
 
 
@@ -56,6 +58,9 @@ class Codec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sample = " a  \ufb01 \uff21 e\u0301\t\n"
+        if sp.decode(sp.encode(sample)) != sample:
+            raise ValueError("the model normalises texts; ids over plain texts would differ from its own")
         self.algorithm = algorithm
         self.unknown = sp.unk_id()
         self.ids: dict[str, int] = {}
@@ -134,7 +139,7 @@ class Codec:
                     key = last[start] << 21 | i if start else -1 - i
                     ok = fits.get(key)
                     if ok is None:
-                        if len(fits) > 2_000_000:
+                        if len(fits) > KEPT_PAIRS:
                             fits.clear()
                         ok = fits[key] = self.follows(word[back[start] : start], word[start:end])
                     if ok:
@@ -194,8 +199,8 @@ class Codec:
         return _unmarked(b"".join(map(self.raw.__getitem__, ids)))
 
 
-#: Stands before words that have no mark (they follow a line break), so that they differ from marked ones; a noncharacter, found in no text.
-MARK_FREE = "\uffff"
+#: Stands before words that have no mark (they follow a line break), so that they differ from marked ones; half a surrogate pair, which no UTF-8 text can hold.
+MARK_FREE = "\ud800"
 
 
 def _unmarked(raw: bytes) -> str:
@@ -226,7 +231,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL, algorithm: str = "bpe"
     """``docs`` plus piece_ids (array<int>) and n_pieces (columns of those names are replaced).
 
     Null and empty texts have no pieces.  Blanks are kept as they are, so
-    decoding gives back the text.  Control strings in a text are ordinary text.
+    decoding gives back the text; only the mark itself, U+2581, reads as a
+    blank, as in the library.  Control strings in a text are ordinary text.
+    A model that normalises texts is refused.
     """
     if algorithm not in ("bpe", "unigram"):
         raise ValueError("algorithm must be bpe or unigram")

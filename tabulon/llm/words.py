@@ -7,7 +7,7 @@ puts those bytes inside a longer character.  Word and n-gram hashes are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Rows handled at once inside a task.
 CHUNK_ROWS = 2000
 
@@ -43,7 +43,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         table = np.full(max(n, 1 << 12), base, np.uint64)
         table[0] = 1
         table = _tables[base] = np.cumprod(table, dtype=np.uint64)
-        if len(table) > 8 * CHUNK_BYTES:
+        if len(table) > 2 * CHUNK_BYTES:
             del _tables[base]
     return table[:n]
 
@@ -166,6 +166,26 @@ def shingle_sets(text: pa.Array, k: int, lower: bool) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(row, np.arange(len(text) + 1))
 
 
+def sets_of(texts: Iterable[str | None], k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of any number of texts, hashed a chunk at a time."""
+    values, ends, held, size = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [], 0
+
+    def flush() -> None:
+        own, offsets = shingle_sets(pa.array(held, pa.string()), k, lower)
+        values.append(own)
+        ends.append(ends[-1][-1] + offsets[1:])
+
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= CHUNK_BYTES:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return np.concatenate(values), np.concatenate(ends)
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Arrow lists from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
@@ -185,6 +205,14 @@ def packed(frame: DataFrame) -> DataFrame:
     return frame.mapInArrow(work, frame.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores behind it until no column in ``taken`` has that name, letter case aside."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def unpack(value: pa.Scalar) -> str | None:
     return zstandard.ZstdDecompressor().decompress(value.as_py()).decode() if value.is_valid else None
 
