@@ -103,10 +103,12 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     Turns are put in order by turn, then role and parts, so repeated rows and
     equal turns stay in a fixed order; null turns come first, null roles are
     empty.  Null parts are no parts.  Null conv_ids form one conversation.
+    Ids travel as texts, so that no null turns them into floats.  Only the four
+    columns are read; an empty table gives no rows.
     Rows are sorted inside partitions and read as a stream, one conversation in
     memory at a time; its formatted text is one value of the result.
     """
-    ordered = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts").cast(PART_TYPE), F.array().cast(PART_TYPE)).alias("parts"))
+    ordered = messages.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts").cast(PART_TYPE), F.array().cast(PART_TYPE)).alias("parts"))
     lined = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.to_json("parts"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +120,6 @@ def format_conversations(messages: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for k, role, own in zip(frame["conv_id"], frame["role"], frame["parts"], strict=True):
-                k = None if pd.isna(k) else int(k)
                 if any_row and k != key:
                     out.append(done(key, roles, parts))
                     roles, parts = [], []
@@ -126,11 +127,12 @@ def format_conversations(messages: DataFrame) -> DataFrame:
                 roles.append(role)
                 parts.append(own)
             if out:
-                yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(out)
         if any_row:
-            yield pd.DataFrame([done(key, roles, parts)]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([done(key, roles, parts)])
 
-    return lined.mapInPandas(work, FORMATTED)
+    made = lined.mapInPandas(work, FORMATTED.replace("conv_id long", "conv_id string"))
+    return made.withColumn("conv_id", F.col("conv_id").cast(messages.schema["conv_id"].dataType))
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
@@ -143,9 +145,10 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
                 turns = read_turns(text)
                 loss = "".join(unescape(text[int(s["start"]) : int(s["end"])]) for s in spans)
                 rows.append((key, len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), _sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    made = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss_spans").mapInPandas(work, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return made.withColumn("conv_id", F.col("conv_id").cast(formatted.schema["conv_id"].dataType))
 
 
 def _sha(text: str) -> str:

@@ -58,21 +58,33 @@ def collisions_needed(lines: int, window: float, recall: float) -> int:
     return need
 
 
+def _unit(vecs: pd.Series) -> np.ndarray:
+    """Unit vectors of one length, scaled first so that no square overflows."""
+    v = np.stack([np.asarray(x, float) for x in vecs])
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def projections(vectors: np.ndarray, lines: int, seed: int) -> np.ndarray:
     """One column a line; the lines depend on the dimension, number and seed only."""
     return vectors @ np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], lines))
 
 
 def colliding_pairs(q: np.ndarray, x: np.ndarray, half: float, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, other) that share at least ``need`` windows; q and x hold one column a line."""
+    """Index pairs (query, other) that share at least ``need`` windows; q and x hold one column a line, under 65,536 rows each.
+
+    On a sorted line a window is a range of ranks, so a line takes three array steps for all pairs.
+    """
     count = np.zeros((len(q), len(x)), np.uint8)
+    rank = np.empty(len(x), np.uint16)
     for line in range(q.shape[1]):
         order = np.argsort(x[:, line], kind="stable")
         lined = x[order, line]
-        low = np.searchsorted(lined, q[:, line] - half, "left")
-        high = np.searchsorted(lined, q[:, line] + half, "right")
-        for i in np.flatnonzero(high > low):
-            count[i, order[low[i] : high[i]]] += 1
+        low = np.searchsorted(lined, q[:, line] - half, "left").astype(np.uint16)
+        high = np.searchsorted(lined, q[:, line] + half, "right").astype(np.uint16)
+        rank[order] = np.arange(len(x), dtype=np.uint16)
+        # Ranks below the window wrap around to large numbers.
+        count += rank[None, :] - low[:, None] < (high - low)[:, None]
     return np.nonzero(count >= need)
 
 
@@ -100,11 +112,11 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
 
     @F.pandas_udf("int")
     def cell(vecs: pd.Series) -> pd.Series:
-        def one(v) -> int:
-            v = np.asarray(v)
-            return math.floor(projections((v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max())[None], 1, seed + 1)[0, 0] / width)
-
-        return vecs.map(one)
+        lengths, out = vecs.map(len).to_numpy(), np.zeros(len(vecs), np.int32)
+        for dim in np.unique(lengths):
+            own = np.flatnonzero(lengths == dim)
+            out[own] = np.floor(projections(_unit(vecs.iloc[own]), 1, seed + 1)[:, 0] / width)
+        return pd.Series(out)
 
     placed = cut(classes.withColumn("cell", cell("vec")))
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("subs"))
@@ -137,9 +149,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
         links, edges_a, edges_b = np.zeros(len(pdf), np.int64), [], []
         for dim in np.unique(lengths):
             own = np.flatnonzero(lengths == dim)
-            v = np.stack([np.asarray(x, float) for x in pdf["vec"].iloc[own]])
-            v /= np.abs(v).max(axis=1, keepdims=True)
-            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            u = _unit(pdf["vec"].iloc[own])
             p = projections(u, lines, seed)
             qs, xs = np.flatnonzero(sides[own] != 1), np.flatnonzero(sides[own] != 0)
             if not len(qs) or not len(xs):
@@ -169,6 +179,8 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
         .join(component.withColumnRenamed("node", "rep"), "rep", "left")
         .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
+    # The cut lets Spark split the many rows of a very common vector: neither side of the join is an aggregate.
+    known = cut(known)
     linked = good.join(known, ["label", "vec"]).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

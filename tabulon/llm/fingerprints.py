@@ -43,8 +43,9 @@ def _bins(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         seed = lack_bin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((attempt + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
         donor = (mix(seed) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
         found = full[lack_row, donor]
-        # The borrowed value is mixed with nothing: two documents that borrow from one equal bin stay equal.
-        least[lack_row[found], lack_bin[found]] = least[lack_row[found], donor[found]]
+        # Mixed with the borrowing bin's number, so that the low bits of bins with one donor are independent;
+        # two documents that borrow from equal bins stay equal.
+        least[lack_row[found], lack_bin[found]] = mix(least[lack_row[found], donor[found]] + lack_bin[found].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         lack_row, lack_bin = lack_row[~found], lack_bin[~found]
         attempt += 1
     return least, some
@@ -150,7 +151,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The last floor(n/2) code points give way to as many of the first code
     points of the next document in descending doc_id (all of it if shorter;
     after the last document comes the first).  Null texts are empty.  A table
-    of one row follows itself; an empty table gives no rows.
+    of one row follows itself; an empty table gives no rows.  Only doc_id and
+    text are read, so other columns may have any name.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

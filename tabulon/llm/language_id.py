@@ -24,7 +24,7 @@ from tabulon.plans.lineage import cut
 #: n-gram lengths in code points, and the seed of each.
 SIZES = (2, 3, 4)
 #: Slots that each n-gram sets, and the share of slots that a language may fill, about: the filter's size follows from the counts.
-PROBES, FILL = 3, 0.2
+PROBES, FILL = 3, 0.1
 #: An n-gram goes in if it makes up at least this share of its language's n-grams of that length, so at most 1 / share of them do.
 LEAST_SHARE = 1 / 40_000
 #: Languages that a model may have, checked before anything of their number reaches the driver.

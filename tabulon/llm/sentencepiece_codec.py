@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text handled with one trie, and distinct words whose pieces a task keeps between tries.
 TRIE_BYTES, KEPT_WORDS = 1 << 20, 150_000
+#: Ids decoded at once, or those of one text.
+DECODED_IDS = 1 << 17
 #: Pairs of neighbouring pieces whose admissibility a task remembers.
 KEPT_PAIRS = 400_000
 _LOST = -1e18
@@ -259,12 +262,16 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(codec(model, "bpe").raw, pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            n = pc.fill_null(pc.list_value_length(batch.column("piece_ids")), 0).to_numpy().astype(np.int64)
+            upto, at = np.concatenate([[0], np.cumsum(n)]), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + DECODED_IDS, "right")) - 1)
+                part = batch.slice(at, to - at)
                 ids = part.column("piece_ids")
                 joined = pieces.take(ids.flatten())  # its bytes stand one after the other
                 _, offsets, data = joined.buffers()
-                ends = np.frombuffer(offsets, np.int32)[np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in ids])])]
+                ends = np.frombuffer(offsets, np.int32)[upto[at : to + 1] - upto[at]]
+                at = to
                 raw = data.to_pybytes() if data is not None else b""
                 text = [_unmarked(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*part.schema.names, "decoded"])

@@ -4,7 +4,8 @@ Each source has a mean repetition rate: rate = budget x share / size, where
 share is its target weight over the sum of weights.  A document's count is
 the Poisson quantile of a uniform number seeded by a hash of its id, so the
 same document always gets the same count and no state is kept.  Documents
-are exploded by their count and sorted globally by a hash of (id, copy).
+are exploded by their count and shuffled globally: a hash of (id, copy) deals
+each copy to a partition and gives its place there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.words import fresh
+from tabulon.plans.lineage import cut
+
+#: Sources whose rates are broadcast, counted before; the rates of more come by a shuffle join.
+MOST_BROADCAST = 100_000
 #: 52 hash bits, exact in a double.
 _HEX_DIGITS, _SCALE = 13, float(1 << 52)
 
@@ -79,14 +85,16 @@ def mix_sources(
     equal counts.  Null sources form one source.  An empty table gives an
     empty result.
     """
-    columns = [c for c in docs.columns if c not in ("mix_copy", "mix_count", "mix_key")]
-    rates = source_rates(docs, weights, budget_ratio, temperature)
-    rated = docs.select(*columns).join(rates, F.col("source").eqNullSafe(F.col("source_key")))
-    count = poisson_quantile(hash_uniform(F.col("doc_id"), F.lit(seed)), F.col("mix_rate"))
+    columns = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_count", "mix_key")]
+    key, rate = fresh("source_key", columns), fresh("mix_rate", columns)
+    rates = cut(source_rates(docs.select("source"), weights, budget_ratio, temperature)).toDF(key, rate)
+    few = rates.count() <= MOST_BROADCAST
+    rated = docs.select(*columns).join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col(key)))
+    count = poisson_quantile(hash_uniform(F.col("doc_id"), F.lit(seed)), F.col(rate))
     counted = rated.withColumn("mix_count", count).where("mix_count > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"), F.lit(seed)))
-    shuffled = copies.withColumn("mix_key", key).orderBy("mix_key", "doc_id")
+    place = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"), F.lit(seed)))
+    shuffled = copies.withColumn("mix_key", place).repartition("mix_key").sortWithinPartitions("mix_key", "doc_id")
     return shuffled.select(*columns, *(["mix_copy", "mix_count", "mix_key"] if add_columns else []))
 
 
@@ -97,16 +105,17 @@ rates AS (
   SELECT source_key,
          1.0::DOUBLE * sum(mix_size) OVER () * (pow(mix_size, 0.5::DOUBLE) / sum(pow(mix_size, 0.5::DOUBLE)) OVER ()) / mix_size AS rate
   FROM sizes),
+terms AS (
+  SELECT source_key, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 20)::BIGINT)) AS k FROM rates),
+steps AS (
+  SELECT source_key, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0::DOUBLE))) OVER (PARTITION BY source_key ORDER BY k) AS p FROM terms),
+distribution AS (SELECT source_key, list(p ORDER BY p) AS ps FROM steps GROUP BY 1),
 draws AS (
-  SELECT d.doc_id, d.text, d.source,
-         CASE WHEN rate > 8 THEN floor(rate) ELSE 0 END AS whole,
-         rate - CASE WHEN rate > 8 THEN floor(rate) ELSE 0 END AS mean,
-         ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || '|mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source_key),
+  SELECT doc_id, text, source, ps,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM documents JOIN distribution ON source IS NOT DISTINCT FROM source_key),
 counted AS (
-  SELECT doc_id, text, source, (whole + list_sum(list_transform(range(0, 61), lambda k:
-           CASE WHEN u >= list_sum(list_transform(range(0, k + 1), lambda j: exp(-mean) * pow(mean, j::DOUBLE) / gamma(j + 1.0::DOUBLE))) THEN 1 ELSE 0 END)))::INTEGER AS mix_count
-  FROM draws)
+  SELECT doc_id, text, source, CASE WHEN u > 0 THEN len(list_filter(ps, lambda p: p <= u)) ELSE 0 END::INTEGER AS mix_count FROM draws)
 SELECT doc_id, text, source, unnest(range(0, mix_count))::INTEGER AS mix_copy, mix_count,
        md5(coalesce(doc_id::VARCHAR, 'null') || '|' || unnest(range(0, mix_count))::VARCHAR || '|mix') AS mix_key
 FROM counted

@@ -2,17 +2,16 @@
 
 A window is a run of ``length`` words.  Words covered by a window that also
 stands elsewhere in the corpus are removed.  Every window has an anchor, its
-least hash of ANCHOR_WORDS consecutive words, so equal windows have equal
-anchors.  Neighbouring windows with the same anchor occurrence form a fragment.
+least hash of some consecutive words, so equal windows have equal anchors.
+Neighbouring windows with the same anchor occurrence form a fragment.
 
 Reference shards hold the distinct fragments of anchors that occur more than
 once, dealt by anchor, so that all places where a window could recur meet in
 one shard of bounded size.  Each shard becomes a suffix automaton with weighted
 occurrence counts, and its fragments are streamed through it: where the
 matching statistic reaches ``length`` words that occur twice, the window goes.
-Anchors with one distinct fragment need no automaton, for all their windows
-recur.  Anchors with very many distinct fragments are counted window by window
-in a shuffle instead, which no hot passage can overfill.
+Anchors with very many distinct fragments are counted window by window in a
+shuffle instead, which no hot passage can overfill.
 
 ``remove_reference_spans`` is the broadcast form, against reference texts of
 bounded size.
@@ -29,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.words import Grams, chunks, packed, unpack, words_of
+from tabulon.llm.words import CHUNK_BYTES, Grams, chunks, fresh, packed, unpack, words_of
 from tabulon.plans.lineage import cut
 
 LENGTH = 35
-ANCHOR_WORDS = 12
+#: Words of an anchor, if the window is longer; and windows that one anchor occurrence may have, one bit each of a mask.
+ANCHOR_WORDS, MASK_BITS = 12, 63
 #: Words that the automaton of one shard holds, about; and distinct fragments of one anchor that go to an automaton.
 SHARD_WORDS, SHARD_FRAGMENTS = 60_000, 64
 #: Most words of the reference texts of the broadcast form, and words of each of its automata.
@@ -107,16 +107,24 @@ class SuffixAutomaton:
         return found
 
 
+def anchor_words(length: int) -> int:
+    """Words of the anchors of windows of that length."""
+    if length < 1:
+        raise ValueError(f"a window has one word or more, not {length}")
+    return max(min(ANCHOR_WORDS, length), length - MASK_BITS + 1)
+
+
 def fragments(text: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     """(row, first window, windows, anchor hash, fragment hash) of each fragment, in order."""
     w = words_of(text)
     g = Grams(w)
-    span = length - ANCHOR_WORDS + 1
+    own = anchor_words(length)
+    span = length - own + 1
     n = len(w.hash)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    start = np.arange(n - ANCHOR_WORDS + 1)
-    grams = g.spans(start, start + ANCHOR_WORDS)
+    start = np.arange(n - own + 1)
+    grams = g.spans(start, start + own)
     least = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1)
     window = np.arange(n - length + 1)
     fits = window + length <= w.first[w.row[window] + 1]
@@ -137,16 +145,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.hash("text"))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of batches with ``packed`` replaced by ``text``."""
+def _unpacked(batches: Iterator[pa.RecordBatch], name: str = "packed") -> Iterator[pa.RecordBatch]:
+    """Chunks of batches with the column of packed texts replaced by ``text``."""
     for batch in batches:
         at, size = 0, 0
         texts: list[str | None] = []
-        rest = [i for i, name in enumerate(batch.schema.names) if name != "packed"]
-        for i, x in enumerate(batch.column("packed")):
+        rest = [i for i, c in enumerate(batch.schema.names) if c != name]
+        for i, x in enumerate(batch.column(name)):
             texts.append(unpack(x))
             size += len(texts[-1] or "")
-            if size >= 1 << 20 or i == batch.num_rows - 1:
+            if size >= CHUNK_BYTES or i == batch.num_rows - 1:
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(texts, pa.string())], names=[*[part.schema.names[c] for c in rest], "text"])
                 at, size, texts = i + 1, 0, []
@@ -172,7 +180,7 @@ def fragment_rows(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def fragment_words(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, fragment, weight, words): word hashes of each wanted fragment, read from one of its places."""
+    """(anchor, fragment, weight, words): word hashes of each wanted fragment, read from one of its places; once for each repeated row there."""
     by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "fragment", "weight", "first", "windows")).alias("want"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "want")
     placed = packed(keyed).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("want", "packed")
@@ -189,13 +197,14 @@ def fragment_words(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFram
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "fragment", "weight", "words"])
 
-    return placed.mapInArrow(work, "anchor long, fragment long, weight long, words binary").dropDuplicates(["anchor", "fragment"])
+    return placed.mapInArrow(work, "anchor long, fragment long, weight long, words binary")
 
 
 def shard_matches(sequences: DataFrame, shards: int, length: int) -> DataFrame:
     """(anchor, fragment, mask): bit i set where window i of the fragment recurs, found shard by shard with an automaton."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["anchor", "fragment"])
         sequences = [np.frombuffer(x, np.uint64).tolist() for x in pdf["words"]]
         automaton = SuffixAutomaton()
         for seq, weight in zip(sequences, pdf["weight"], strict=True):
@@ -238,28 +247,22 @@ def _sequence_hash(flat: np.ndarray, start: np.ndarray, length: int) -> np.ndarr
 
 
 def repeated_windows(keyed: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_key, first, mask) of fragments with windows that recur: bit i is the window at word first + i."""
+    """(doc_id, text_key, first, mask) of fragments with windows that recur: bit i is the window at word first + i.
+
+    Lists of hot anchors are cut before they are joined: with no aggregate in
+    the join's stage, Spark splits the partitions that such an anchor fills.
+    """
     rows = fragment_rows(keyed, length)
-    shared = (
-        rows.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fragment").alias("low"), F.max("fragment").alias("high"))
-        .where("n > 1")
-        .select("anchor", (F.col("low") == F.col("high")).alias("pure"))
-    )
+    shared = cut(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     places = cut(rows.join(shared, "anchor"))
-    whole = places.where("pure").select("doc_id", "text_key", "first", (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("windows")) - 1).alias("mask"))
-    mixed = places.where("NOT pure")
     one = F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at")
-    distinct = mixed.groupBy("anchor", "fragment").agg(F.count(F.lit(1)).alias("weight"), one).select("anchor", "fragment", "weight", "at.*")
-    sequences = cut(fragment_words(keyed, distinct, length))
-    sizes = sequences.groupBy("anchor").agg(F.count(F.lit(1)).alias("fragments"))
-    sized = sequences.join(sizes, "anchor")
-    few = sized.where(F.col("fragments") <= SHARD_FRAGMENTS)
-    words = few.agg(F.sum(F.length("words") / 8)).first()[0] or 0
-    columns = ("anchor", "fragment", "weight", "words")
-    found = shard_matches(few.select(*columns), max(1, round(words / SHARD_WORDS)), length).union(window_matches(sized.where(F.col("fragments") > SHARD_FRAGMENTS).select(*columns), length))
-    some = mixed.join(found.where("mask <> 0"), ["anchor", "fragment"]).select("doc_id", "text_key", "first", "mask")
-    return whole.union(some)
+    distinct = cut(places.groupBy("anchor", "fragment").agg(F.count(F.lit(1)).alias("weight"), one).select("anchor", "fragment", "weight", "at.*"))
+    hot = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_FRAGMENTS).select("anchor"))
+    few, many = distinct.join(hot, "anchor", "left_anti"), distinct.join(hot, "anchor", "left_semi")
+    words = few.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
+    found = shard_matches(fragment_words(keyed, few, length), max(1, round(words / SHARD_WORDS)), length)
+    found = found.union(window_matches(cut(fragment_words(keyed, many, length).dropDuplicates(["anchor", "fragment"])), length))
+    return places.join(found.where("mask <> 0"), ["anchor", "fragment"]).select("doc_id", "text_key", "first", "mask")
 
 
 def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -297,27 +300,30 @@ def remove_repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     input.  Words are separated by ASCII blanks and not changed.  spans are the
     removed runs (word positions, end excluded); kept holds the other words joined
     by one blank.  Null and blank texts have no words.  Repeated rows repeat each
-    other's windows.  An empty table gives no rows.
+    other's windows.  An empty table gives no rows.  A length under 1 is an error.
     """
+    anchor_words(length)
     own = docs.drop(*_ADDED)
     columns = own.columns
-    windows = repeated_windows(_keyed(own), length).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "mask")).alias("sd_found"))
-    found = windows.select(F.col("doc_id").alias("sd_doc"), F.col("text_key").alias("sd_text"), "sd_found")
-    whole = packed(own.withColumn("sd_key", F.hash(F.coalesce("text", F.lit("")))))
-    placed = whole.join(found, F.col("doc_id").eqNullSafe(F.col("sd_doc")) & (F.col("sd_key") == F.col("sd_text")), "left").drop("sd_doc", "sd_text", "sd_key")
+    packed_name, key = fresh("packed", columns), fresh("sd_key", columns)
+    doc, text, many = (fresh(c, [*columns, packed_name, key]) for c in ("sd_doc", "sd_text", "sd_found"))
+    windows = repeated_windows(_keyed(own), length).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "mask")).alias(many))
+    found = windows.select(F.col("doc_id").alias(doc), F.col("text_key").alias(text), many)
+    whole = packed(own.withColumn(key, F.hash(F.coalesce("text", F.lit("")))), packed_name)
+    placed = whole.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text)), "left").drop(doc, text, key)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.arange(63)
-        for part in _unpacked(batches):
+        bits = np.arange(MASK_BITS)
+        for part in _unpacked(batches, packed_name):
             rows = []
-            for text, found in zip(part.column("text").to_pylist(), part.column("sd_found").to_pylist(), strict=True):
-                words = (text or "").encode().split()
+            for own_text, hits in zip(part.column("text").to_pylist(), part.column(many).to_pylist(), strict=True):
+                words = (own_text or "").encode().split()
                 gone = np.zeros(len(words), bool)
-                if found:
-                    first = np.array([x["first"] for x in found], np.int64)
-                    mask = np.array([x["mask"] for x in found], np.int64)
+                if hits:
+                    first = np.array([x["first"] for x in hits], np.int64)
+                    mask = np.array([x["mask"] for x in hits], np.int64)
                     gone = _covered(len(words), (first[:, None] + bits)[(mask[:, None] >> bits) & 1 == 1], length)
-                rows.append((len(words), int(gone.sum()), _spans(gone), b" ".join(compress(words, ~gone) if found else words).decode()))
+                rows.append((len(words), int(gone.sum()), _spans(gone), b" ".join(compress(words, ~gone) if hits else words).decode()))
             yield _added(part, columns, rows)
 
     return placed.mapInArrow(work, _with_added(own).schema)

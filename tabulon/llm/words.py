@@ -191,8 +191,8 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
-def packed(frame: DataFrame) -> DataFrame:
-    """``frame`` with the column text replaced by ``packed``: compressed for the way through a shuffle, null staying null."""
+def packed(frame: DataFrame, name: str = "packed") -> DataFrame:
+    """``frame`` with the column text replaced by ``name``: compressed for the way through a shuffle, null staying null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -200,9 +200,9 @@ def packed(frame: DataFrame) -> DataFrame:
             for part in chunks(batch):
                 small = pa.array([None if x is None else zip_.compress(x.encode()) for x in part.column("text").to_pylist()], pa.binary())
                 rest = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], small], names=[*rest, "packed"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], small], names=[*rest, name])
 
-    return frame.mapInArrow(work, frame.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema)
+    return frame.mapInArrow(work, frame.drop("text").withColumn(name, F.lit(None).cast("binary")).schema)
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:

@@ -89,6 +89,16 @@ def test_poisson_quantile_of_large_means(spark):
     assert abs(np.mean(n) - 20) < 0.5 and abs(np.var(n) - 20) < 3
 
 
+@pytest.mark.parametrize("rate", [3.0, 9.0, 20.0])
+def test_replication_has_the_variance_of_its_mean(spark, rate):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "'t' AS text", "'a' AS source", "1 AS mix_rate", "2 AS SOURCE_KEY")
+    got = source_mixing.mix_sources(rows, budget_ratio=rate)
+    assert got.columns == [*rows.columns, "mix_copy", "mix_count", "mix_key"]
+    n = {r.doc_id: r.mix_count for r in got.select("doc_id", "mix_count").distinct().collect()}
+    n = np.array([n.get(i, 0) for i in range(6000)])
+    assert abs(n.mean() - rate) < 0.05 * rate and abs(n.var() - rate) < 0.08 * rate
+
+
 def test_mix_sources_meets_weights_and_edges(spark):
     from pyspark.sql import functions as F
 
@@ -122,6 +132,14 @@ def test_fingerprint_edits(spark):
     assert got[1].fingerprint == got[2].fingerprint and got[3].fingerprint == ""
 
 
+def test_borrowed_bins_of_short_texts_are_independent():
+    low, some = fingerprints.signatures(pa.array([f"one{i} two{i} three{i} four{i} five{i}" for i in range(401)]))
+    near = fingerprints.likeness(low[:-1], low[1:], some[:-1], some[1:])
+    assert near.max() < 0.12 and near.mean() < 0.05
+    same, ok = fingerprints.signatures(pa.array(["a b c", "A b  c"]))
+    assert fingerprints.likeness(same[:1], same[1:], ok[:1], ok[1:])[0] == 1.0
+
+
 def test_fingerprint_edits_with_repeated_and_null_ids(spark):
     frame = docs(spark, edge_rows())
     assert fingerprints.fingerprint_edits(frame).count() == len(edge_rows())
@@ -157,9 +175,80 @@ def test_crossing_tokens_follow_the_rule():
     assert token_counts.allot(ends, bounds, "start")[1].tolist() == [1, 0]
 
 
+def brute_allot(text, spans, rule):
+    """Tokens of each span, from the library's own token bytes; spans are in characters."""
+    encoder, _ = token_counts._encoder(token_counts.VOCABULARY, token_counts.PATTERN)
+    at, owner = [], []
+    for i, (a, b) in enumerate(spans):
+        owner += [i] * len(text[a:b].encode())
+    for t in encoder.encode_ordinary(text):
+        n = len(encoder.decode_single_token_bytes(t))
+        at.append(owner[:n])
+        owner = owner[n:]
+    out = [0.0] * len(spans)
+    for own in at:
+        c = Counter(own)
+        if rule == "start":
+            out[own[0]] += 1
+        elif rule == "majority":
+            out[max(c, key=lambda i: (c[i], -i))] += 1
+        else:
+            for i, n in c.items():
+                out[i] += n / len(own)
+    return out
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_tokens_of_spans_and_fields_match_brute_force(spark, rule):
+    text = "Hällo wörld, 漢字 and 🙂🙂 everything"
+    cuts = [(2, 7), (7, 7), (9, 20), (20, 24)]
+    whole = [(0, 2), (2, 7), (7, 7), (7, 9), (9, 20), (20, 24), (24, len(text))]
+    rows = [(1, text, cuts, "x"), (2, None, None, "x"), (3, "abc", [], "x"), (4, "abc", [(0, 3)], "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:int,end:int>>, spans string")
+    got = defaultdict(list)
+    for r in token_counts.token_counts(frame, rule, spans="parts").collect():
+        got[r.doc_id].append(r)
+    own = sorted(got[1], key=lambda r: (r.start_char, r.end_char))
+    assert [(r.start_char, r.end_char) for r in own] == whole and [r.section for r in own] == [-1, 0, 1, -1, 2, 3, -1]
+    assert [r.n_tokens for r in own] == pytest.approx(brute_allot(text, whole, rule))
+    assert [(r.section, r.doc_tokens) for r in got[2]] == [(-1, 0)] and [r.section for r in got[3]] == [-1] and [r.section for r in got[4]] == [0]
+    with pytest.raises(Exception, match="overlaps"):
+        token_counts.token_counts(spark.createDataFrame([(1, "ab", [(0, 2), (1, 2)])], "doc_id long, text string, p array<struct<start:int,end:int>>"), spans="p").collect()
+    fields = spark.createDataFrame([(1, "Tïtle", "Some body, here"), (2, None, "x"), (3, "a", None)], "doc_id long, title string, body string")
+    by = defaultdict(list)
+    for r in token_counts.token_counts(fields, rule, fields=["title", "body"]).collect():
+        by[r.doc_id].append(r)
+    for i, (a, b) in {1: ("Tïtle", "Some body, here"), 2: ("", "x"), 3: ("a", "")}.items():
+        spans = [(0, len(a) + 1), (len(a) + 1, len(a) + 1 + len(b))]
+        assert [r.n_tokens for r in sorted(by[i], key=lambda r: r.section)] == pytest.approx(brute_allot(f"{a}\n{b}", spans, rule))
+    with pytest.raises(ValueError):
+        token_counts.token_counts(fields, "other")
+
+
 # 4
 
 
+def test_scores_match_brute_force_shares(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("le chat et la souris", "fr"), ("the dog and the cat", "en")])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+
+    def grams(text):
+        folded = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        return [folded[i : i + n] for n in language_id.SIZES for i in range(len(folded) - n + 1) if folded[i : i + n].strip()]
+
+    known = defaultdict(set)
+    for _, t, x in rows:
+        known[x] |= set(grams(t))
+    for text in ["the katze sat", "Der Hund, the dog!", "la souris 123 et le chien", "x" * 5000]:
+        shares = {x: sum(g in known[x] for g in grams(text)) / len(grams(text)) for x in known}
+        lang, score = model.predict(pa.array([text]))
+        assert shares[lang[0]] >= max(shares.values()) - 0.03 and abs(score[0] - max(shares.values())) < 0.05
+    long = " ".join(t for _, t, _ in rows) + " "
+    one, many = model.predict(pa.array([long * 4000])), model.predict(pa.array([long]))
+    assert one[0] == many[0] and abs(one[1][0] - many[1][0]) < 0.01
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(language_id.training_rows(frame))
@@ -208,6 +297,18 @@ def test_conversations_read_back(spark):
     assert chat_format.format_conversations(parts.limit(0)).count() == 0
 
 
+def test_large_and_null_ids_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    ids = [*range(2**53, 2**53 + 40), None, -(2**63), 2**63 - 1]
+    frame = spark.createDataFrame([(i, t, "user", str(i)) for i in ids for t in (0, 1)], "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(frame.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    assert made.schema["conv_id"].dataType.simpleString() == "bigint"
+    got = {r.conv_id: r for r in made.collect()}
+    assert set(got) == set(ids) and all(chat_format.read_turns(got[i].formatted) == [("user", str(i))] * 2 for i in ids)
+    assert {(r.conv_id, r.n_turns) for r in chat_format.digest_conversations(made).collect()} == {(i, 2) for i in ids}
+
+
 def test_attachments_leave_placeholders_and_references(spark):
     parts = [("text", "see ", None, None), ("image", None, "s3://x.png", 3), ("audio", None, "y", None), ("document", None, "z", 2), ("text", "<|image|>", None, None)]
     frame = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_format.PART_TYPE}")
@@ -235,7 +336,7 @@ def brute_substring(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("length", "most"), [(35, 64), (14, 64), (14, 2)])
+@pytest.mark.parametrize(("length", "most"), [(35, 64), (14, 64), (14, 2), (1, 8), (8, 64), (11, 2), (12, 64), (74, 1), (75, 64), (100, 1)])
 def test_substring_dedup_matches_brute_force(spark, monkeypatch, length, most):
     monkeypatch.setattr(substring_dedup, "SHARD_FRAGMENTS", most)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 400)
@@ -245,10 +346,16 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, length, most):
     rows = [(i, " ".join([fill(int(rng.integers(0, 30))), shared[int(rng.integers(0, 6))], fill(int(rng.integers(0, 9))), shared[int(rng.integers(0, 6))]])) for i in range(40)]
     rows += [(100, " ".join(["x"] * 90)), (101, None), (102, ""), (103, LONG), (7, "other text " + shared[5]), (None, shared[4]), (104, shared[3] + " " + shared[3])]
     rows += rows[:2]
-    frame = docs(spark, rows).withColumnRenamed("lang", "kept")
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeated_spans(frame, length).collect())
+    rows += [(200 + i, " ".join(f"v{j}" for j in range(i, i + 130))) for i in range(0, 30, 10)]
+    frame = docs(spark, rows).withColumnRenamed("lang", "kept").withColumnRenamed("source", "sd_found").withColumnRenamed("n_chars", "Packed").selectExpr("*", "1 AS SD_KEY", "2 AS first")
+    made = substring_dedup.remove_repeated_spans(frame, length)
+    assert set(made.columns) == {"doc_id", "text", "sd_found", "Packed", "SD_KEY", "first", "n_words", "n_removed", "spans", "kept"}
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in made.collect())
     assert got == brute_substring(rows, length)
-    assert substring_dedup.remove_repeated_spans(frame.limit(0), length).count() == 0
+    if length == 14:
+        assert substring_dedup.remove_repeated_spans(frame.limit(0), length).count() == 0
+        with pytest.raises(ValueError):
+            substring_dedup.remove_repeated_spans(frame, 0)
 
 
 def test_reference_spans_are_removed_by_broadcast_automata(spark):
@@ -275,7 +382,7 @@ def test_automaton_counts_occurrences(sequences, length):
 # 7
 
 
-TEXTS = ["", "  a  b ", "pa.\nLa", "漢字 🙂 xyz", "a b\n\n c", " lead", "trail ", "\n", "tab\tx"]
+TEXTS = ["", "  a  b ", "pa.\nLa", "漢字 🙂 xyz", "a b\n\n c", " lead", "trail ", "\n", "tab\tx", "\uffffa b", "a \uffff", "\uffff\n\uffff x"]
 
 
 def test_pieces_equal_plain_merging_and_round_trip(spark):
@@ -342,6 +449,32 @@ def test_short_blocks_of_an_article_stay():
     assert html_extract.main_text(f"<body class='x'><div class='layout no-sidebar' id='page-header'><article class='has_comments'>{inner}<div class='x cookie_notice'>x</div></article></div></body>") == want
 
 
+def test_ratios_choose_where_names_say_nothing():
+    body = "<p>Long text, with marks. And more, and more of it.</p><p>Another text; long, with marks.</p>"
+    pages = [
+        f"<body><div><a>One</a> <a>Two</a> <a>Three</a></div><div><h2>Short</h2>{body}<ul><li>item</li></ul></div><div>© 2020 Foo</div></body>",
+        f"<body><article>{body}<ul><li><a>Share</a></li><li><a>Tweet</a></li><li><a>Mail</a></li></ul></article></body>",
+        f"<body><table><tr><td><a>x</a><td>{body}</table></body>",
+    ]
+    text = "Long text, with marks. And more, and more of it.\nAnother text; long, with marks."
+    assert [html_extract.main_text(x) for x in pages] == [f"Short\n{text}\nitem", text, text]
+    assert [html_extract.main_text(x, threshold=0) for x in pages[:2]] != [html_extract.main_text(x) for x in pages[:2]]
+    for page in (f'<div class="layout with-sidebar">{body}</div>', f"<form id=f><nav><a>x</a></nav><div>{body}</div></form>", f'<main class="content search-results">{body}</main>'):
+        assert html_extract.main_text(page) == text
+    assert html_extract.main_text('<div class="comments"><p>only readers, here.</p></div>') == ""
+    assert html_extract.main_text('<article><p>Short.</p></article><div class="commentList"><p>' + "Reader says, hello. " * 50 + "</p></div>") == "Short."
+    assert html_extract.main_text('<p class=x">text</p> <p title="a>b">z</p>') == "text\nz"
+
+
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    for part in ("<a ", '<a href="x', "<b>", "<p title='x>", "<!--", "<script>", "<form>", "</p><p><div>"):
+        began = time.time()
+        html_extract.main_text(part * (300_000 // len(part)))
+        assert time.time() - began < 8, part
+
+
 # 9
 
 
@@ -449,3 +582,27 @@ def test_collision_count_is_calibrated():
     p = math.erf(1 / math.sqrt(2))
     tail = lambda k: sum(math.comb(40, j) * p**j * (1 - p) ** (40 - j) for j in range(k, 41))
     assert tail(need) >= 0.998 > tail(need + 1)
+
+
+def test_recall_in_64_dimensions_and_clashing_names(spark):
+    rng = np.random.default_rng(9)
+    base = np.repeat(rng.standard_normal((60, 64)), 8, axis=0)
+    vectors = base + rng.standard_normal(base.shape) * 0.26
+    labels = np.repeat(np.arange(60) % 3, 8)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    links = near.sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, v.tolist(), int(x), 1, 2, 3) for i, (v, x) in enumerate(zip(vectors, labels, strict=True))], "vec_id long, embedding array<double>, label int, rep int, cell int, subs int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(frame, block=100).collect()}
+    assert sum(got.values()) >= 0.97 * links.sum() > 300
+    assert all(got[i] <= n for i, n in enumerate(links))
+
+
+def test_windows_on_sorted_lines_are_counted():
+    rng = np.random.default_rng(1)
+    q, x = rng.standard_normal((40, 5)), rng.standard_normal((70, 5))
+    x[:5] = q[:5]
+    near = (np.abs(q[:, None, :] - x[None, :, :]) <= 0.4).sum(axis=2)
+    for need in (1, 3, 5):
+        a, b = embedding_dedup.colliding_pairs(q, x, 0.4, need)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(near >= need)), strict=True))
