@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabulon.catalog.changes import TOKENS
+from tabulon.catalog.tables import _CELLS
 from tabulon.functions.exprs import jround, ordered_list
 from tabulon.operators import evidence as E
 from tabulon.operators import tables as T
+from tabulon.sources.tables import manifest
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def _t(spark, sf_dir, name):
@@ -36,12 +42,6 @@ def errors_since_batch(spark, sf_dir):
     return e.where("event_type = 'error'").join(last, "user_id", "left").where(F.col("since").isNull() | (F.col("ts") >= F.col("since"))).select("event_id", "user_id")
 
 
-def corroborated_copies(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    groups = docs.groupBy("text").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return E.corroboration(docs.join(groups, "text"), "group_id", "source")
-
-
 def order_verdicts(spark, sf_dir):
     """A verdict for each test between order priorities."""
     p = T.proportion_pairs(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_orderkey")
@@ -55,28 +55,9 @@ def provenance(spark, sf_dir):
     return g.select("group_id", "members", "themes", E.confidence_tier(F.col("members"), F.col("themes")).alias("tier"))
 
 
-def downgraded(spark, sf_dir):
-    """Users' events as verdicts of the user; errors contradict."""
-    e = _t(spark, sf_dir, "events")
-    v = e.where("event_type IN ('view', 'click')").select(F.col("user_id").alias("finding_id"), F.col("event_id").alias("verdict_id"), F.col("ts").alias("created_at"), F.lit("robust").alias("tier"))
-    c = e.where("event_type = 'error' AND value > 30").select(F.col("user_id").alias("original_id"), F.col("event_id").alias("contradicting_id"), F.col("ts").alias("created_at"))
-    return E.downgrade_contradicted(v, c).select("finding_id", "verdict_id", "tier", "contradicting_id")
-
-
-def archived(spark, sf_dir):
-    """Orders of status F move to a history that has the first hundred keys already."""
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    kept, history = E.archive(o, o.where("o_orderkey < 100"), "o_orderkey", F.col("o_orderstatus") == "F")
-    return kept.groupBy().agg(F.count(F.lit(1)).alias("kept")).join(F.broadcast(history.agg(F.count(F.lit(1)).alias("history"), F.count_distinct("o_orderkey").alias("keys"))))
-
-
 def restore_check(spark, sf_dir):
     """Row counts wanted by a manifest against those found; the manifest expects one region too many."""
-    names = ("region", "nation", "customer", "supplier", "part")
-    got = None
-    for n in names:
-        one = _t(spark, sf_dir, n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("got"))
-        got = one if got is None else got.union(one)
+    got = manifest(spark, {n: f"{sf_dir}/{n}.parquet" for n in TABLES}).withColumnRenamed("n", "got")
     want = got.select("table_name", F.when(F.col("table_name") == "region", F.col("got") + 1).otherwise(F.col("got")).alias("want"))
     return want.join(got, "table_name", "full").select("table_name", "want", "got", F.coalesce(F.col("want") == F.col("got"), F.lit(False)).alias("ok"))
 
@@ -122,19 +103,16 @@ def nation_tallies(spark, sf_dir):
 
 
 def statements(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    """What each part is, as a statement of five or six words."""
+    return _t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.lit("made by"), "p_brand", F.lit("in size"), F.col("p_size").cast("string")).alias("text"))
 
 
 QUERIES = {
     "usage_by_type": usage_by_type,
     "usage_batches": usage_batches,
     "errors_since_batch": errors_since_batch,
-    "corroborated_copies": corroborated_copies,
     "order_verdicts": order_verdicts,
     "provenance": provenance,
-    "contradiction_downgrade": downgraded,
-    "archive_rejected": archived,
     "restore_check": restore_check,
     "latest_order": latest_order,
     "not_yet_processed": not_processed,
@@ -143,28 +121,25 @@ QUERIES = {
     "top3_per_group": ranked,
     "next_event": next_event,
     "nation_tallies": nation_tallies,
-    "similar_statements": lambda s, d: E.similar_statements(statements(s, d), "id", "text"),
-    "duplicate_statements": lambda s, d: E.duplicate_groups(statements(s, d), "id", "text"),
+    "similar_statements": lambda s, d: E.similar_statements(statements(s, d), "p_partkey", "text"),
+    "duplicate_statements": lambda s, d: E.duplicate_groups(statements(s, d), "p_partkey", "text"),
     "structural_duplicates": lambda s, d: E.structural_duplicates(_t(s, d, "documents"), ["text", "lang"], "doc_id"),
 }
 
 _K = "try_cast(json_extract_string(props, '$.k') AS DOUBLE)"
-_STOP = "a an the of in on at to for and or but is are was were be been being with by from as that this these those it its their than then so such more most".split()
-_SETS = f"""sets AS (SELECT conv_id * 1000 + turn AS id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9%.\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND w NOT IN ({", ".join(f"'{w}'" for w in _STOP)}))) AS w FROM conversations),
-pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS j FROM sets a JOIN sets b ON a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0 WHERE len(list_intersect(a.w, b.w)) >= 0.55 * len(list_distinct(list_concat(a.w, b.w))))"""
+_SETS = f"""sets AS (SELECT p_partkey AS id, list_sort({TOKENS.format(x="p_name || ' ' || p_type || ' made by ' || p_brand || ' in size ' || p_size")}) AS w FROM part), uniq AS (SELECT w, min(id) AS id FROM sets GROUP BY 1),
+pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE AS j FROM uniq a JOIN uniq b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.55 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))"""
+_TAG = "CASE WHEN least(n_a, n_b) < 30 THEN 2 WHEN least(n_a, n_b) < 50 THEN 1 ELSE 0 END"
 
 ORACLE_SQL = {
     "usage_by_type": f"SELECT event_type, count(*) AS calls, sum({_K}) AS tokens, floor((sum({_K}) / 1e6 * 2 + count(*) / 1e6 * 10) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS cost_usd FROM events GROUP BY 1",
-    "usage_batches": f"""WITH u AS (SELECT e.user_id, e.event_id, {_K} AS tokens, (SELECT max(s.ts) FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND s.ts <= e.ts) AS began FROM events e WHERE e.event_type <> 'signup')
-SELECT user_id, strftime(began, '%Y-%m-%d %H:%M:%S.%f') AS batch_at, count(*) AS events, floor(sum(tokens) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS tokens FROM u WHERE began IS NOT NULL GROUP BY 1, 2""",
+    "usage_batches": f"""WITH m AS (SELECT DISTINCT user_id, ts AS began FROM events WHERE event_type = 'signup'), u AS (SELECT e.user_id, {_K} AS tokens, (SELECT max(s.ts) FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND s.ts <= e.ts) AS began FROM events e WHERE e.event_type <> 'signup')
+SELECT m.user_id, strftime(m.began, '%Y-%m-%d %H:%M:%S.%f') AS batch_at, count(u.user_id) AS events, floor(coalesce(sum(tokens), 0) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS tokens FROM m LEFT JOIN u USING (user_id, began) GROUP BY 1, 2""",
+    "order_verdicts": f"""WITH {_CELLS}, p AS (SELECT a.stub, a.banner AS cat_a, c.banner AS cat_b, a.base AS n_a, c.base AS n_b, a.n::DOUBLE / a.base AS p1, c.n::DOUBLE / c.base AS p2, (a.n + c.n)::DOUBLE / (a.base + c.base) AS pp FROM cells a JOIN cells c ON a.stub = c.stub AND a.ord < c.ord)
+SELECT stub, cat_a, cat_b, CASE WHEN NOT coalesce(abs(CASE WHEN pp * (1 - pp) > 0 THEN (p1 - p2) / sqrt(pp * (1 - pp) * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b)) END) >= 1.96, false) THEN 'not_supported' WHEN {_TAG} > 0 THEN 'use_with_caution' ELSE 'robust' END AS tier FROM p""",
     "errors_since_batch": "WITH l AS (SELECT user_id, max(ts) AS since FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT event_id, events.user_id FROM events LEFT JOIN l ON l.user_id = events.user_id WHERE event_type = 'error' AND (since IS NULL OR ts >= since)",
-    "corroborated_copies": "WITH g AS (SELECT min(doc_id) AS group_id, count(DISTINCT source) AS sources, count(*) AS n FROM documents GROUP BY text) SELECT group_id, sources, CASE WHEN sources > 1 THEN 'corroborated' ELSE 'single_source' END AS level FROM g WHERE n > 1",
-    "provenance": "WITH g AS (SELECT min(doc_id) AS group_id, count(*) AS members, count(DISTINCT source) AS themes FROM documents GROUP BY text) SELECT *, CASE WHEN members >= 3 AND themes >= 2 THEN 'strong' WHEN members >= 2 THEN 'moderate' ELSE 'exploratory' END AS tier FROM g",
-    "contradiction_downgrade": """WITH v AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type IN ('view', 'click')),
-c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error' AND value > 30)
-SELECT v.user_id AS finding_id, v.event_id AS verdict_id, CASE WHEN c.event_id IS NULL THEN 'robust' ELSE 'not_supported' END AS tier, c.event_id AS contradicting_id FROM v LEFT JOIN c ON c.user_id = v.user_id AND c.k = 1 WHERE v.k = 1""",
-    "archive_rejected": "SELECT count(*) FILTER (o_orderstatus <> 'F') AS kept, count(*) FILTER (o_orderstatus = 'F' OR o_orderkey < 100) AS history, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F' OR o_orderkey < 100) AS keys FROM orders",
-    "restore_check": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) + {int(n == 'region')} AS want, count(*) AS got, {str(n != 'region').lower()} AS ok FROM {n}" for n in ("region", "nation", "customer", "supplier", "part")),
+    "provenance": "WITH g AS (SELECT min(doc_id) AS group_id, count(*) AS members, count(DISTINCT source) AS themes FROM documents GROUP BY text) SELECT *, CASE WHEN members >= 3 AND themes >= 2 THEN 'strong' WHEN members >= 3 OR themes >= 2 THEN 'moderate' ELSE 'exploratory' END AS tier FROM g",
+    "restore_check": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) + {int(n == 'region')} AS want, count(*) AS got, {str(n != 'region').lower()} AS ok FROM {n}" for n in TABLES),
     "latest_order": "WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM r WHERE k = 1",
     "not_yet_processed": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "exists_flags": "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS has_pending FROM customer",
@@ -173,7 +148,7 @@ SELECT v.user_id AS finding_id, v.event_id AS verdict_id, CASE WHEN c.event_id I
     "next_event": "SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id FROM events",
     "nation_tallies": "SELECT n_nationkey, count(c_custkey) AS customers, count(*) FILTER (c_acctbal < 0) AS overdrawn, count(DISTINCT c_mktsegment) FILTER (c_acctbal > 0) AS segments FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
     "similar_statements": f"WITH {_SETS} SELECT a, b, floor(j * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE AS likeness FROM pairs",
-    "duplicate_statements": f"""WITH RECURSIVE {_SETS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
-SELECT id, min(root) AS group_id FROM r GROUP BY 1""",
+    "duplicate_statements": f"""WITH RECURSIVE {_SETS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(id, root) AS (SELECT id, id FROM uniq UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b), c AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+SELECT s.id, c.root AS group_id FROM sets s JOIN uniq USING (w) JOIN c ON c.id = uniq.id WHERE c.root IN (SELECT c.root FROM sets JOIN uniq USING (w) JOIN c ON c.id = uniq.id GROUP BY 1 HAVING count(*) > 1)""",
     "structural_duplicates": "SELECT min(doc_id) AS group_id, count(*) AS n FROM documents GROUP BY text, lang HAVING count(*) > 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql.types import StringType
 MISSING = ("", "na", "n/a", "nan", "null", "#n/a", ".")
 #: Words that never tell two statements apart.
 STOPWORDS = (
-    "a an the of in on at to for and or but is are was were be been being with by from as that this these those it its their than then so such more most".split()
+    "the a an of in on for to and or is are was were has have had that this these those by with as at its it their among between than most least more less not be which who".split()
 )
 #: Blanks as JavaScript's \s knows them.
 BLANK = r"[\s   -     　﻿]"
@@ -24,8 +26,10 @@ def jround(x: Column, digits: int = 0) -> Column:
 
 
 def num_to_text(x: Column) -> Column:
-    """A double as a survey tool prints it: integral values without a fraction."""
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    """A double as a survey tool prints it: integral values without a fraction, no exponents for numbers of a few decimals."""
+    plain = F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+    shown = F.when((F.abs(x) >= 1e7) | (F.abs(x) < 1e-3), plain).otherwise(x.cast("string"))
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("bigint").cast("string")).otherwise(shown)
 
 
 def is_missing(x: Column) -> Column:
@@ -42,15 +46,21 @@ def as_number(x: Column, percent: bool = False) -> Column:
 
 
 def generic_header(x: Column) -> Column:
-    """Headers such as Q12 or var_3 that say nothing."""
-    return F.trim(x).rlike(r"(?i)^(var|v|q|col|column|field|x)[\s_]*\d+$")
+    """Headers such as Q12 or var_3 that say nothing, and empty ones."""
+    return (F.trim(x) == "") | F.trim(x).rlike(r"(?i)^(var|v|q|col|column|field|x)[\s_]*\d+$")
 
 
 def normalize_text(x: Column) -> Column:
-    """Straight quotes and dashes, no soft hyphens, single blanks, lower case."""
-    text = F.translate(x, "‘’‚‛“”„‟‐‑‒–—― ", "''''\"\"\"\"------ ")
-    text = F.regexp_replace(F.regexp_replace(text, "­", ""), BLANK + "+", " ")
-    return F.lower(F.trim(text))
+    """Straight quotes and hyphens for curly ones and dashes, no soft hyphens, single blanks, lower case."""
+    text = F.replace(F.translate(x, "‘’“”–—", "''\"\"--"), F.lit("\u00ad"), F.lit(""))
+    return F.trim(F.lower(F.regexp_replace(text, BLANK + "+", " ")))
+
+
+def normalize_page(x: Column) -> Column:
+    """As ``normalize_text``, with ligatures of fi and fl taken apart and words joined that a line break parts."""
+    text = F.replace(F.replace(x, F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
+    joined = F.regexp_replace(F.replace(F.translate(text, "–—", "--"), F.lit("\u00ad"), F.lit("")), rf"-{BLANK}*\n{BLANK}*", "")
+    return normalize_text(joined)
 
 
 def statement_tokens(x: Column) -> Column:
@@ -70,8 +80,16 @@ def count_words(x: Column) -> Column:
 
 
 def count_sentences(x: Column) -> Column:
-    """Runs of sentence marks followed by a blank or the end; at least one."""
-    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"[.!?]+(\s|$)")))
+    """Stretches between sentence marks that end a word; at least one."""
+    parts = F.filter(F.split(F.coalesce(x, F.lit("")), r"[.!?]+(?:\s|$)"), lambda s: F.trim(s) != "")
+    return F.greatest(F.lit(1), F.size(parts))
+
+
+def split_keywords(x: Column) -> Column:
+    """Distinct terms of a keyword cell: the quoted ones if any are, else the parts between commas, semicolons, lines or bars; 80 characters at most."""
+    quoted = F.regexp_extract_all(x, F.lit("[\"“”]([^\"“”]+)[\"“”]"), F.lit(1))
+    parts = F.when(F.size(quoted) > 0, quoted).otherwise(F.split(x, r"[,;\n|]"))
+    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda s: (s != "") & (F.length(s) <= 80)))
 
 
 def keyword_count(text: Column, keyword: Column) -> Column:
@@ -116,16 +134,15 @@ def ordered_list(value: Column, *keys: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def cap_words(text: pd.Series, budget: pd.Series) -> pd.Series:
-    """At most ``budget`` words: up to the last sentence end in the last two fifths, else cut hard with an ellipsis."""
+    """At most ``budget`` words: cut behind the last sentence that fits and keeps three fifths of it, else hard with an ellipsis."""
 
     def one(t, n):
-        words = (t or "").split()
+        t = (t or "").strip()
+        words = t.split()
         if len(words) <= n:
-            return (t or "").strip()
-        head = words[:n]
-        for i in range(n - 1, max(0, int(n * 0.6)) - 1, -1):
-            if head[i][-1] in ".!?":
-                return " ".join(head[: i + 1])
-        return " ".join(head).rstrip(",;:") + "…"
+            return t
+        ends = [m.start() + 1 for m in re.finditer(r"[.!?](?=\s|$)", t)]
+        fits = [e for e in ends if 0.6 * n <= len(t[:e].split()) <= n]
+        return t[: fits[-1]].strip() if fits else " ".join(words[:n]) + "…"
 
     return pd.Series([one(t, int(n)) for t, n in zip(text, budget, strict=True)])

@@ -29,7 +29,8 @@ def design_effect(weight: Column) -> Column:
 
 
 def base_size_tag(n: Column) -> Column:
-    return F.when(n < SMALL_BASE, "small").when(n < BORDERLINE_BASE, "borderline")
+    """The names of the two tags."""
+    return F.when(n < SMALL_BASE, "base_size_small").when(n < BORDERLINE_BASE, "base_size_borderline")
 
 
 def proportion_gap(n1: Column, p1: Column, n2: Column, p2: Column, confidence: int = 95) -> tuple[Column, Column, Column]:

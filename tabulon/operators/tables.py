@@ -105,67 +105,41 @@ def anova(df: DataFrame, banner: str, value: str, row: str) -> DataFrame:
     return out.select("k", "n", jround(F.col("f"), 2).alias("f_stat"), jround(F.col("p"), 3).alias("p_value"), F.coalesce(F.col("p") < 0.05, F.lit(False)).alias("significant"))
 
 
-def _p_text(p: Column) -> Column:
-    return F.when(p < 0.001, "p<0.001").otherwise(F.concat(F.lit("p="), F.format_number(p, 3)))
+def column_kinds(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) of the first fifteen columns, from one pass.
 
-
-def banner_plan(df: DataFrame, banners: list[str], stubs: list[str], row: str, numeric: set[str]) -> DataFrame:
-    """Finding rows of every banner against every other stub.
-
-    Numeric stub: a test of variance first if there are more than two
-    categories, then pairs if it is significant (all pairs for two
-    categories).  Categorical stub: two-proportion tests.  Numeric banners with
-    more than ten categories are left out.  Columns: banner_column,
-    stub_column, test, stub, cat_a, cat_b, n_a, n_b, gap, statistic,
-    significant, caveats, sentence.
+    Numeric: a number type with five values.  Categorical: others with ten
+    values, of which two to ten differ.
     """
-    parts = []
-    for banner in banners:
-        if banner in numeric and df.select(F.count_distinct(banner)).first()[0] > CATEGORIES:
-            continue
-        k = first_categories(df, banner, row).count()
-        if k < 2:
-            continue
-        for stub in stubs:
-            if stub == banner:
-                continue
-            head = [F.lit(banner).alias("banner_column"), F.lit(stub).alias("stub_column")]
-            if stub not in numeric:
-                t = proportion_pairs(df, banner, stub, row)
-                words = F.format_string("%s: %s is %s points %s in %s than in %s", F.lit(stub), F.col("stub"), num_to_text(F.abs("gap_points")), F.when(F.col("gap_points") >= 0, "higher").otherwise("lower"), F.col("cat_a"), F.col("cat_b"))
-                parts.append(t.select(*head, F.lit("proportions").alias("test"), "stub", "cat_a", "cat_b", "n_a", "n_b", F.col("gap_points").alias("gap"), F.col("z").alias("statistic"), "significant", _caveats(F.col("significant"), False, F.lit(True)), words.alias("sentence")))
-                continue
-            post_hoc = k > 2
-            if post_hoc:
-                one = anova(df, banner, stub, row)
-                null = F.lit(None)
-                words = F.format_string("%s %s by %s (F=%s, %s)", F.lit(stub), F.when(F.col("significant"), "differs").otherwise("does not differ"), F.lit(banner), num_to_text(F.col("f_stat")), _p_text(F.col("p_value")))
-                whole = one.select(*head, F.lit("anova").alias("test"), null.cast("string").alias("stub"), null.cast("string").alias("cat_a"), null.cast("string").alias("cat_b"), F.col("n").alias("n_a"), null.cast("long").alias("n_b"), null.cast("double").alias("gap"), F.col("f_stat").alias("statistic"), "significant", _caveats(F.col("significant"), False, F.col("p_value").isNotNull()), words.alias("sentence"))
-                parts.append(whole)
-                if not one.first()["significant"]:
-                    continue
-            t = mean_pairs(df, banner, stub, row)
-            words = F.format_string("mean %s is %s in %s and %s in %s", F.lit(stub), num_to_text(F.col("mean_a")), F.col("cat_a"), num_to_text(F.col("mean_b")), F.col("cat_b"))
-            parts.append(t.select(*head, F.lit("means").alias("test"), F.lit(None).cast("string").alias("stub"), "cat_a", "cat_b", "n_a", "n_b", "gap", F.col("t").alias("statistic"), "significant", _caveats(F.col("significant"), post_hoc, F.col("t").isNotNull()), words.alias("sentence")))
-    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "banner_column string, stub_column string, test string, stub string, cat_a string, cat_b string, n_a long, n_b long, gap double, statistic double, significant boolean, caveats array<string>, sentence string")
-
-
-def _caveats(significant: Column, post_hoc: bool, tested: Column) -> Column:
-    tags = [F.when(~significant, "not_significant"), F.lit("uncorrected_multiple_comparisons"), F.lit("sampling_assumed_random"), F.lit("post_hoc_after_significant_anova" if post_hoc else None), F.when(~tested, "insufficient_n_for_test")]
-    return F.filter(F.array(*tags), lambda x: x.isNotNull()).alias("caveats")
+    kinds = dict(df.dtypes)
+    numeric_type = {c for c in columns[:HEADERS] if kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")}
+    aggs = [F.count(c).alias(f"n_{i}") for i, c in enumerate(columns[:HEADERS])]
+    # More than ten categories count as eleven: a set of eleven first values tells them apart.
+    aggs += [F.approx_count_distinct(as_category(df, c)).alias(f"d_{i}") for i, c in enumerate(columns[:HEADERS]) if c not in numeric_type]
+    row = df.agg(*aggs).first().asDict()
+    numeric = [c for i, c in enumerate(columns[:HEADERS]) if c in numeric_type and row[f"n_{i}"] >= GROUP_LEAST]
+    near = [(i, c) for i, c in enumerate(columns[:HEADERS]) if c not in numeric_type and row[f"n_{i}"] >= 2 * GROUP_LEAST and row[f"d_{i}"] <= 2 * CATEGORIES]
+    exact = {c: df.select(as_category(df, c).alias("c")).where("c IS NOT NULL").distinct().limit(CATEGORIES + 1).count() for _, c in near}
+    return numeric, [c for _, c in near if 2 <= exact[c] <= CATEGORIES]
 
 
 def segment_differences(df: DataFrame, categories: list[str], values: list[str], row: str) -> DataFrame:
-    """Significant mean gaps between the two largest groups (ties: first seen) of each category and value column."""
-    parts = []
-    for c in categories[:HEADERS]:
-        for v in values[:HEADERS]:
-            sized = df.select(as_category(df, c).alias("banner"), F.col(v).cast("double").alias("v"), F.col(row).alias("r")).where("banner IS NOT NULL")
-            groups = sized.groupBy("banner").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"), F.min("r").alias("first"), F.count(F.lit(1)).alias("present"))
-            ranked = groups.where(F.col("n") >= GROUP_LEAST).orderBy(F.desc("n"), "first").limit(2).withColumn("banner_ord", F.row_number().over(Window.orderBy(F.desc("n"), "first")))
-            gap, t, significant = mean_gap(*[F.col(x) for x in ("a_n", "a_mean", "a_var", "b_n", "b_mean", "b_var")])
-            parts.append(category_pairs(ranked).select(F.lit(c).alias("category_column"), F.lit(v).alias("value_column"), F.col("a_banner").alias("cat_a"), F.col("b_banner").alias("cat_b"), gap.alias("gap"), t.alias("t"), significant.alias("significant")).where("significant").drop("significant"))
-    return reduce(DataFrame.unionByName, parts)
+    """Significant mean gaps between the two largest groups (ties: first seen) of each category and value column.
+
+    All pairs of columns are aggregated in one pass: a row gives one line for
+    each category column with all values beside it.
+    """
+    pairs = [(i, c) for i, c in enumerate(categories[:HEADERS])]
+    sized = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("category_column"), as_category(df, c).alias("banner")) for i, c in pairs])).alias("g"), F.col(row).alias("r"), *[F.col(v).cast("double").alias(v) for v in values[:HEADERS]]).select("g.*", "r", *values[:HEADERS]).where("banner IS NOT NULL")
+    stats = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(v).alias("value_column"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var")) for j, v in enumerate(values[:HEADERS])])
+    groups = sized.groupBy("i", "category_column", "banner").agg(F.min("r").alias("first"), stats.alias("s")).select("i", "category_column", "banner", "first", F.explode("s").alias("s")).select("i", "category_column", "banner", "first", "s.*")
+    place = Window.partitionBy("i", "j").orderBy(F.desc("n"), "first")
+    top = groups.where(F.col("n") >= GROUP_LEAST).withColumn("k", F.row_number().over(place)).where("k <= 2")
+    key = ["i", "j", "category_column", "value_column"]
+    a, b = (top.where(F.col("k") == k).select(*key, *[F.col(c).alias(f"{x}_{c}") for c in ("banner", "n", "mean", "var")]) for k, x in ((1, "a"), (2, "b")))
+    gap, t, significant = mean_gap(*[F.col(x) for x in ("a_n", "a_mean", "a_var", "b_n", "b_mean", "b_var")])
+    both = a.join(b, key).where(significant)
+    return both.select(*key, F.col("a_banner").alias("cat_a"), F.col("b_banner").alias("cat_b"), F.col("a_n").alias("n_a"), F.col("b_n").alias("n_b"), jround(F.col("a_mean"), 2).alias("mean_a"), jround(F.col("b_mean"), 2).alias("mean_b"), gap.alias("gap"), t.alias("t"))
 
 
 def relationships(df: DataFrame, values: list[str]) -> DataFrame:
@@ -223,24 +197,54 @@ def global_rank(df: DataFrame, name: str, *order: str) -> DataFrame:
     return placed.withColumn(name, F.col("__off") + F.col("__m") - F.col("__first")).drop("__p", "__m", "__n", "__first", "__off")
 
 
+def running_sum(df: DataFrame, order: str, sums: dict[str, str], after: str | None = None) -> DataFrame:
+    """``df`` plus running sums of columns in the order of a column without ties, and, as ``after``, the next value of that column.
+
+    Rows are cut into ranges; sums run inside each and the totals of those
+    before are added, so no task holds more than a range.
+    """
+    from tabulon.plans.lineage import cut
+
+    lined = cut(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    inside = Window.partitionBy("__p").orderBy(order)
+    ranges = Window.orderBy("__p")  # one row a range
+    totals = lined.groupBy("__p").agg(F.min(order).alias("__low"), *[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = totals.select("__p", F.lead("__low").over(ranges).alias("__next"), *[F.coalesce(F.sum(f"__t_{c}").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    upto = [(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col(f"__b_{c}")).alias(name) for c, name in sums.items()]
+    next_ = [F.coalesce(F.lead(order).over(inside), F.col("__next")).alias(after)] if after else []
+    return lined.join(F.broadcast(before), "__p").select(*df.columns, *upto, *next_)
+
+
 def best_split(df: DataFrame, split: str, outcome: str) -> DataFrame:
-    """Best numeric cut of ``split`` for the mean of ``outcome``: largest rounded abs(t) that reaches 1.96, first of equals.
+    """Best cut of ``split`` for the mean of ``outcome``: largest rounded abs(t) that reaches 1.96, first of equals.
 
-    Values are aggregated first, so the running sums are over distinct values.
+    Numbers are cut at the middle of two neighbouring values, anything else is
+    one category against the rest, in order of appearance of the text.
+    Columns: label, n_1, n_2, mean_1, mean_2, gap, t.
     """
-    rows = df.select(F.col(split).cast("double").alias("x"), F.col(outcome).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    kind = dict(df.dtypes)[split]
+    numeric = kind in ("int", "bigint", "double", "float", "smallint", "tinyint") or kind.startswith("decimal")
+    x = F.col(split).cast("double") if numeric else as_category(df, split)
+    rows = df.select(x.alias("x"), F.col(outcome).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     centre = rows.agg(F.avg("y").alias("m"))
     each = rows.join(F.broadcast(centre)).withColumn("c", F.col("y") - F.col("m")).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
-    over = Window.orderBy("x")
     sums = each.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss"))
-    cuts = each.select("x", F.lead("x").over(over).alias("after"), *[F.sum(c).over(over).alias(c) for c in ("n", "s", "ss")]).where("after IS NOT NULL").join(F.broadcast(sums))
-    n2, s2, ss2 = F.col("tn") - F.col("n"), F.col("ts") - F.col("s"), F.col("tss") - F.col("ss")
-    v1 = F.try_divide(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)
+    if numeric:
+        lined = running_sum(each, "x", {"n": "n1", "s": "s1", "ss": "ss1"}, after="after").where("after IS NOT NULL")
+        place = (F.col("x") + F.col("after")) / 2
+        label = F.concat(F.lit(f"{split} < "), num_to_text(jround(place, 2)))
+    else:
+        lined = each.select("x", F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("ss").alias("ss1"))
+        place, label = F.col("x"), F.concat(F.lit(f'{split} = "'), F.col("x"), F.lit('"'))
+    cuts = lined.join(F.broadcast(sums)).join(F.broadcast(centre))
+    n1, s1, ss1 = F.col("n1"), F.col("s1"), F.col("ss1")
+    n2, s2, ss2 = F.col("tn") - n1, F.col("ts") - s1, F.col("tss") - ss1
+    v1 = F.try_divide(ss1 - s1 * s1 / n1, n1 - 1)
     v2 = F.try_divide(ss2 - s2 * s2 / n2, n2 - 1)
-    fits = cuts.where((F.col("n") >= GROUP_LEAST) & (n2 >= GROUP_LEAST)).withColumn("gap", F.col("s") / F.col("n") - s2 / n2).withColumn("se", F.sqrt(v1 / F.col("n") + v2 / n2))
-    scored = fits.where("se > 0").withColumn("t", jround(F.col("gap") / F.col("se"), 2)).withColumn("threshold", (F.col("x") + F.col("after")) / 2)
-    best = scored.where(F.abs("t") >= CRITICAL[95]).orderBy(F.desc(F.abs("t")), "threshold").limit(1)
-    return best.select("threshold", F.col("n").alias("n_below"), (F.col("tn") - F.col("n")).alias("n_above"), jround(F.col("gap"), 2).alias("gap"), "t")
+    fits = cuts.where((n1 >= GROUP_LEAST) & (n2 >= GROUP_LEAST)).withColumn("gap", s1 / n1 - s2 / n2).withColumn("se", F.sqrt(v1 / n1 + v2 / n2))
+    scored = fits.where("se > 0").withColumn("t", jround(F.col("gap") / F.col("se"), 2)).withColumn("place", place)
+    best = scored.where(F.abs("t") >= CRITICAL[95]).orderBy(F.desc(F.abs("t")), "place").limit(1)
+    return best.select(label.alias("label"), n1.alias("n_1"), n2.alias("n_2"), jround(F.col("m") + s1 / n1, 2).alias("mean_1"), jround(F.col("m") + s2 / n2, 2).alias("mean_2"), jround(F.col("gap"), 2).alias("gap"), "t")
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:
@@ -252,13 +256,15 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     spine = shape.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     put = v.join(F.broadcast(shape)).select(F.when(F.col("width") == 0, 0).otherwise(F.least(F.col("bins") - 1, F.floor((F.col("v") - F.col("lo")) / F.nullif("width", F.lit(0.0))))).cast("int").alias("bin"))
     counts = put.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(spine).join(counts, "bin", "left").select("bin", jround(F.col("lo") + F.col("bin") * F.col("width"), 4).alias("low"), jround(F.col("lo") + (F.col("bin") + 1) * F.col("width"), 4).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+    return F.broadcast(spine).join(counts, "bin", "left").select("bin", jround(F.col("lo") + F.col("bin") * F.col("width"), 2).alias("low"), jround(F.col("lo") + (F.col("bin") + 1) * F.col("width"), 2).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def numeric_digest(df: DataFrame, value: str) -> DataFrame:
-    """(n, mean, median, min, max) of the present values, exact median."""
-    v = F.col(value).cast("double")
-    return df.agg(F.count(v).alias("n"), jround(F.avg(v), 2).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    """(n, mean, median, min, max) of the present values, exact median read off counted values."""
+    from tabulon.operators.coding import spread
+
+    v = df.select(F.col(value).cast("double").alias("v"))
+    return spread(v, "v").join(F.broadcast(v.agg(jround(F.avg("v"), 2).alias("mean")))).select("n", "mean", jround(F.col("median"), 2).alias("median"), "min", "max")
 
 
 def category_digest(df: DataFrame, column: str, row: str) -> DataFrame:
@@ -272,24 +278,80 @@ def category_digest(df: DataFrame, column: str, row: str) -> DataFrame:
     return top.select("category", "n").union(rest).join(F.broadcast(total)).select("category", "n", jround(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
 
 
+def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, kind, reason, n, distinct_values) of the first fifteen columns: numeric, categorical, or skipped and why.
+
+    Fixed values: three values at least and ten categories at most.
+    """
+    kinds, parts = dict(df.dtypes), []
+    for place, c in enumerate(columns[:HEADERS]):
+        numeric = kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")
+        v = df.select(as_category(df, c).alias("v")).where("v IS NOT NULL AND v <> ''").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        g = v.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("distinct_values"))
+        reason = F.when(F.col("n") < BINS_LEAST, "no_usable_values").when(F.lit(not numeric) & (F.col("distinct_values") > CATEGORIES), "too_many_distinct_values")
+        parts.append(g.select(F.lit(place).alias("place"), F.lit(c).alias("column"), F.when(reason.isNotNull(), "skipped").otherwise("numeric" if numeric else "categorical").alias("kind"), reason.alias("reason"), "n", "distinct_values"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def crosstab_preview(df: DataFrame, banners: list[str], stubs: list[str], row: str, numeric: set[str]) -> DataFrame:
+    """(banner_column, stub_column, kind, categories, banner_truncated, stub_truncated, banner_is_continuous, f_stat, p_value, significant) of every pair.
+
+    The cells are ``crosstab`` or ``group_table``; numeric stubs get the test of
+    variance from three categories on.
+    """
+    parts = []
+    for banner in banners:
+        many = df.select(as_category(df, banner).alias("c")).where("c IS NOT NULL").agg(F.count_distinct("c").alias("all"))
+        for stub in stubs:
+            if stub == banner:
+                continue
+            base = many
+            if stub in numeric:
+                tested = anova(df, banner, stub, row).select("f_stat", "p_value", "significant")
+                base = base.join(F.broadcast(tested)).withColumn("stubs", F.lit(0).cast("long"))
+            else:
+                base = base.join(F.broadcast(df.select(as_category(df, stub).alias("c")).where("c IS NOT NULL").agg(F.count_distinct("c").alias("stubs")))).select("*", F.lit(None).cast("double").alias("f_stat"), F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("boolean").alias("significant"))
+            shown = F.least(F.col("all"), F.lit(CATEGORIES))
+            only = lambda c, n=shown: F.when(n > 2, F.col(c)).alias(c)
+            parts.append(base.where("all > 0").select(
+                F.lit(banner).alias("banner_column"), F.lit(stub).alias("stub_column"), F.lit("numeric" if stub in numeric else "categorical").alias("kind"), shown.cast("int").alias("categories"), (F.col("all") > CATEGORIES).alias("banner_truncated"),
+                (F.col("stubs") > CATEGORIES).alias("stub_truncated"), (F.lit(banner in numeric) & (F.col("all") > CATEGORIES)).alias("banner_is_continuous"), only("f_stat"), only("p_value"), only("significant"),
+            ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def variable_quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: missing, distinct, constant, unlabelled header, share missing, type; one pass over the table."""
-    aggs = []
-    for c in columns:
-        text = as_category(df, c)
-        kept = F.when(~is_missing(text), text)
-        number = F.regexp_replace(kept, ",", "").try_cast("double")
-        aggs.append(F.struct(F.lit(c).alias("variable"), F.count(F.lit(1)).alias("cases"), F.count_if(is_missing(text)).alias("missing"), F.count_distinct(kept).alias("distinct_values"), F.count(number).alias("numbers"), F.count_if(number == F.floor(number)).alias("whole")))
-    rows = df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    """One row a column: missing, distinct, constant, unlabelled header, share missing, type.
+
+    Cells are counted by (column, value), which partial sums shrink before the
+    shuffle; columns' figures come from the counted values.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), as_category(df, c).alias("v")) for c in columns])).alias("c")).select("c.*")
+    counted = cells.groupBy("variable", "v").agg(F.count(F.lit(1)).alias("c"))
+    number = F.when(~is_missing(F.col("v")), F.regexp_replace(F.trim("v"), ",", "").try_cast("double"))
+    marked = counted.select("variable", "v", "c", is_missing(F.col("v")).alias("gone"), F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number).alias("number"))
+    rows = marked.groupBy("variable").agg(
+        F.sum("c").alias("cases"), F.sum(F.when(F.col("gone"), F.col("c")).otherwise(0)).alias("missing"), F.count_if(~F.col("gone")).alias("distinct_values"),
+        F.coalesce(F.sum(F.when(F.col("number").isNotNull(), F.col("c"))), F.lit(0)).alias("numbers"), F.count_distinct("number").alias("distinct_numbers"), F.coalesce(F.bool_and(F.col("number") == F.floor("number")), F.lit(True)).alias("whole"),
+    )
+    empty = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+    rows = empty.join(rows, "variable", "left").na.fill(0, ["cases", "missing", "distinct_values", "numbers", "distinct_numbers"])
     present = F.col("cases") - F.col("missing")
     kind = (
-        F.when((present == 0) | (F.col("numbers") < present * 0.9) | (F.col("distinct_values") <= 2), "categorical")
-        .when((F.col("whole") == F.col("numbers")) & (F.col("distinct_values") <= 10), "discrete")
+        F.when((present == 0) | (F.col("numbers") < present * 0.9) | (F.col("distinct_numbers") <= 2), "categorical")
+        .when(F.col("whole") & (F.col("distinct_numbers") <= 10), "discrete")
         .otherwise("continuous")
     )
     pct = jround(F.try_divide(F.col("missing") * 100.0, F.col("cases")), 1)
-    status = F.when(pct > VARIABLE_MISSING[1], "fail").when(pct > VARIABLE_MISSING[0], "warn").otherwise("ok")
-    return rows.select("variable", "cases", "missing", "distinct_values", (F.col("distinct_values") <= 1).alias("constant"), generic_header(F.col("variable")).alias("unlabelled"), pct.alias("missing_pct"), kind.alias("kind"), status.alias("status"))
+    status = F.when(pct > VARIABLE_MISSING[1], "fail").when(pct > VARIABLE_MISSING[0], "warn").otherwise("pass")
+    return rows.select("variable", "cases", "missing", "distinct_values", ((F.col("cases") > 1) & (F.col("distinct_values") <= 1)).alias("constant"), generic_header(F.col("variable")).alias("unlabelled"), pct.alias("missing_pct"), kind.alias("kind"), status.alias("status"))
+
+
+def worst_variables(quality: DataFrame, columns: list[str], most: int = 8) -> DataFrame:
+    """(place, variable, missing_pct): the eight columns with most missing among those with a fault, ties in column order."""
+    order = F.array_position(F.array(*map(F.lit, columns)), F.col("variable"))
+    faulty = quality.where("missing > 0 OR constant OR unlabelled")
+    return faulty.withColumn("place", F.row_number().over(Window.orderBy(F.desc("missing_pct"), order))).where(F.col("place") <= most).select("place", "variable", "missing_pct")
 
 
 def duplicate_cases(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -298,20 +360,26 @@ def duplicate_cases(df: DataFrame, columns: list[str]) -> DataFrame:
     return distinct.agg(F.sum("n").alias("cases"), F.count(F.lit(1)).alias("distinct_cases")).withColumn("duplicates", F.col("cases") - F.col("distinct_cases"))
 
 
-def table_quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(check, value, status) of the six checks of a raw table."""
+def table_quality(df: DataFrame, columns: list[str], kind: str = "raw") -> DataFrame:
+    """(check, value, status) of the checks of a table; cases, duplicates and constant columns are checked of raw tables only.
+
+    Fixed values: the names of the checks and of the states.
+    """
     v = variable_quality(df, columns)
-    total = v.agg(F.max("cases").alias("cases"), F.sum("missing").alias("missing"), F.sum("cases").alias("cells"), F.count_if("constant").alias("constant"), F.count_if("unlabelled").alias("unlabelled"), F.count_if(F.col("status") != "ok").alias("gappy"))
-    whole = total.join(F.broadcast(duplicate_cases(df, columns).select("duplicates")))
+    total = v.agg(F.max("cases").alias("cases"), F.sum("missing").alias("missing"), F.sum("cases").alias("cells"), F.count_if("constant").alias("constant"), F.count_if("unlabelled").alias("unlabelled"), F.count_if(F.col("status") != "pass").alias("gappy"), F.count_if(F.col("status") == "fail").alias("bad"))
     pct = jround(F.try_divide(F.col("missing") * 100.0, F.col("cells")), 1)
-    level = lambda x, warn, fail: F.when(x > fail, "fail").when(x > warn, "warn").otherwise("ok")
+    some = lambda x: F.when(x > 0, "warn").otherwise("pass")
     checks = [
-        ("cases", F.col("cases"), F.when(F.col("cases") < CASES[1], "fail").when(F.col("cases") < CASES[0], "warn").otherwise("ok")),
-        ("missing_pct", pct, level(pct, OVERALL_MISSING[0], OVERALL_MISSING[1])),
-        ("gappy_variables", F.col("gappy"), level(F.col("gappy"), 0, 1 << 30)),
-        ("constant_variables", F.col("constant"), level(F.col("constant"), 0, 1 << 30)),
-        ("unlabelled_headers", F.col("unlabelled"), level(F.col("unlabelled"), 0, 1 << 30)),
-        ("duplicate_cases", F.col("duplicates"), level(F.col("duplicates"), 0, 1 << 30)),
+        ("missing_overall", pct, F.when(pct > OVERALL_MISSING[1], "fail").when(pct > OVERALL_MISSING[0], "warn").otherwise("pass")),
+        ("missing_by_variable", F.col("gappy"), F.when(F.col("bad") > 0, "fail").when(F.col("gappy") > 0, "warn").otherwise("pass")),
+        ("labels", F.col("unlabelled"), some(F.col("unlabelled"))),
     ]
+    if kind == "raw":
+        total = total.join(F.broadcast(duplicate_cases(df, columns).select("duplicates")))
+        checks += [
+            ("sample_size", F.col("cases"), F.when(F.col("cases") < CASES[1], "fail").when(F.col("cases") < CASES[0], "warn").otherwise("pass")),
+            ("duplicates", F.col("duplicates"), some(F.col("duplicates"))),
+            ("constant", F.col("constant"), some(F.col("constant"))),
+        ]
     rows = F.array(*[F.struct(F.lit(n).alias("check"), x.cast("double").alias("value"), s.alias("status")) for n, x, s in checks])
-    return whole.select(F.explode(rows).alias("c")).select("c.*")
+    return total.select(F.explode(rows).alias("c")).select("c.*")
