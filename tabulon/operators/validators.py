@@ -48,7 +48,7 @@ def find_list(value, depth: int = 0) -> list | None:
 @F.pandas_udf(StringType())
 def tolerant_list(answer: pd.Series) -> pd.Series:
     """The list in an answer as JSON, null if there is none."""
-    return answer.map(lambda a: None if a is None or (found := find_list(a)) is None else json.dumps(found))
+    return answer.map(lambda a: None if a is None or (found := find_list(a, -1)) is None else json.dumps(found))
 
 
 def items(answers: DataFrame, schema: str) -> DataFrame:

@@ -315,7 +315,7 @@ def test_answers_are_validated(spark):
     themes = '{"groups": "[{\\"theme\\":\\"A\\",\\"codes\\":[1,2,\\"3\\"]},{\\"theme\\":\\"B\\",\\"codes\\":[3,4]},{\\"theme\\":\\"a\\",\\"codes\\":[4,5]},{\\"theme\\":\\"C\\",\\"codes\\":[4,5,9]}]"}'
     assert sorted((r.theme, r.codes) for r in V.theme_groups(answers(themes), n).collect()) == [("A", [1, 2, 3]), ("C", [4, 5])]
     loose = 'x "theme": "Q", "codes": [1, 2], y'
-    assert V.find_list(loose) == [{"theme": "Q", "codes": [1, 2]}] and V.find_list({"A": [1]}) == [{"theme": "A", "codes": [1]}] and V.find_list("no") is None
+    assert V.find_list(loose) == [{"theme": "Q", "codes": [1, 2]}] and V.find_list({"A": [1]}) == [{"theme": "A", "codes": [1]}] and V.find_list("no") is None and V.find_list({"groups": "[1]"}) == [1]
     groups, left = spark.createDataFrame([(1, 1, "A"), (1, 2, "C")], "key int, number int, theme string"), spark.createDataFrame([(1, c) for c in (6, 7, 8, 9)], "key int, code int")
     put = '[{"code":6,"theme":2},{"code":7,"new_theme":"New"},{"code":8,"new_theme":"new "},{"code":9,"new_theme":"Lone"},{"code":6,"theme":1},{"code":5,"theme":1}]'
     assert sorted((r.code, r.theme) for r in V.place_leftovers(answers(put), groups, left).collect()) == [(6, "C"), (7, "New"), (8, "New"), (9, V.HOLDING_THEME)]
