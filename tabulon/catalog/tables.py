@@ -37,8 +37,8 @@ def _lines(spark, sf_dir):
 
 
 def _priced(spark, sf_dir):
-    """Orders with a price that is higher in state F."""
-    return _orders(spark, sf_dir).withColumn("adjusted", F.col("o_totalprice") + F.when(F.col("o_orderstatus") == "F", 40000.0).otherwise(0.0))
+    """Orders with a price that hangs on their state."""
+    return _orders(spark, sf_dir).withColumn("adjusted", F.col("o_totalprice") + F.when(F.col("o_orderstatus") == "O", 40000.0).when(F.col("o_orderstatus") == "P", 80000.0).otherwise(0.0))
 
 
 def _patterns(spark, sf_dir):
@@ -179,7 +179,7 @@ SELECT '{banner}' AS banner_column, '{stub}' AS stub_column, place, 'proportions
 
 _PLAN_SQL = " UNION ALL ".join([_plan_shares("o_orderpriority", "o_orderstatus"), _plan_means("o_orderpriority", 4), _plan_means("o_orderstatus", 2), _plan_shares("o_orderstatus", "o_orderpriority")])
 _LINES = "lines AS (SELECT *, l_extendedprice * (1 - 4 * l_discount) AS l_net FROM lineitem)"
-_PRICED = "priced AS (SELECT *, o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 40000.0::DOUBLE ELSE 0 END AS adjusted FROM orders)"
+_PRICED = "priced AS (SELECT *, o_totalprice + CASE o_orderstatus WHEN 'O' THEN 40000.0::DOUBLE WHEN 'P' THEN 80000.0::DOUBLE ELSE 0.0::DOUBLE END AS adjusted FROM orders)"
 
 
 def _split(groups: str, label: str, place: str) -> str:

@@ -111,7 +111,7 @@ SELECT run_id, CASE WHEN rep AND dat THEN 'report_and_data' WHEN rep THEN 'repor
 _spec("grounding_digest", P.grounding_digest, "findings", "SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY created_at, finding_id))::INTEGER AS index, finding_id, finding_text AS text FROM findings WHERE origin = 'generated' AND status <> 'rejected' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY created_at, finding_id) <= 20")
 _spec("grounded_findings", lambda f: P.grounded(f.where("origin = 'stated'").select("finding_id", "run_id", (F.col("finding_id") % 25).cast("int").alias("grounded_pattern_index")), P.grounding_digest(f)).select("finding_id", "grounded_by_finding_id"), "findings", """WITH d AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY created_at, finding_id) AS k, finding_id AS g FROM findings WHERE origin = 'generated' AND status <> 'rejected')
 SELECT f.finding_id, g AS grounded_by_finding_id FROM findings f LEFT JOIN d ON d.run_id = f.run_id AND d.k = f.finding_id % 25 AND d.k <= 20 WHERE origin = 'stated'""")
-_spec("chart_eligibility", lambda f: P.chart_eligibility(f.where("finding_id % 3 = 1 OR theme < '3'").select("run_id", "theme", "origin", "pattern_type", F.when(F.col("has_stats"), "{}").alias("stated_stats"), F.lit("b").alias("banner_column"), F.lit("s").alias("stub_column"), F.when(F.col("finding_id") % 2 == 0, "x").alias("stub_category"))), "findings", """WITH g AS (SELECT run_id, theme, count(*) FILTER (origin <> 'generated' OR NOT has_stats) AS others, count(DISTINCT pattern_type) AS kinds, min(pattern_type) AS kind, count(*) FILTER (pattern_type IS NULL) AS untyped, count(*) FILTER (finding_id % 2 = 0) AS shares FROM findings WHERE finding_id % 3 = 1 OR theme < '3' GROUP BY 1, 2)
+_spec("chart_eligibility", lambda f: P.chart_eligibility(f.where("(finding_id % 3 = 1 AND has_stats) OR theme < '2'").select("run_id", "theme", "origin", "pattern_type", F.when(F.col("has_stats"), "{}").alias("stated_stats"), F.lit("b").alias("banner_column"), F.lit("s").alias("stub_column"), F.when(F.col("finding_id") % 2 == 0, "x").alias("stub_category"))), "findings", """WITH g AS (SELECT run_id, theme, count(*) FILTER (origin <> 'generated' OR NOT has_stats) AS others, count(DISTINCT pattern_type) AS kinds, min(pattern_type) AS kind, count(*) FILTER (pattern_type IS NULL) AS untyped, count(*) FILTER (finding_id % 2 = 0) AS shares FROM findings WHERE (finding_id % 3 = 1 AND has_stats) OR theme < '2' GROUP BY 1, 2)
 SELECT run_id, theme, CASE kind WHEN 'outlier' THEN 'outlier_strip' ELSE CASE WHEN shares > 0 THEN 'categorical_crosstab' ELSE 'group_means' END END AS chart FROM g WHERE others = 0 AND kinds = 1 AND untyped = 0""")
 _spec("theme_groups", V.theme_groups, "findings", f"""WITH g AS (SELECT run_id, coalesce(theme, 'No theme') AS theme, count(*) AS findings FROM findings WHERE duplicate_group_id IS NULL GROUP BY 1, 2) SELECT run_id, {_pos("CASE WHEN theme <> 'No theme' AND findings > 1 THEN 0 ELSE 1 END, theme = 'No theme', theme")}, theme, findings FROM g""")
 _spec("pill_counts", lambda f: V.pill_counts(V.filtered_findings(f, status="accepted", data_type="qualitative")), "findings", "SELECT run_id, coalesce(theme, 'No theme') AS theme, count(*) FILTER (duplicate_group_id IS NULL) AS findings, count(duplicate_group_id) AS duplicates FROM findings WHERE status = 'accepted' AND data_type = 'qualitative' GROUP BY 1, 2")
