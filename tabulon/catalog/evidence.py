@@ -103,8 +103,11 @@ def nation_tallies(spark, sf_dir):
 
 
 def statements(spark, sf_dir):
-    """What each part is, as a statement of five or six words."""
-    return _t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.lit("made by"), "p_brand", F.lit("in size"), F.col("p_size").cast("string")).alias("text"))
+    """Every turn as a statement, and every third once more without its first word."""
+    c = _t(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    again = c.where("turn % 3 = 0").select((key + 500).alias("id"), F.regexp_replace("text", r"^\S+\s+", "").alias("text"))
+    return c.select(key.alias("id"), "text").union(again)
 
 
 QUERIES = {
@@ -121,13 +124,13 @@ QUERIES = {
     "top3_per_group": ranked,
     "next_event": next_event,
     "nation_tallies": nation_tallies,
-    "similar_statements": lambda s, d: E.similar_statements(statements(s, d), "p_partkey", "text"),
-    "duplicate_statements": lambda s, d: E.duplicate_groups(statements(s, d), "p_partkey", "text"),
+    "similar_statements": lambda s, d: E.similar_statements(statements(s, d), "id", "text"),
+    "duplicate_statements": lambda s, d: E.duplicate_groups(statements(s, d), "id", "text"),
     "structural_duplicates": lambda s, d: E.structural_duplicates(_t(s, d, "documents"), ["text", "lang"], "doc_id"),
 }
 
 _K = "try_cast(json_extract_string(props, '$.k') AS DOUBLE)"
-_SETS = f"""sets AS (SELECT p_partkey AS id, list_sort({TOKENS.format(x="p_name || ' ' || p_type || ' made by ' || p_brand || ' in size ' || p_size")}) AS w FROM part), uniq AS (SELECT w, min(id) AS id FROM sets GROUP BY 1),
+_SETS = f"""said AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT conv_id * 1000 + turn + 500, regexp_replace(text, '^\\S+\\s+', '') FROM conversations WHERE turn % 3 = 0), sets AS (SELECT id, list_sort({TOKENS.format(x="text")}) AS w FROM said WHERE len({TOKENS.format(x="text")}) > 0), uniq AS (SELECT w, min(id) AS id FROM sets GROUP BY 1),
 pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE AS j FROM uniq a JOIN uniq b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.55 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))"""
 _TAG = "CASE WHEN least(n_a, n_b) < 30 THEN 2 WHEN least(n_a, n_b) < 50 THEN 1 ELSE 0 END"
 
