@@ -27,8 +27,8 @@ SIZES = (2, 3, 4)
 PROBES, FILL = 3, 0.1
 #: An n-gram goes in if it makes up at least this share of its language's n-grams of that length, so at most 1 / share of them do.
 LEAST_SHARE = 1 / 40_000
-#: Languages that a model may have, checked before anything of their number reaches the driver.
-MOST_LANGUAGES = 4096
+#: Languages that a model may have, and bytes of its filter, both checked before anything of their number reaches the driver.
+MOST_LANGUAGES, MOST_BYTES = 4096, 1 << 28
 #: Code points whose n-grams are taken at once.
 BLOCK = 1 << 16
 #: Languages are fitted on at most so many of their labelled documents each, chosen by a hash of the id.
@@ -54,18 +54,21 @@ def _fold_table() -> np.ndarray:
 
 
 def folded(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, code) of folded characters; a run of non-letters is one blank, and blanks stand at both ends of each row."""
+    """(row, code) of folded characters; a run of non-letters is one blank, and one blank stands at both ends of each row with letters.
+
+    So what a row gives doesn't hang on its neighbours.
+    """
     table = _fold_table()
     own = [x if x is not None else "" for x in text.to_pylist()]
-    raw = np.frombuffer("\n".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n_chars = np.fromiter(map(len, own), np.int64, len(own))
-    # Each row is its characters and one separator, a blank.
-    code = np.append(table[raw], np.uint32(32))
+    # Each row is its characters between two separators, which fold to blanks.
+    raw = np.frombuffer("".join(f"\n{x}\n" for x in own).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, own), np.int64, len(own)) + 2
+    code = table[raw]
     blank = code == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
-    keep[0] = True
-    return np.repeat(np.arange(len(own), dtype=np.int32), n_chars + 1)[keep], code[keep]
+    keep[np.cumsum(size) - size] = True
+    return np.repeat(np.arange(len(own), dtype=np.int32), size)[keep], code[keep]
 
 
 def ngrams(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,15 +171,17 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, least_share: float
     sample = known.where(draw < rate[F.col("lang")]).select("text", "lang")
     grams = cut(_ngram_counts(sample))
     least = grams.groupBy("lang", "size").agg((F.sum("n") * least_share).alias("least"))
-    chosen = grams.join(F.broadcast(least), ["lang", "size"]).where("n >= least").groupBy("lang", "size").agg(F.collect_list("gram").alias("grams"))
-    chosen = [(r["lang"], np.array(r["grams"], np.int64).view(np.uint64)) for r in chosen.toLocalIterator()]
+    chosen = cut(grams.join(F.broadcast(least), ["lang", "size"]).where("n >= least").select("lang", "size", "gram"))
     languages = sorted(counts)
-    many = max(sum(len(h) for lang, h in chosen if lang == own) for own in languages)
-    slots = 1 << max(10, math.ceil(math.log2(max(1, many) * PROBES / FILL)))
-    planes = np.zeros(((len(languages) + 63) // 64, slots), np.uint64)
-    for lang, h in chosen:
-        plane, bit = divmod(languages.index(lang), 64)
-        for s in _slots(h, slots):
+    most = chosen.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    slots = 1 << max(10, math.ceil(math.log2(most * PROBES / FILL)))
+    shape = ((len(languages) + 63) // 64, slots)
+    if 8 * shape[0] * shape[1] > MOST_BYTES:
+        raise ValueError(f"a filter of {shape} words has more than {MOST_BYTES} bytes: raise least_share")
+    planes = np.zeros(shape, np.uint64)
+    for r in chosen.groupBy("lang", "size").agg(F.collect_list("gram").alias("grams")).toLocalIterator():
+        plane, bit = divmod(languages.index(r["lang"]), 64)
+        for s in _slots(np.array(r["grams"], np.int64).view(np.uint64), slots):
             planes[plane][s] |= np.uint64(1 << bit)
     fill = np.array([((planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return LanguageModel(languages, planes, fill**PROBES)
