@@ -94,9 +94,11 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     Two vectors link when their labels are equal and not null and their cosine
     is at least ``threshold``.  Null, empty and zero vectors, those with null or
     non-finite components, and null labels link with nothing; vectors of other
-    lengths under the same label don't link either.  Repeated rows are vectors of
-    their own and link as copies do.  n_links counts other rows; kept marks the
-    least id of a component.
+    lengths under the same label don't link either.  Each row is a vector of its
+    own: repeated rows link as copies do, and different vectors under one id, or
+    under none, have each their own links.  n_links counts other rows;
+    component_id is the least id that isn't null among the rows reachable, null
+    if there is none; kept marks the rows of that id.
     """
     vec = F.col("embedding").cast("array<double>")
     sound = F.coalesce(
@@ -107,7 +109,8 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     )
     rows = embeddings.select("vec_id", "label", vec.alias("vec"), sound.alias("sound"))
     good = rows.where("sound")
-    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    # A class is named by a hash of what makes it, as ids may repeat or be null.
+    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.xxhash64("label", "vec"))
     width = CELL * distance_at(threshold)
 
     @F.pandas_udf("int")
@@ -173,11 +176,13 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD,
     found = cut(work_rows.groupBy("label", "at", "i", "j").applyInPandas(link, "rep long, links long, other long"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    linked = component.withColumnRenamed("node", "rep")
+    least = placed.select("rep", "least").join(linked, "rep").groupBy("component").agg(F.min("least").alias("least_of_all"))
     known = (
-        placed.select("label", "vec", "rep", "weight")
+        placed.select("label", "vec", "rep", "least", "weight")
         .join(totals, "rep", "left")
-        .join(component.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+        .join(linked.join(least, "component"), "rep", "left")
+        .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("least_of_all")).alias("c"))
     )
     # The cut lets Spark split the many rows of a very common vector: neither side of the join is an aggregate.
     known = cut(known)
