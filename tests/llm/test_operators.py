@@ -249,6 +249,22 @@ def test_scores_match_brute_force_shares(spark):
     assert one[0] == many[0] and abs(one[1][0] - many[1][0]) < 0.01
 
 
+def test_equal_texts_score_equally_at_every_place(spark):
+    rows = [(1, "der die das und der", "de"), (2, "the cat and the dog", "en")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["1. der the", " 1. der the", "the der", ""]
+    alone = {t: [x[0] for x in model.predict(pa.array([t]))] for t in texts}
+    for order in itertools.permutations([*texts, texts[0], None]):
+        lang, score = model.predict(pa.array(order, pa.string()))
+        assert [[a, b] for a, b in zip(lang, score, strict=True)] == [alone[t or ""] for t in order]
+
+
+def test_a_filter_too_large_to_broadcast_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame([(1, "der die das", "de")], "doc_id long, text string, lang string"))
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(language_id.training_rows(frame))
@@ -543,6 +559,23 @@ def test_jaccard_edges(spark):
 # 10
 
 
+def test_jaccard_links_rows_without_id(spark):
+    base = [f"t{i}" for i in range(40)]
+    rows = [(None, " ".join(base)), (5, " ".join([*base, "more"])), (None, "a b c d"), (None, "a b c d"), (7, "other words here"), (None, "other words here")]
+    got = jaccard_join.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90)
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect())
+    assert found == Counter([(None, 38, 5), (5, 39, 5), (None, 2, None), (None, 2, None), (7, 1, 7), (None, 1, 7)])
+
+
+def test_vectors_that_share_an_id_have_each_their_own_links(spark):
+    e = np.eye(4)
+    rows = [(1, e[0]), (1, e[1]), (2, e[0] + 0.01), (3, e[1] + 0.01), (4, e[2]), (None, e[3]), (None, e[3]), (None, e[3] + 0.01), (9, e[3] + 0.02)]
+    rows = [(i, [float(x) for x in v], 1) for i, v in rows]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    found = Counter((r.vec_id, r.n_links, r.component_id) for r in got.collect())
+    assert found == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (None, 3, 9), (None, 3, 9), (None, 3, 9), (9, 3, 9)])
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = []
