@@ -228,3 +228,19 @@ def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = root[root]
         if (root == was).all():
             return root
+
+
+def runs_of(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs of bytes marked in ``solid`` that lie inside one row."""
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[off] = True
+    begin, last = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1] | edge[1:-1]
+    last[:-1] &= ~solid[1:] | edge[1:-1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    return np.searchsorted(off, start, "right") - 1, start, end
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z turned to a-z."""
+    return _LOWER[data]
