@@ -13,7 +13,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabulon.llm import chat_format, embedding_dedup, fingerprints, html_extract, jaccard_join, language_id, sentencepiece_codec, source_mixing, substring_dedup, token_counts, words
+from tabulon.llm import (
+    chat_format, crc, embedding_dedup, fingerprints, html_extract, importance_resampling, jaccard_join, language_id, neighbour_search, sentencepiece_codec, source_mixing,
+    spelling_variants, substring_dedup, token_counts, words,
+)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -639,3 +642,197 @@ def test_windows_on_sorted_lines_are_counted():
     for need in (1, 3, 5):
         a, b = embedding_dedup.colliding_pairs(q, x, 0.4, need)
         assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(near >= need)), strict=True))
+
+
+# 11 nearest neighbours
+
+
+def brute_neighbours(queries, rows, k):
+    """(query_id, rank, vec_id) by exact inner products, equal rows once; own ids left out."""
+    def fine(v):
+        return v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    def distinct(some):
+        return list({(i, tuple(v)) for i, v in some if i is not None and fine(v)})
+
+    out, scores = [], {}
+    for qi, q in distinct(queries):
+        near = sorted((-sum(float(a) * float(b) for a, b in zip(q, v, strict=True)), i) for i, v in distinct(rows) if i != qi and len(v) == len(q))
+        out += [(qi, r, i) for r, (_, i) in enumerate(near[:k], 1)]
+        scores.update({(qi, r): -s for r, (s, _) in enumerate(near[:k], 1)})
+    return Counter(out), scores
+
+
+def test_neighbours_of_small_tables_are_exact(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-4, 5, (30, 3)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(100 + i, base[1].tolist()) for i in range(40)]  # copies: ties to smaller ids
+    rows += [(5, base[5].tolist()), (7, [9.0, 9.0, 9.0]), (None, [1.0, 1.0, 1.0]), (200, None), (201, []), (202, [0.0, 0.0, 0.0]), (203, [1.0, None, 2.0]), (204, [1.0, float("nan"), 2.0])]
+    rows += [(205, [float("inf"), 1.0, 1.0]), (206, [1.0, 2.0]), (207, [3.0, -1.0]), (208, [1e6, -1e6, 1e6]), (209, [1e-6, 1e-6, 0.0])]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    asked = table.where("vec_id % 5 = 0 OR vec_id IN (7, 206, 208, 209) OR vec_id IS NULL")
+    got = neighbour_search.nearest_neighbours(asked, table, k=4).collect()
+    want, scores = brute_neighbours([(r.vec_id, r.embedding) for r in asked.collect()], rows, 4)
+    assert Counter((r.query_id, r.rank, r.vec_id) for r in got) == want
+    by_key = Counter((r.query_id, r.rank) for r in got)
+    assert all(r.score == pytest.approx(scores[r.query_id, r.rank]) for r in got if by_key[r.query_id, r.rank] == 1)
+    few = neighbour_search.nearest_neighbours(asked, table, k=500)
+    assert Counter((r.query_id, r.rank, r.vec_id) for r in few.collect()) == brute_neighbours([(r.vec_id, r.embedding) for r in asked.collect()], rows, 500)[0]
+    assert neighbour_search.nearest_neighbours(asked.limit(0), table).count() == 0 == neighbour_search.nearest_neighbours(asked, table.limit(0)).count()
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.8])
+def test_neighbours_of_many_vectors_reach_the_recall(spark, monkeypatch, spread):
+    monkeypatch.setattr(neighbour_search, "BLOCK", 128)
+    monkeypatch.setattr(neighbour_search, "KEPT", 500)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 32))
+    x *= (np.exp(spread * rng.standard_normal(3000)) / np.linalg.norm(x, axis=1))[:, None]
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in neighbour_search.nearest_neighbours(table.where("vec_id % 20 = 0"), table).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    exact = x[::20].astype(float) @ x.astype(float).T
+    hits = 0
+    for row, q in enumerate(range(0, 3000, 20)):
+        own = [i for i in np.argsort(-exact[row], kind="stable") if i != q][:20]
+        assert sorted(got[q]) == list(range(1, 21))
+        assert [got[q][r][1] for r in range(1, 21)] == sorted((s for _, s in got[q].values()), reverse=True)
+        assert all(s == pytest.approx(exact[row, i]) for i, s in got[q].values())
+        hits += len({i for i, _ in got[q].values()} & set(own))
+    assert hits >= 0.97 * 20 * 150
+
+
+# 12 importance resampling
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=90), max_size=8), st.integers(0, 2**32 - 1))
+def test_crc_of_spans(parts, seed):
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    end = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    start = end - [len(p) for p in parts]
+    got = crc.extend(np.full(len(parts), seed, np.uint32), data, start, end)
+    assert got.tolist() == [zlib.crc32(p, seed) for p in parts]
+    assert crc.extend_byte(got, 0x20).tolist() == [zlib.crc32(p + b" ", seed) for p in parts]
+
+
+def brute_resampling(rows, target, percent=25, least=20):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def bag(text):
+        w = word.findall(lowered(text))
+        return len(w), [zlib.crc32(f.encode()) % 10000 for f in [*w, *(f"{a} {b}" for a, b in itertools.pairwise(w))]]
+
+    source, goal = Counter(), Counter()
+    for _, text in rows:
+        source.update(bag(text)[1])
+    for text in target:
+        goal.update(bag(text)[1])
+    all_s, all_t = sum(source.values()), sum(goal.values())
+    scored = []
+    for key, text in rows:
+        n, own = bag(text)
+        weight = sum(math.floor(1000 * math.log((goal[b] + 1) * (all_s + 10000) / ((source[b] + 1) * (all_t + 10000)))) for b in own) // len(own) if own else 0
+        h = None if key is None else int(hashlib.sha256(f"7:{key}".encode()).hexdigest()[:8], 16)
+        scored.append((key, len(own), weight, None if h is None else weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), n >= least and h is not None))
+    able = sorted((-s, k) for k, _, _, s, ok in scored if ok)
+    return scored, able[: percent * len(able) // 100]
+
+
+def test_resampling_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = ["alpha", "Beta", "gämma", "x1", "漢字", "tok", "and", "W" * 80]
+    rows = [(i % 37, " ".join(rng.choice(vocabulary, int(rng.integers(0, 60))))) for i in range(120)]
+    rows += [(500, rows[3][1])] * 40 + [(1, None), (2, ""), (3, "-- ?"), (None, rows[4][1]), (None, None), (77, LONG)]
+    target = ["alpha beta x1", None, "", "gämma gämma 漢字", "alpha"]
+    table = spark.createDataFrame([(i, t, 9, "r") for i, t in rows], "doc_id long, text string, score int, rank string")
+    aims = spark.createDataFrame([(t,) for t in target], "text string")
+    got = importance_resampling.resample(table, aims).collect()
+    scored, drawn = brute_resampling(rows, target)
+    assert Counter((r.doc_id, r.n_features, r.weight, r.score) for r in got) == Counter(s[:4] for s in scored)
+    ranked = sorted((r.rank, -r.score, r.doc_id) for r in got if r["rank"] is not None)
+    assert [x[0] for x in ranked] == list(range(1, len(drawn) + 1)) and [x[1:] for x in ranked] == drawn
+    assert importance_resampling.resample(table.limit(0), aims).count() == 0
+    assert importance_resampling.resample(table, aims.limit(0)).count() == len(rows)
+    assert all(r["rank"] is None for r in importance_resampling.resample(table.where("doc_id = 2"), aims).collect())
+
+
+def test_ranks_of_one_score_follow_ids(spark):
+    rows = [(i % 50, 1, 2, 3, True) for i in range(200)] + [(900, 1, 2, 9, True), (901, 1, 2, 99, False)]
+    got = importance_resampling.draw_highest(spark.createDataFrame(rows, "doc_id long, n_features long, weight long, score long, eligible boolean"), 50).collect()
+    ranks = sorted((r["rank"], r.doc_id) for r in got if r["rank"] is not None)
+    assert ranks == [(1, 900)] + [(i + 2, i // 4) for i in range(99)] and len(got) == 202
+
+
+# 13 spelling variants
+
+
+def brute_variants(rows, every=97, least_chars=5, least=3):
+    count = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % every == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= least_chars and n >= least}
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    out, form = {}, {}
+    for w, n in words.items():
+        own = sorted((-words[x], x) for x in words if x != w and near(w, x))
+        form[w] = own[0][1] if own and -own[0][0] >= 2 * n else None
+        out[w] = len(own)
+    found = set()
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        found.add((w, form[w], root, n, out[w], words[form[w]] if form[w] else None))
+    return found
+
+
+@pytest.mark.parametrize("block", [2, 256])
+@pytest.mark.parametrize("every", [2, 97])
+def test_variants_match_brute_force(spark, block, every):
+    rng = np.random.default_rng(block + every)
+    stems = ["abcde", "abcdef", "aaaaa", "aaaaaa", "straße", "éàüöñ", "Éàüöñ", "xabcde", "bcdefg", "m×n÷pq", "short", "shirt", "shorts", "z" * 300, "z" * 299 + "y"]
+    rows = []
+    for i in range(150):
+        words = []
+        for stem in rng.choice(stems, 12):
+            w = list(stem)
+            if rng.random() < 0.4:
+                w[rng.integers(len(w))] = rng.choice(list("abxyzé"))
+            words.append("".join(w))
+        rows.append((int(i % 40), rng.choice(["1", ", ", " "]).join(words)))
+    rows += [(None, rows[0][1]), (3, None), (4, ""), (5, "abcde " * 50), (5, "abcde " * 50)]
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n int, form int")
+    got = spelling_variants.group_variants(table, every=every, block=block).collect()
+    assert len(got) > 50 and {tuple(r) for r in got} == brute_variants(rows, every)
+    assert len(got) == len({r.word for r in got})
+    assert spelling_variants.group_variants(table.limit(0)).count() == 0
+
+
+def test_a_crowded_family_keeps_all_its_pairs(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [("same" + a + b + "tail", 3) for a in letters for b in letters]
+    pairs = spelling_variants.near_words(spark.createDataFrame(words, "word string, n long"), block=20)
+    n = Counter(r.word for r in pairs.collect())
+    assert len(n) == 676 and set(n.values()) == {50}
+
+
+def test_chains_lead_to_their_ends(spark):
+    forms = [(f"w{i}", f"w{i + 1}") for i in range(11)] + [("a", "w5")]
+    got = {r.word: r.root for r in spelling_variants.roots(spark.createDataFrame(forms, "word string, form string")).collect()}
+    assert got == {w: "w11" for w, _ in forms}

@@ -4,11 +4,12 @@ import hashlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tabulon.llm import queries as Q
 
-TABLES = ("documents", "embeddings", "pages", "conversations")
+TABLES = ("documents", "embeddings", "pages", "conversations", "benchmark")
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,7 @@ def test_each_document_gets_its_row(made, tables):
     for name in ("op2_fingerprints", "op4_language_id", "op6_substring_dedup", "op7_sentencepiece", "op9_jaccard_join"):
         assert sorted(made[name]["doc_id"]) == ids, name
     assert set(made["op3_token_counts"]["doc_id"]) == set(ids)
+    assert sorted(made["op12_importance_resampling"]["doc_id"]) == ids
     assert sorted(made["op8_html_extract"]["page_id"]) == sorted(tables["pages"]["page_id"])
     assert sorted(made["op10_embedding_dedup"]["vec_id"]) == sorted(tables["embeddings"]["vec_id"])
 
@@ -55,3 +57,15 @@ def test_conversations_read_back_and_one_is_added(made, tables):
 
 def test_pieces_decode_to_the_text(made):
     assert (made["op7_sentencepiece"]["text_sha256"] == made["op7_sentencepiece"]["decoded_sha256"]).all()
+
+
+def test_neighbours_have_the_recall(made, tables):
+    rows = tables["embeddings"]
+    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    got, hits = made["op11_neighbour_search"], 0
+    asked = [i for i in ids if i % 20 == 0]
+    assert sorted(set(got["query_id"])) == sorted(asked) and len(got) == 20 * len(asked)
+    for q, own in got.groupby("query_id"):
+        near = sorted(zip(-(x @ x[ids == q][0]), ids, strict=True))
+        hits += len({i for _, i in near if i != q} & set(own["vec_id"]) & {i for _, i in [p for p in near if p[1] != q][:20]})
+    assert hits >= 0.98 * 20 * len(asked)
