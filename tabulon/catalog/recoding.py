@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulon.catalog import coding as K
 from tabulon.catalog.fixtures import oracle, tables
+from tabulon.operators import analysis as A
 from tabulon.operators import resegment as R
 
 _SPECS: dict[str, tuple] = {}
@@ -101,6 +103,63 @@ UNION ALL SELECT doc, codebook_id * 100 + position, version, name, position, CAS
 UNION ALL SELECT doc, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM bad""")
 
 
+# The composed analysis: conversations as transcripts, every second one a focus group; one code has a keyword of two terms, one is on no turn.
+_BOOK = [(1, "article", "grammar", "the, that"), (2, "joining", "grammar", ""), (3, "owning", "grammar", ""), (4, "near", "place", "with"), (5, "plain", "place", None), (6, "asking", None, None), (7, "unused", "", "zzzz")]
+
+
+def _analysis(spark, sf_dir):
+    turns, codes = K._both(spark, sf_dir)
+    book = turns.select("doc").distinct().crossJoin(F.broadcast(spark.createDataFrame(_BOOK, "number int, code string, theme string, keywords string")))
+    return A.analysis_view(turns, codes, book, K._groups(turns))
+
+
+def _line(items, *fields: str):
+    text = lambda x: F.concat_ws("|", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])
+    return F.array_join(F.transform(items, text), ";")
+
+
+def _analysis_text(spark, sf_dir):
+    """The nested results of each document as lines of text."""
+    v = _analysis(spark, sf_dir)
+    keywords = F.flatten(F.transform("codes", lambda c: c["keywords"]))
+    held = F.array_join(F.transform("respondents", lambda r: F.array_join(F.transform(r["code_turns"], lambda c: F.concat_ws("=", c["code"], c["turns"].cast("string"))), ",")), ";")
+    measures = ("turns", "speakers_with", "episodes", "echo_turns", "independent")
+    return v.select(
+        "doc", "focus", "participant_turns", "moderator_turns", "unlabelled_turns", F.col("speakers_total").cast("long").alias("speakers_total"), _line("codes", "number", "code", "theme", *measures).alias("codes"), _line("themes", "theme", *measures).alias("themes"),
+        _line(keywords, "term", "mentions", "turns", "speakers").alias("keywords"), _line("respondents", "label", "turns", "words", "sentences").alias("respondents"), held.alias("held"), _line("speakers", "label", "turns", "moderator").alias("speakers"), F.array_join(F.transform("curve", lambda n: n.cast("string")), ",").alias("curve"),
+    )
+
+
+def _analysis_sql() -> str:
+    values = ", ".join("(" + ", ".join("NULL" if x is None or x == "" else repr(x) for x in row[:3]) + ")" for row in _BOOK)
+    terms = ", ".join(f"({row[0]}, {i}, '{t.strip()}')" for row in _BOOK for i, t in enumerate((row[3] or "").split(",")) if t.strip())
+
+    def measured(side: str) -> str:
+        """Turns, speakers, episodes and echoes of the units (doc, code, idx) of a relation."""
+        echo = K._ECHOES.replace("codes c", f"{side} c").replace("coded", f"coded_{side}").replace("echo AS", f"echo_{side} AS")
+        return f"""{echo}, gaps_{side} AS (SELECT doc, code, idx - lag(idx) OVER (PARTITION BY doc, code ORDER BY idx) AS gap FROM {side}), runs_{side} AS (SELECT doc, code, count(*) FILTER (gap IS NULL OR gap > 3) AS episodes FROM gaps_{side} GROUP BY 1, 2),
+stats_{side} AS (SELECT c.doc, c.code, count(*) AS turns, count(DISTINCT speaker) AS speakers_with, any_value(r.episodes) AS episodes, count(*) FILTER (e.doc IS NOT NULL AND c.doc % 2 = 0) AS echo_turns, count(DISTINCT speaker) FILTER (e.doc IS NULL) AS free
+  FROM {side} c JOIN turns USING (doc, idx) LEFT JOIN echo_{side} e USING (doc, idx, code) JOIN runs_{side} r USING (doc, code) GROUP BY 1, 2)"""
+
+    shown = "coalesce(turns, 0) || '|' || CASE WHEN total IS NULL THEN '-' ELSE coalesce(speakers_with, 0)::VARCHAR END || '|' || coalesce(episodes, 0) || '|' || coalesce(echo_turns, 0) || '|' || CASE WHEN total IS NULL OR d.doc % 2 = 1 THEN '-' ELSE coalesce(free, 0)::VARCHAR END"
+    mentions = "len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w = term))"
+    return f"""WITH {K._CODES}, book(number, code, theme) AS (VALUES {values}), terms(number, spot, term) AS (VALUES {terms}),
+themed AS (SELECT DISTINCT doc, idx, theme AS code FROM codes JOIN book USING (code) WHERE theme IS NOT NULL), {measured('codes')}, {measured('themed')},
+d AS (SELECT doc, count(*) FILTER (role <> 'moderator') AS participant_turns, count(*) FILTER (role = 'moderator') AS moderator_turns, count(*) FILTER (role <> 'moderator' AND speaker IS NULL) AS unlabelled_turns, nullif(count(DISTINCT speaker) FILTER (role <> 'moderator'), 0) AS total FROM turns GROUP BY 1),
+code_lines AS (SELECT d.doc, string_agg(number || '|' || b.code || '|' || coalesce(theme, '-') || '|' || {shown}, ';' ORDER BY number) AS t FROM d CROSS JOIN book b LEFT JOIN stats_codes s ON s.doc = d.doc AND s.code = b.code GROUP BY 1),
+theme_lines AS (SELECT d.doc, string_agg(theme || '|' || {shown}, ';' ORDER BY number) AS t FROM d CROSS JOIN (SELECT theme, min(number) AS number FROM book WHERE theme IS NOT NULL GROUP BY 1) b LEFT JOIN stats_themed s ON s.doc = d.doc AND s.code = b.theme GROUP BY 1),
+hits AS (SELECT doc, number, spot, term, {mentions} AS n, speaker FROM turns CROSS JOIN terms WHERE role <> 'moderator'),
+term_lines AS (SELECT doc, string_agg(term || '|' || m || '|' || k || '|' || CASE WHEN total IS NULL THEN '-' ELSE w::VARCHAR END, ';' ORDER BY number, spot) AS t FROM (SELECT doc, number, spot, term, sum(n)::BIGINT AS m, count(*) FILTER (n > 0) AS k, count(DISTINCT speaker) FILTER (n > 0) AS w FROM hits GROUP BY 1, 2, 3, 4) h JOIN d USING (doc) GROUP BY doc),
+people AS (SELECT doc, speaker, min(idx) AS first, count(*) AS turns, sum({K._COUNT_WORDS}) AS words, sum({K._SENTENCES}) AS sentences FROM turns JOIN d USING (doc) WHERE role <> 'moderator' AND (speaker IS NOT NULL OR total IS NULL) GROUP BY 1, 2),
+voices AS (SELECT doc, speaker, code, count(*) AS n FROM codes JOIN turns USING (doc, idx) GROUP BY 1, 2, 3), own AS (SELECT doc, speaker, string_agg(code || '=' || n, ',' ORDER BY code) AS t FROM voices GROUP BY 1, 2),
+people_lines AS (SELECT doc, string_agg(coalesce(speaker, '{A.WHOLE}') || '|' || turns || '|' || words || '|' || sentences, ';' ORDER BY first) AS t, string_agg(coalesce(own.t, ''), ';' ORDER BY first) AS h FROM people LEFT JOIN own USING (doc, speaker) GROUP BY 1),
+speaker_lines AS (SELECT doc, string_agg(speaker || '|' || n || '|' || asks, ';' ORDER BY first) AS t FROM (SELECT doc, speaker, min(idx) AS first, count(*) AS n, role = 'moderator' AS asks FROM turns WHERE speaker IS NOT NULL GROUP BY doc, speaker, role) x GROUP BY 1),
+places AS (SELECT doc, speaker, row_number() OVER (PARTITION BY doc ORDER BY first) AS place FROM people WHERE speaker IS NOT NULL), met AS (SELECT doc, code, min(place) AS place FROM voices JOIN places USING (doc, speaker) GROUP BY 1, 2),
+curve AS (SELECT doc, string_agg(n::VARCHAR, ',' ORDER BY place) AS t FROM (SELECT p.doc, p.place, count(m.code) AS n FROM places p LEFT JOIN met m USING (doc, place) GROUP BY 1, 2) x GROUP BY 1)
+SELECT d.doc, d.doc % 2 = 0 AS focus, participant_turns, moderator_turns, unlabelled_turns, total AS speakers_total, c.t AS codes, m.t AS themes, coalesce(k.t, '') AS keywords, coalesce(p.t, '') AS respondents, coalesce(p.h, '') AS held, coalesce(s.t, '') AS speakers, coalesce(v.t, '') AS curve
+FROM d JOIN code_lines c USING (doc) JOIN theme_lines m USING (doc) LEFT JOIN term_lines k USING (doc) LEFT JOIN people_lines p USING (doc) LEFT JOIN speaker_lines s USING (doc) LEFT JOIN curve v USING (doc)"""
+
+
 def _query(name: str):
     function, names, _ = _SPECS[name]
     return lambda spark, sf_dir: function(*tables(spark, sf_dir, *names))
@@ -108,3 +167,5 @@ def _query(name: str):
 
 QUERIES = {name: _query(name) for name in _SPECS}
 ORACLE_SQL = {name: oracle(sql, *names) for name, (_, names, sql) in _SPECS.items()}
+QUERIES["analysis_view"] = _analysis_text
+ORACLE_SQL["analysis_view"] = _analysis_sql()

@@ -89,7 +89,7 @@ def split_keywords(x: Column) -> Column:
     """Distinct terms of a keyword cell: the quoted ones if any are, else the parts between commas, semicolons, lines or bars; 80 characters at most."""
     quoted = F.regexp_extract_all(x, F.lit("[\"“”]([^\"“”]+)[\"“”]"), F.lit(1))
     parts = F.when(F.size(quoted) > 0, quoted).otherwise(F.split(x, r"[,;\n|]"))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda s: (s != "") & (F.length(s) <= 80)))
+    return F.array_distinct(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: (s != "") & (F.length(s) <= 80)))
 
 
 def keyword_count(text: Column, keyword: Column) -> Column:

@@ -22,7 +22,7 @@ CHARTABLE = ("banner_comparison", "segment_difference", "relationship", "outlier
 
 def theme_name(*columns: Column) -> Column:
     """The first three different column names, joined by ampersands."""
-    names = F.array_distinct(F.filter(F.transform(F.array(*columns), F.trim), lambda c: c != ""))
+    names = F.array_distinct(F.filter(F.transform(F.array(*columns), lambda c: F.trim(c)), lambda c: c != ""))
     return F.array_join(F.slice(names, 1, 3), " & ")
 
 
