@@ -203,6 +203,89 @@ def pillars(answers: DataFrame, insights: DataFrame, most: int = MOST_PROOFS) ->
     return named.union(bare.select("key", F.col("index"), F.coalesce("confidence_tier", F.lit("Key finding")), "headline", F.col("synth_id").cast("string"), F.lit(0).cast("long")))
 
 
+#: Findings of a request and of a pass, insights of a request and of a pass, insights and claims of a contradiction check, characters of a brief.
+VERDICTS_EACH, VERDICTS_MOST, ACTIONS_EACH, ACTIONS_MOST, CHECKS_MOST, CLAIMS_MOST, BRIEF_CHARS = 20, 100, 10, 60, 30, 80, 40_000
+#: Verdict tiers, priorities, and the texts that every recommendation has.
+TIERS, PRIORITIES = ("robust", "use_with_caution", "not_supported", "insufficient_information"), ("high", "medium", "low")
+ACTION_TEXTS = ("action_text", "owner_role", "owner_feasibility_note", "timeline", "metric", "assumptions_and_risks", "alternatives_considered")
+#: The wording of a finding without a judgement, of a conflict without a reason, and of a theme that is missing.
+NOT_JUDGED = "The verification pass did not return a judgment for this finding; try re-running it."
+CONFLICT = "The insight's conclusion conflicts with this claim."
+NO_THEME = "Uncategorized"
+
+
+def _entries(answers: DataFrame, name: str, schema: str) -> DataFrame:
+    """(key, place, ...) of the objects in the list ``name`` of each answer; fields of another kind are null."""
+    listed = F.try_variant_get(F.try_parse_json("answer"), f"$.{name}", "array<variant>")
+    fields = [x.strip().split(" ") for x in schema.split(",")]
+    rows = answers.select("key", F.posexplode(listed).alias("place", "item"))
+    return rows.select("key", "place", *[_typed(F.col("item"), f"$.{n}", kind).alias(n) for n, kind in fields])
+
+
+def _typed(value: Column, path: str, kind: str) -> Column:
+    """A field of a variant if it is a whole number, or a text, as ``kind`` (int or string) asks; null if it is something else."""
+    inner = F.try_variant_get(value, path, "variant")
+    is_text = F.schema_of_variant(inner) == "STRING"
+    if kind == "string":
+        return F.when(is_text, F.try_variant_get(value, path, "string"))
+    number = F.when(F.schema_of_variant(inner).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(value, path, "double"))
+    return F.when((number == F.floor(number)) & (F.abs(number) < 1e9), number.cast("int"))
+
+
+def judged_findings(answers: DataFrame, requests: DataFrame) -> DataFrame:
+    """(key, index, tier, rationale) of verdicts with an index inside the request (key, n), a known tier and a rationale; the first of each index."""
+    rows = _entries(answers, "verdicts", "index int, verdict_tier string, rationale string").join(requests.select("key", "n"), "key")
+    fine = rows.where((F.col("index") >= 0) & (F.col("index") < F.col("n")) & F.col("verdict_tier").isin(*TIERS) & (F.length("rationale") > 0))
+    return _first(fine, "index").select("key", "index", F.col("verdict_tier").alias("tier"), "rationale")
+
+
+def pass_verdicts(judged: DataFrame, requests: DataFrame, failed: DataFrame) -> DataFrame:
+    """(run_id, item_id, tier, rationale) of a pass over requests (key, run_id, items): findings that an answer skipped lack information.
+
+    Runs with a request that failed (run_id) get nothing, so the pass is tried again as a whole.
+    """
+    asked = requests.join(failed.select("run_id"), "run_id", "left_anti").select("key", "run_id", F.posexplode("items").alias("index", "item_id"))
+    both = asked.join(judged, ["key", "index"], "left")
+    return both.select("run_id", "item_id", F.coalesce("tier", F.lit("insufficient_information")).alias("tier"), F.coalesce("rationale", F.lit(NOT_JUDGED)).alias("rationale"))
+
+
+def contradiction_answers(answers: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(checked, found): keys whose answer is an object, and (key, claim_id, detail) of the claims in requests (key, claims) that it says are contradicted, each once.
+
+    Only whole numbers inside the list of claims count; other answers leave the insight unchecked.
+    """
+    parsed = answers.withColumn("v", F.try_parse_json("answer")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    listed = F.coalesce(F.try_variant_get("v", "$.contradicted_indices", "array<variant>"), F.array().cast("array<variant>"))
+    number = F.transform(listed, lambda x: F.when(F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(x, "$", "double")))
+    whole = F.array_distinct(F.filter(number, lambda x: x.isNotNull() & (x == F.floor(x)) & (x >= 0)))
+    detail = F.coalesce(F.nullif(F.trim(_typed(F.col("v"), "$.detail", "string")), F.lit("")), F.lit(CONFLICT))
+    each = parsed.select("key", detail.alias("detail"), F.explode(whole).alias("index")).join(requests.select("key", "claims"), "key")
+    found = each.where(F.col("index") < F.size("claims")).select("key", F.get("claims", F.col("index").cast("int")).alias("claim_id"), "detail")
+    return parsed.select("key").distinct(), found
+
+
+def recommendation_answers(answers: DataFrame, requests: DataFrame) -> DataFrame:
+    """(key, place, index, priority, action_text, ...) of recommendations with an index inside the request (key, n), a known priority and every text, trimmed."""
+    rows = _entries(answers, "recommendations", ", ".join(["index int", "priority string", *[f"{t} string" for t in ACTION_TEXTS]])).join(requests.select("key", "n"), "key")
+    told = rows.withColumns({t: F.trim(t) for t in ACTION_TEXTS})
+    fine = told.where((F.col("index") >= 0) & (F.col("index") < F.col("n")) & F.col("priority").isin(*PRIORITIES))
+    for t in ACTION_TEXTS:
+        fine = fine.where(_said(t))
+    return fine.select("key", "place", "index", "priority", *ACTION_TEXTS)
+
+
+def framing_answers(answers: DataFrame) -> DataFrame:
+    """(key, business_problem, research_objective), trimmed; null where an answer has no such text."""
+    v = F.try_parse_json("answer")
+    return answers.select("key", *[F.nullif(F.trim(_typed(v, f"$.{c}", "string")), F.lit("")).alias(c) for c in ("business_problem", "research_objective")])
+
+
+def framing_prompt(brief: Column, proposal: Column) -> Column:
+    """The documents of a run under their headings, each cut at 40,000 characters; null where there is neither."""
+    part = lambda name, x: F.when(F.length(x) > 0, F.concat(F.lit(f"=== {name} ===\n"), F.left(x, F.lit(BRIEF_CHARS))))
+    return F.nullif(F.concat_ws("\n\n", part("BRIEF", brief), part("PROPOSAL", proposal)), F.lit(""))
+
+
 def verdict_answers(answers: DataFrame) -> DataFrame:
     """(key, tier): judged tiers that exist; others count as insufficient information."""
     tier = F.get_json_object("answer", "$.tier")
