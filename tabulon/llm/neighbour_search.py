@@ -37,12 +37,12 @@ K, LINES, SEED = 20, 48, 11
 WINDOW, RECALL = 1.5, 0.98
 #: First radius, by the length of a unit vector, and how much each rehashing widens it; no two unit vectors are more than 2 apart.
 RADIUS, WIDER, FARTHEST = 0.6, 1.25, 2.0
-#: Queries of a group, vectors compared at once, and the number of shards by the number of classes.
-GROUP, BLOCK, SHARD = 512, 1024, 400
+#: Queries of a group, vectors compared at once (fewer while radii are sought) and the number of shards by the number of classes.
+GROUP, BLOCK, BEGIN, SHARD = 512, 1024, 256, 400
 #: Most partitions that the tasks are dealt to; one may hold several tasks, one after the other.
 PARTITIONS = 20_000
-#: Rows verified at once, and id lists that a task keeps before it drops those out of use.
-VERIFIED, KEPT = 1 << 15, 1 << 16
+#: Id lists that a task keeps before it drops those out of use.
+KEPT = 1 << 16
 
 
 def sound(vec: Column) -> Column:
@@ -92,8 +92,11 @@ class Search:
             self._begin()
         vectors, ids = np.concatenate([v for v, _ in self.waiting]), [x for _, own in self.waiting for x in own]
         self.waiting, self.size = [], 0
-        for s in range(0, len(ids), BLOCK):
-            self._block(vectors[s : s + BLOCK], ids[s : s + BLOCK])
+        at = 0
+        while at < len(ids):
+            to = at + (BLOCK if (self.last > -np.inf).all() else min(BEGIN, BLOCK))
+            self._block(vectors[at:to], ids[at:to])
+            at = to
 
     def _block(self, x: np.ndarray, ids: list) -> None:
         norm = np.linalg.norm(x, axis=1)
@@ -104,47 +107,46 @@ class Search:
         base = len(self.lists)
         self.lists += ids
         first = np.array([own[0] for own in ids], np.int64)
-        before = (self.at, self.score, self.first, self.list)
 
         def radius(of: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(0, 2 - 2 * self.last[of] / reach[of])) + 1e-9
 
-        def take(queries: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-            """Verify pairs of some queries, which forget what they took from this block before."""
-            score = np.concatenate([np.einsum("ij,ij->i", self.query[a[s : s + VERIFIED]], x[b[s : s + VERIFIED]]) for s in range(0, len(a), VERIFIED)] or [np.zeros(0)])
+        def take(a: np.ndarray, b: np.ndarray) -> None:
+            """Verify pairs, which come in order of queries, a query's at a time, and keep the best classes of each."""
+            score, edge = np.empty(len(a)), np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+            for lo, hi in zip(edge, [*edge[1:], len(a)], strict=True):
+                score[lo:hi] = np.einsum("ij,j->i", x[b[lo:hi]], self.query[a[lo]])
             good = score >= self.last[a]
             a, b, score = a[good], b[good], score[good]
-            anew = np.zeros(len(self.own), bool)
-            anew[queries] = True
-            old = anew[before[0]]
-            kept = ~anew[self.at]
-            at, value, least, number = (
-                np.concatenate([now[kept], then[old], new])
-                for now, then, new in zip((self.at, self.score, self.first, self.list), before, (a, score, first[b], base + b), strict=True)
-            )
+            at, value, least, number = (np.concatenate(pair) for pair in ((self.at, a), (self.score, score), (self.first, first[b]), (self.list, base + b)))
             order = np.lexsort((least, -value, at))
             at, value, least, number = at[order], value[order], least[order], number[order]
-            start = np.searchsorted(at, at)
-            best = np.arange(len(at)) - start <= self.k
+            best = np.arange(len(at)) - np.searchsorted(at, at) <= self.k
             self.at, self.score, self.first, self.list = at[best], value[best], least[best], number[best]
             full = np.bincount(self.at, minlength=len(self.own)) > self.k
             end = np.searchsorted(self.at, np.arange(len(self.own)), "right") - 1
             self.last[full] = self.score[end[full]]
 
         full = self.last > -np.inf
-        known, open_ = np.flatnonzero(full & (self.last <= reach * (1 + 1e-12))), np.flatnonzero(~full)
+        known, waiting = np.flatnonzero(full & (self.last <= reach * (1 + 1e-12))), np.flatnonzero(~full)
         if len(known):
             a, b = colliding_pairs(self.line[known], line, WINDOW * radius(known), self.need)
-            take(known, known[a], b)
-        r = RADIUS
-        while len(open_) and r < FARTHEST:
-            a, b = colliding_pairs(self.line[open_], line, WINDOW * r, self.need)
-            take(open_, open_[a], b)
-            open_ = open_[~((self.last[open_] > -np.inf) & (radius(open_) <= r))]
+            take(known[a], b)
+        # Wider windows hold all that narrower ones held, so only what is new is verified.
+        seen, r = np.zeros((len(self.own) if len(waiting) else 0, len(x)), bool), RADIUS
+        while len(waiting):
+            if r < FARTHEST:
+                a, b = colliding_pairs(self.line[waiting], line, WINDOW * r, self.need)
+                a = waiting[a]
+            else:
+                # Wider than any two unit vectors are apart: all is in the windows.
+                a, b = np.repeat(waiting, len(x)), np.tile(np.arange(len(x)), len(waiting))
+            new = ~seen[a, b]
+            a, b = a[new], b[new]
+            seen[a, b] = True
+            take(a, b)
+            waiting = waiting[~((self.last[waiting] > -np.inf) & (radius(waiting) <= r))] if r < FARTHEST else waiting[:0]
             r *= WIDER
-        if len(open_):
-            # Wider than any two unit vectors are apart: all is in the windows.
-            take(open_, np.repeat(open_, len(x)), np.tile(np.arange(len(x)), len(open_)))
         if len(self.lists) > KEPT:
             used, self.list = np.unique(self.list, return_inverse=True)
             self.lists = [self.lists[u] for u in used]
