@@ -113,9 +113,10 @@ class Search:
 
         def take(a: np.ndarray, b: np.ndarray) -> None:
             """Verify pairs, which come in order of queries, a query's at a time, and keep the best classes of each."""
-            score, edge = np.empty(len(a)), np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
-            for lo, hi in zip(edge, [*edge[1:], len(a)], strict=True):
-                score[lo:hi] = np.einsum("ij,j->i", x[b[lo:hi]], self.query[a[lo]])
+            score, edge = np.empty(len(a)), [*(np.flatnonzero(a[1:] != a[:-1]) + 1), len(a)]
+            for lo, hi in zip([0, *edge], edge, strict=False):
+                if hi > lo:
+                    score[lo:hi] = np.einsum("ij,j->i", x[b[lo:hi]], self.query[a[lo]])
             good = score >= self.last[a]
             a, b, score = a[good], b[good], score[good]
             at, value, least, number = (np.concatenate(pair) for pair in ((self.at, a), (self.score, score), (self.first, first[b]), (self.list, base + b)))
