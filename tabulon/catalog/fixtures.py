@@ -104,6 +104,8 @@ def oracle(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
+    if not ctes:
+        return body
     front = ", ".join(f"{n} AS ({s})" for n, s in ctes.items())
     for start, word in (("WITH RECURSIVE ", "WITH RECURSIVE "), ("WITH ", "WITH ")):
         if body.startswith(start):

@@ -16,36 +16,66 @@ from tabulon.operators.views import codebooks_in_force
 MOST_CODES, NOTE_MOST, THEME_MOST, KEYWORDS_MOST = 20, 4000, 200, 1000
 
 
-def set_columns(df: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``df`` with the columns of changed rows replaced; a null in a change is a value."""
-    new = changes.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns]).dropDuplicates(keys).withColumn("changed", F.lit(True))
-    out = df.join(new, keys, "left")
-    return out.select(*[F.when(F.col("changed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+def _fresh(name: str, *frames: DataFrame) -> str:
+    """``name`` with underscores behind it until no column of the frames has it, letter case aside."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def upsert(df: DataFrame, changes: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """Rows of ``changes`` in place of those with their keys, others stay; columns in ``keep`` keep an old value where there is one, others where the new one is null."""
-    old = df.select(*keys, *[F.col(c).alias(f"old_{c}") for c in df.columns if c not in keys])
-    both = changes.select(*[c for c in df.columns if c in changes.columns]).join(old, keys, "full")
+def last_changes(changes: DataFrame, keys: list[str], columns: list[str], name: str, at: str | None = None) -> DataFrame:
+    """Keys and one struct ``name`` of ``columns``: of several changes to a key the last by ``at``, then the greatest by its values."""
+    values = F.struct(*columns)
+    order = F.struct(F.col(at), values) if at else values
+    return changes.groupBy(*keys).agg(F.max_by(values, order).alias(name))
+
+
+def _changed(df: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], at: str | None) -> tuple[DataFrame, str]:
+    """``df`` with the last change of each row as a struct under a name that it doesn't have, null where there is none."""
+    name = _fresh("change", df)
+    return df.join(last_changes(changes, keys, columns, name, at), keys, "left"), name
+
+
+def set_columns(df: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], at: str | None = None) -> DataFrame:
+    """``df`` with the columns of changed rows replaced; a null in a change is a value.  Of several changes to a key the last by ``at`` counts."""
+    both, new = _changed(df, changes, keys, columns, at)
+    return both.select(*[F.when(F.col(new).isNotNull(), F.col(f"{new}.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def upsert(df: DataFrame, changes: DataFrame, keys: list[str], keep: list[str] = (), at: str | None = None) -> DataFrame:
+    """Rows of ``changes`` in place of those with their keys, others stay; columns in ``keep`` keep an old value where there is one, others where the new one is null.
+
+    Of several changes to a key the last by ``at`` counts, so a key gets one row.
+    A few changes are joined without moving ``df``: rows that are there take
+    theirs, and those that meet none are added.
+    """
+    columns = [c for c in df.columns if c in changes.columns and c not in keys]
+    both, new = _changed(df, changes, keys, columns, at)
 
     def pick(c: str) -> Column:
-        if c not in changes.columns:
-            return F.col(f"old_{c}").alias(c)
-        first, second = (f"old_{c}", c) if c in keep else (c, f"old_{c}")
-        return F.coalesce(first, second).alias(c)
+        first, second = (c, f"{new}.{c}") if c in keep else (f"{new}.{c}", c)
+        return F.coalesce(F.col(first), F.col(second)).alias(c)
 
-    return both.select(*[F.col(c) if c in keys else pick(c) for c in df.columns])
+    there = both.select(*[pick(c) if c in columns else F.col(c) for c in df.columns])
+    due = last_changes(changes, keys, columns, new, at)
+    met = df.select(*keys).join(due.select(*keys), keys, "left_semi").distinct()
+    added = due.join(met, keys, "left_anti")
+    return there.unionByName(added.select(*[F.col(c) if c in keys else F.col(f"{new}.{c}").alias(c) if c in columns else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
 
 
-def review_candidates(candidates: DataFrame, changes: DataFrame) -> DataFrame:
+def review_candidates(candidates: DataFrame, changes: DataFrame, at: str | None = None) -> DataFrame:
     """Candidates after changes (candidate_id, action accept, reject, restore or delete, text): an accepted one takes an edited text and is marked edited where that differs."""
-    new = changes.select("candidate_id", "action", F.nullif(F.trim("text"), F.lit("")).alias("text")).dropDuplicates(["candidate_id"])
-    both = candidates.join(new, "candidate_id", "left").where("action IS NULL OR action <> 'delete'")
-    accepts = F.coalesce(F.col("action") == "accept", F.lit(False))
-    text = F.when(accepts, F.coalesce("text", "candidate_text")).otherwise(F.col("candidate_text"))
-    status = F.when(F.col("action").isin("accept", "restore"), "accepted").when(F.col("action") == "reject", "rejected").otherwise(F.col("status"))
-    edited = F.when(accepts, F.coalesce(F.col("text") != F.col("candidate_text"), F.lit(False))).otherwise(F.col("edited"))
-    return both.withColumns({"new_text": text, "status": status, "edited": edited}).withColumn("candidate_text", F.col("new_text")).select(*candidates.columns)
+    both, new = _changed(candidates, changes, ["candidate_id"], ["action", "text"], at)
+    action, text = F.col(f"{new}.action"), F.nullif(F.trim(F.col(f"{new}.text")), F.lit(""))
+    left = both.where(action.isNull() | (action != "delete"))
+    accepts = F.coalesce(action == "accept", F.lit(False))
+    after = {
+        "candidate_text": F.when(accepts, F.coalesce(text, "candidate_text")).otherwise(F.col("candidate_text")),
+        "status": F.when(action.isin("accept", "restore"), "accepted").when(action == "reject", "rejected").otherwise(F.col("status")),
+        "edited": F.when(accepts, F.coalesce(text != F.col("candidate_text"), F.lit(False))).otherwise(F.col("edited")),
+    }
+    return left.select(*[after[c].alias(c) if c in after else F.col(c) for c in candidates.columns])
 
 
 def add_candidates(candidates: DataFrame, texts: DataFrame) -> DataFrame:
@@ -70,14 +100,18 @@ def derived_statements(candidates: DataFrame, runs: DataFrame) -> DataFrame:
     return kinds.join(made, ["run_id", "kind"], "left")
 
 
-def review_recommendations(recs: DataFrame, changes: DataFrame, scores: list[str]) -> DataFrame:
+def review_recommendations(recs: DataFrame, changes: DataFrame, scores: list[str], at: str | None = None) -> DataFrame:
     """Recommendations after changes (rec_id, action accept, reject, restore or edit, text): an edit accepts, marks and clears the scores."""
-    new = changes.select("rec_id", "action", "text").dropDuplicates(["rec_id"])
-    both = recs.join(new, "rec_id", "left")
-    edit = F.coalesce(F.col("action") == "edit", F.lit(False))
-    out = both.withColumn("status", F.when(F.col("action").isin("accept", "restore", "edit"), "accepted").when(F.col("action") == "reject", "rejected").otherwise(F.col("status")))
-    out = out.withColumn("edited", F.col("edited") | edit).withColumn("action_text", F.when(edit, F.col("text")).otherwise(F.col("action_text")))
-    return out.withColumns({c: F.when(~edit, F.col(c)) for c in scores}).select(*recs.columns)
+    both, new = _changed(recs, changes, ["rec_id"], ["action", "text"], at)
+    action = F.col(f"{new}.action")
+    edit = F.coalesce(action == "edit", F.lit(False))
+    after = {
+        "status": F.when(action.isin("accept", "restore", "edit"), "accepted").when(action == "reject", "rejected").otherwise(F.col("status")),
+        "edited": F.col("edited") | edit,
+        "action_text": F.when(edit, F.col(f"{new}.text")).otherwise(F.col("action_text")),
+        **{c: F.when(~edit, F.col(c)) for c in scores},
+    }
+    return both.select(*[after[c].alias(c) if c in after else F.col(c) for c in recs.columns])
 
 
 def add_recommendations(recs: DataFrame, own: DataFrame) -> DataFrame:
@@ -86,14 +120,14 @@ def add_recommendations(recs: DataFrame, own: DataFrame) -> DataFrame:
     return recs.unionByName(fine, allowMissingColumns=True)
 
 
-def review_synths(synths: DataFrame, changes: DataFrame, history: DataFrame, sources: DataFrame, insights: DataFrame) -> tuple[DataFrame, DataFrame]:
+def review_synths(synths: DataFrame, changes: DataFrame, history: DataFrame, sources: DataFrame, insights: DataFrame, at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(synths, history) after changes (synth_id, action accept, reject or delete); deleted ones are archived first, with their source headlines, once."""
-    new = changes.select("synth_id", "action").dropDuplicates(["synth_id"])
-    both = synths.join(new, "synth_id", "left")
-    status = F.when(F.col("action") == "accept", "accepted").when(F.col("action") == "reject", "rejected").otherwise(F.col("review_status"))
-    kept = both.where("action IS NULL OR action <> 'delete'").withColumn("review_status", status).select(*synths.columns)
+    both, new = _changed(synths, changes, ["synth_id"], ["action"], at)
+    action = F.col(f"{new}.action")
+    status = F.when(action == "accept", "accepted").when(action == "reject", "rejected").otherwise(F.col("review_status"))
+    kept = both.where(action.isNull() | (action != "delete")).withColumn("review_status", status).select(*synths.columns)
     lines = sources.join(insights.select("insight_id", "headline", "created_at"), "insight_id").groupBy("synth_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "insight_id", "headline"))).alias("l"))
-    gone = both.where("action = 'delete'").join(lines, "synth_id", "left").join(history.select("synth_id"), "synth_id", "left_anti")
+    gone = both.where(action == "delete").join(lines, "synth_id", "left").join(history.select("synth_id"), "synth_id", "left_anti")
     archived = gone.select("synth_id", "run_id", "headline", "review_status", F.coalesce(F.array_join(F.transform("l", lambda x: x["headline"]), " | "), F.lit("")).alias("source_headlines"), F.lit("researcher_deleted").alias("archived_reason"))
     return kept, history.unionByName(archived)
 
@@ -160,7 +194,7 @@ def add_codes(codes: DataFrame, codebooks: DataFrame, new: DataFrame) -> DataFra
     return codes.unionByName(made.select(*[c for c in codes.columns if c in made.columns]), allowMissingColumns=True)
 
 
-def change_codes(assignments: DataFrame, overrides: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def change_codes(assignments: DataFrame, overrides: DataFrame, changes: DataFrame, at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(assignments, overrides) after changes (doc, idx, code, action) of single turns.
 
     Assignments are (doc, idx, code, source model or researcher), overrides (doc,
@@ -169,7 +203,7 @@ def change_codes(assignments: DataFrame, overrides: DataFrame, changes: DataFram
     change nothing leave no trace.
     """
     key = ["doc", "idx", "code"]
-    one = changes.select(*key, F.col("action").alias("want")).dropDuplicates(key)
+    one = last_changes(changes, key, ["action"], "want", at).withColumn("want", F.col("want.action"))
     both = one.join(assignments, key, "left").join(overrides.select(*key, F.col("action").alias("prior")), key, "left")
     adds = (F.col("want") == "add") & F.col("source").isNull()
     removes = (F.col("want") == "remove") & F.col("source").isNotNull()
@@ -194,25 +228,25 @@ def carry_flags(codes: DataFrame, codebooks: DataFrame) -> DataFrame:
 def save_code_meta(meta: DataFrame, entries: DataFrame) -> DataFrame:
     """Code metadata after entries (doc, name, theme, note, keywords): null fields keep what is there, new rows have empty texts."""
     cut = [F.left(F.trim(c), F.lit(n)).alias(c) for c, n in (("theme", THEME_MOST), ("note", NOTE_MOST), ("keywords", KEYWORDS_MOST))]
-    new = entries.select("doc", code_key(F.col("name")).alias("code_key"), *cut).where("code_key <> ''").dropDuplicates(["doc", "code_key"])
+    new = entries.select("doc", code_key(F.col("name")).alias("code_key"), *cut).where("code_key <> ''")
     return upsert(meta, new, ["doc", "code_key"]).na.fill("", ["theme", "note", "keywords"])
 
 
-def save_notes(notes: DataFrame, changes: DataFrame, keys: list[str], column: str) -> DataFrame:
+def save_notes(notes: DataFrame, changes: DataFrame, keys: list[str], column: str, at: str | None = None) -> DataFrame:
     """Notes or respondent keys after changes: trimmed, and a blank one deletes the row."""
-    new = changes.select(*keys, F.left(F.trim(column), F.lit(NOTE_MOST)).alias(column)).dropDuplicates(keys)
-    return upsert(notes, new, keys).where(F.col(column) != "")
+    own = changes.select(*[F.left(F.trim(column), F.lit(NOTE_MOST)).alias(column) if c == column else F.col(c) for c in changes.columns])
+    return upsert(notes, own, keys, at=at).where(F.col(column) != "")
 
 
-def save_setup(settings: DataFrame, changes: DataFrame) -> DataFrame:
+def save_setup(settings: DataFrame, changes: DataFrame, at: str | None = None) -> DataFrame:
     """Transcript settings after changes; the time of the first confirmation stays."""
-    return upsert(settings, changes, ["document_id"], keep=["setup_confirmed_at"])
+    return upsert(settings, changes, ["document_id"], keep=["setup_confirmed_at"], at=at)
 
 
-def add_links(links: DataFrame, changes: DataFrame) -> DataFrame:
+def add_links(links: DataFrame, changes: DataFrame, at: str | None = None) -> DataFrame:
     """Variable links (doc, code, variable, direction, status, source) after a researcher's (doc, code, variable, direction): accepted, of the last direction."""
-    own = changes.withColumns({"status": F.lit("accepted"), "source": F.lit("researcher")}).dropDuplicates(["doc", "code", "variable"])
-    return upsert(links, own, ["doc", "code", "variable"], keep=["source"])
+    own = changes.withColumns({"status": F.lit("accepted"), "source": F.lit("researcher")})
+    return upsert(links, own, ["doc", "code", "variable"], keep=["source"], at=at)
 
 
 def refresh_negatives(cases: DataFrame, found: DataFrame) -> DataFrame:
@@ -258,6 +292,36 @@ def picked_insights(insights: DataFrame) -> DataFrame:
     return insights.withColumn("k", F.row_number().over(Window.partitionBy("finding_id").orderBy("created_at", "insight_id"))).where("k = 1").drop("k")
 
 
+def merge_attributes(attributes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Respondents' attributes (doc, speaker, attributes map) after changes of the same columns: a value replaces or adds, a null one deletes; respondents left without any go.
+
+    A respondent stands once in each table.
+    """
+    both = attributes.select("doc", "speaker", F.col("attributes").alias("before")).join(changes.select("doc", "speaker", F.col("attributes").alias("after")), ["doc", "speaker"], "full")
+    empty = F.create_map().cast(attributes.schema["attributes"].dataType)
+    before, after = (F.coalesce(c, empty) for c in ("before", "after"))
+    merged = F.map_filter(F.map_zip_with(before, after, lambda k, old, new: F.when(F.map_contains_key(after, k), new).otherwise(old)), lambda k, v: v.isNotNull())
+    return both.select("doc", "speaker", merged.alias("attributes")).where(F.size("attributes") > 0)
+
+
+def save_reading(settings: DataFrame, attributes: DataFrame, readings: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settings, attributes) after transcripts were read: how each was read (document_id, mode, resolved, notes, moderators), and all its respondents' attributes anew from (doc, speaker, field, value)."""
+    mapped = profiles.groupBy("doc", "speaker", "field").agg(F.max("value").alias("value")).groupBy("doc", "speaker").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("attributes"))
+    kept = attributes.join(readings.select(F.col("document_id").alias("doc")).distinct(), "doc", "left_anti")
+    return upsert(settings, readings, ["document_id"]), kept.select("doc", "speaker", "attributes").unionByName(mapped)
+
+
+def start_calibration(samples: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Samples (codebook_id, segment_id) with those drawn for codebooks that have none yet."""
+    return samples.unionByName(drawn.select("codebook_id", "segment_id").distinct().join(samples.select("codebook_id").distinct(), "codebook_id", "left_anti").select(*samples.columns), allowMissingColumns=True)
+
+
+def reset_calibration(samples: DataFrame, labels: DataFrame, codes: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, labels) without those of some codebooks (codebook_id): labels (segment_id, code_id, applies) go by their code."""
+    own = codes.join(books.select("codebook_id"), "codebook_id", "left_semi").select("code_id")
+    return samples.join(books.select("codebook_id"), "codebook_id", "left_anti").select(*samples.columns), labels.join(own, "code_id", "left_anti").select(*labels.columns)
+
+
 def append_manifest(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with rows (doc, codebook_id, stage, prompt, input, detail) added: prompt and input as SHA-256."""
     return manifest.unionByName(rows.select("doc", "codebook_id", "stage", F.sha2("prompt", 256).alias("prompt_sha"), F.sha2("input", 256).alias("input_sha"), "detail"))

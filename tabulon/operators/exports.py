@@ -82,12 +82,6 @@ def respondent_matrix(respondents: DataFrame, codes: list[str], books: DataFrame
     return both.select("doc", "label", "turns", *[cell(c) for c in codes])
 
 
-def workbook(sheets: dict[str, DataFrame], folder: str) -> None:
-    """Each sheet as a folder of Parquet files under its name."""
-    for name, sheet in sheets.items():
-        sheet.write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
 def write_csv(sheet: DataFrame, folder: str) -> None:
     """Files of RFC 4180: a header, commas, quotes doubled inside quoted fields."""
     sheet.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(folder)

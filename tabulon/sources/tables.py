@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.exprs import is_missing
 
-#: Value labels and columns that a statistics file may have.
+#: Value labels and columns that a statistics file may have; more are an error.
 MOST_LABELS, MOST_COLUMNS = 100_000, 100_000
 
 
@@ -17,18 +17,31 @@ def load(spark: SparkSession, path: str, tenant: str | None = None) -> DataFrame
     return df.where(F.col("tenant_id") == tenant) if tenant is not None and "tenant_id" in df.columns else df
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, types inferred, empty cells null, and ``__row``: file name and place in the file, whose order is that of ingest.
+def load_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """CSV of RFC 4180 with a header, types inferred, empty cells null, and ``__row``: the file and the place in it, whose order is that of ingest.
 
-    Files are ordered by name, lines by their offset in the file, whichever task reads them.
+    Cells may be quoted and hold line breaks and doubled quotes, so a file is read
+    by one task; files are read side by side and ordered by name.  Rows of fewer
+    cells than the header end in nulls.
     """
-    df = spark.read.csv(path, header=True, inferSchema=True, nullValue="", multiLine=False)
-    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("__row"))
+    df = spark.read.csv(path, header=header, inferSchema=True, nullValue="", multiLine=True, quote='"', escape='"')
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("__row"))
 
 
 def load_labelled(spark: SparkSession, data: str, headers: str, labels: str) -> DataFrame:
-    """A statistics file unpacked to Parquet: codes, (raw, label) headers and (column, code, label) values, as one labelled table."""
-    df, names = spark.read.parquet(data), {r["raw"]: r["label"] for r in spark.read.parquet(headers).limit(MOST_COLUMNS).collect()}
+    """A statistics file unpacked to Parquet: codes, (raw, label) headers and (column, code, label) values, as one labelled table.
+
+    Headers name columns of one file: more than MOST_COLUMNS, and two labels for
+    one column, are an error; columns without one keep their name, and headers of
+    columns that the file lacks don't count.
+    """
+    df = spark.read.parquet(data)
+    if len(df.columns) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns")
+    rows = spark.read.parquet(headers).where(F.col("raw").isin(df.columns)).select("raw", "label").distinct().limit(MOST_COLUMNS + 1).collect()
+    names = {r["raw"]: r["label"] for r in rows}
+    if len(names) < len(rows):
+        raise ValueError("a column has more than one label")
     decoded = decode_labels(clean_cells(df), spark.read.parquet(labels))
     return decoded.toDF(*unique_headers(df.columns, [names.get(c) for c in df.columns]))
 
@@ -122,12 +135,6 @@ def manifest(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
-def keep_latest(current: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows after an upsert: those of ``change`` win; fields it leaves null keep their value."""
-    old = current.select([F.col(c).alias(f"old_{c}") if c not in keys else F.col(c) for c in current.columns])
-    return change.join(old, keys, "full").select([F.col(c) if c in keys else F.coalesce(F.col(c), F.col(f"old_{c}")).alias(c) for c in current.columns])
-
-
 def blank_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """Cells that stand for nothing, as null."""
     return df.withColumns({c: F.when(~is_missing(F.col(c)), F.col(c)) for c in columns})

@@ -18,6 +18,7 @@ from tabulon.operators import saturation as S
 from tabulon.operators import tables as T
 from tabulon.operators import transcripts as R
 from tabulon.operators import validators as V
+from tabulon.operators.changes import upsert
 from tabulon.plans.components import connected_components
 from tabulon.sources import grids as G
 from tabulon.sources import tables as IO
@@ -296,7 +297,7 @@ def test_themed_paragraphs(spark):
 def test_sources(spark, tmp_path):
     assert IO.unique_headers(["q1", "q2", "q3"], ["Age", "Age", None]) == ["Age", "Age (q2)", "q3"]
     old, new = spark.createDataFrame([(1, "a", "b")], "k int, x string, y string"), spark.createDataFrame([(1, None, "c"), (2, "d", None)], "k int, x string, y string")
-    assert sorted(map(tuple, IO.keep_latest(old, new, ["k"]).collect())) == [(1, "a", "c"), (2, "d", None)]
+    assert sorted(map(tuple, upsert(old, new, ["k"]).collect())) == [(1, "a", "c"), (2, "d", None)]
     labels = spark.createDataFrame([("k", "1", "one"), ("k", "1", "eins")], "column string, code string, label string")
     assert [tuple(r) for r in IO.decode_labels(old, labels).collect()] == [("eins", "a", "b")]
     for name, text in (("a.csv", "x,y\n3,p\n1,\n"), ("b.csv", "x,y\n2,q\n")):
