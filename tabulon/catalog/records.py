@@ -13,6 +13,7 @@ from tabulon.operators import transcripts as R
 from tabulon.operators import views as V
 from tabulon.sources import store as S
 from tabulon.sources import tables as IO
+from tabulon.streaming import usage as U
 
 _SPECS: dict[str, tuple] = {}
 
@@ -168,6 +169,20 @@ def _query(name: str):
 
 QUERIES = {name: _query(name) for name in _SPECS}
 ORACLE_SQL = {name: oracle(sql, *names) for name, (_, names, sql) in _SPECS.items()}
+
+
+def _owned_usage(spark, sf_dir):
+    """Usage events by the last signup of their user within a year, summed by it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    markers = e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("at"))
+    usage = e.where("event_type <> 'signup'").select("user_id", "event_id", F.col("ts").alias("at"), F.get_json_object("props", "$.k").try_cast("double").alias("tokens"))
+    out = U.batch_totals(markers, U.own_batches(markers, usage, "user_id", reach="365 days"), "user_id")
+    return out.withColumn("batch_at", F.date_format("batch_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+QUERIES["owned_usage"] = _owned_usage
+ORACLE_SQL["owned_usage"] = """WITH m AS (SELECT DISTINCT user_id, ts AS began FROM events WHERE event_type = 'signup'), u AS (SELECT e.user_id, m.began, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS tokens FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF JOIN m ON m.user_id = e.user_id AND m.began <= e.ts WHERE m.began >= e.ts - INTERVAL 365 DAY)
+SELECT m.user_id, strftime(m.began, '%Y-%m-%d %H:%M:%S.%f') AS batch_at, count(u.user_id) AS events, floor(coalesce(sum(tokens), 0) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS tokens FROM m LEFT JOIN u USING (user_id, began) GROUP BY 1, 2"""
 QUERIES["coded_findings"] = _coded_findings
 ORACLE_SQL["coded_findings"] = f"WITH {K._CODES}, {_FOUND} SELECT * FROM found"
 QUERIES["finding_counts"] = _counts
