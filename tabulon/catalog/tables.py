@@ -43,8 +43,26 @@ def _priced(spark, sf_dir):
 
 def _patterns(spark, sf_dir):
     """Suppliers as an aggregated table: two numbers that move together, one with far values, a category."""
+    return P.table_patterns(_aggregated(spark, sf_dir), ["half", "s_acctbal", "twice", "far"], "s_suppkey")
+
+
+def _aggregated(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").withColumns({"twice": F.col("s_acctbal") * 2 + F.col("s_suppkey") % 7, "far": F.pow(F.col("s_acctbal") / 1000, 4.0), "half": F.when(F.col("s_acctbal") > 4500, "high").otherwise("low")})
-    return P.table_patterns(s.select("s_suppkey", "half", "s_acctbal", "twice", "far"), ["half", "s_acctbal", "twice", "far"], "s_suppkey")
+    return s.select("s_suppkey", "half", "s_acctbal", "twice", "far")
+
+
+def _gappy(spark, sf_dir):
+    """Orders with three prices that move together, two of them with gaps."""
+    o = _priced(spark, sf_dir)
+    return o.select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 5 != 0, F.col("adjusted")).alias("adjusted"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") * F.col("o_totalprice") / 1e6).alias("square"))
+
+
+def _charts(spark, sf_dir):
+    """Charts of the banner plan's findings; captions of shares only, as those of means round a probability."""
+    f = P.pattern_findings(_plan(spark, sf_dir).orderBy("banner_column", "stub_column", "place"), F.lit(7), F.lit(1), F.lit("banner_comparison"), "plan")
+    placed = f.withColumns({"finding_id": F.col("finding_text"), "place": F.lit(0)})
+    c = K.theme_charts(placed).withColumn("b_", F.explode("bars"))
+    return c.select("theme", "kind", F.col("a").alias("banner"), F.col("b").alias("stub"), "test", "comparisons", "significant", F.when(F.col("kind") == "categorical_crosstab", F.regexp_extract("caption", r"^\d+ of \d+", 0)).alias("caption"), "b_.label", "b_.series", "b_.value", "b_.n")
 
 
 def _plan(spark, sf_dir):
@@ -63,7 +81,10 @@ QUERIES = {
     "banner_plan_captions": lambda s, d: P.crosstab_caption(_plan(s, d)),
     "table_patterns": lambda s, d: _patterns(s, d).select("pattern", "pattern_type", "theme", "description"),
     "pattern_digest": lambda s, d: P.digest(_patterns(s, d)),
-    "pattern_findings": lambda s, d: P.pattern_findings(_patterns(s, d), F.lit(7), F.lit(1), F.col("pattern_type")).select("origin", "pattern_type", "theme", "finding_text", "status"),
+    "pattern_findings": lambda s, d: P.pattern_findings(_patterns(s, d), F.lit(7), F.lit(1), F.col("pattern_type")).select("origin", "pattern_type", "theme", "finding_text", "status", "source_cells"),
+    "pattern_rows": lambda s, d: P.pattern_rows(_aggregated(s, d), _patterns(s, d), "s_suppkey"),
+    "pattern_points": lambda s, d: T.relationship_points(_gappy(s, d), T.relationships(_gappy(s, d), ["o_totalprice", "adjusted", "square"]), "o_orderkey").select("col_a", "col_b", F.posexplode("points").alias("place", "p")).select("col_a", "col_b", "place", "p.x", "p.y"),
+    "plan_charts": lambda s, d: _charts(s, d),
     "scatter_caption": lambda s, d: P.scatter_caption(T.relationships(_lines(s, d), [*LINE_VALUES, "l_net"])),
     "crosstab_preview": lambda s, d: T.crosstab_preview(_orders(s, d), ["o_orderpriority", "o_orderstatus", "o_totalprice"], ["o_orderstatus", "o_totalprice"], "o_orderkey", {"o_totalprice"}).drop("p_value"),
     "table_digest": lambda s, d: T.table_digest(_t(s, d, "part"), ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
@@ -182,6 +203,57 @@ _LINES = "lines AS (SELECT *, l_extendedprice * (1 - 4 * l_discount) AS l_net FR
 _PRICED = "priced AS (SELECT *, o_totalprice + CASE o_orderstatus WHEN 'O' THEN 40000.0::DOUBLE WHEN 'P' THEN 80000.0::DOUBLE ELSE 0.0::DOUBLE END AS adjusted FROM orders)"
 
 
+_AGGREGATED = "agg AS (SELECT s_suppkey, CASE WHEN s_acctbal > 4500 THEN 'high' ELSE 'low' END AS half, s_acctbal, s_acctbal * 2 + s_suppkey % 7 AS twice, pow(s_acctbal / 1000, 4.0::DOUBLE) AS far FROM supplier)"
+_AGG_VALUES = ("s_acctbal", "twice", "far")
+
+
+def _patterns_sql() -> str:
+    """Differences by value column, relationships by pair, outliers by column and row, the first 25; and the rows behind them."""
+    parts, rest = [], []
+    for j, v in enumerate(_AGG_VALUES):
+        g = f"(SELECT half, count({v}) AS n, avg({v}) AS m, var_samp({v}) AS var, row_number() OVER (ORDER BY count({v}) DESC, min(s_suppkey)) AS k FROM agg GROUP BY half HAVING count({v}) >= 5)"
+        t = "(a.m - b.m) / sqrt(a.var / a.n + b.var / b.n)"
+        said = f"""'half "' || a.half || '" averages ' || {_num(_r("a.m", 2))} || ' on {v} (n=' || a.n || '), versus ' || {_num(_r("b.m", 2))} || ' for "' || b.half || '" (n=' || b.n || '): a gap of ' || {_num(_r("a.m - b.m", 2))} || ' (t=' || {_num(_r(t, 2))} || ').'"""
+        parts.append(f"SELECT 0 AS o1, 0 AS o2, {j}::BIGINT AS o3, 'segment_difference' AS pattern_type, 'half & {v}' AS theme, {said} AS description, NULL::BIGINT AS row, a.half AS cat_a, b.half AS cat_b, '{v}' AS v FROM {g} a JOIN {g} b ON a.k = 1 AND b.k = 2 WHERE abs({t}) >= 1.96")
+    for i, a in enumerate(_AGG_VALUES):
+        for j, b in list(enumerate(_AGG_VALUES))[i + 1 :]:
+            r = _r(f"corr({a}::DOUBLE, {b}::DOUBLE)", 2)
+            parts.append(f"SELECT 1, {i + 1}, {j + 1}, 'relationship', '{a} & {b}', '{a} and {b} move together across ' || count(*) || ' rows (r=' || {_num(r)} || '). Descriptive association only, not evidence of causation.', NULL, NULL, NULL, NULL FROM agg HAVING abs({r}) >= 0.3")
+    for i, v in enumerate(_AGG_VALUES):
+        rest.append(f"""c{i} AS (SELECT s_suppkey AS row, {v}::DOUBLE AS v, {v} - avg({v}) OVER () AS c FROM agg), s{i} AS (SELECT count(*) AS n, sum(c) AS s, sum(c * c) AS ss FROM c{i}),
+z{i} AS (SELECT row, v, (c - (s - c) / (n - 1)) / sqrt((ss - c * c) / (n - 1) - ((s - c) / (n - 1)) * ((s - c) / (n - 1))) AS z FROM c{i} CROSS JOIN s{i})""")
+        parts.append(f"SELECT 2, {i}, row, 'outlier', '{v}', '{v} value of ' || {_num('v')} || ' at row ' || row || ' (z=' || {_num(_r('z', 1))} || ').', row, NULL, NULL, NULL FROM z{i} WHERE abs(z) >= 2")
+    return f"{_AGGREGATED}, {', '.join(rest)}, patterns AS (SELECT row_number() OVER (ORDER BY o1, o2, o3)::INTEGER AS pattern, * FROM ({' UNION ALL '.join(parts)}) x QUALIFY row_number() OVER (ORDER BY o1, o2, o3) <= 25)"
+
+
+_PATTERNS_SQL = _patterns_sql()
+
+
+def _points_sql() -> str:
+    """300 points, evenly spaced in row order, of each pair of columns that move together."""
+    values = ["o_totalprice", "adjusted", "square"]
+    gappy = "gappy AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 5 <> 0 THEN adjusted END AS adjusted, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice * o_totalprice / 1e6 END AS square FROM priced)"
+    parts = [
+        f"""SELECT '{a}' AS col_a, '{b}' AS col_b, i::INTEGER AS place, {a} AS x, {b} AS y FROM (SELECT {a}, {b}, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n, {_r(f'corr({a}, {b}) OVER ()', 2)} AS r FROM gappy WHERE {a} IS NOT NULL AND {b} IS NOT NULL) c
+JOIN range(300) t(i) ON CASE WHEN n > 300 THEN k = floor(i * (n / 300.0::DOUBLE)) ELSE k = i END WHERE abs(r) >= 0.3"""
+        for i, a in enumerate(values)
+        for b in values[i + 1 :]
+    ]
+    return f"WITH {_PRICED}, {gappy} {' UNION ALL '.join(parts)}"
+
+
+def _charts_sql() -> str:
+    """Bars of the banner plan: shares as in the crosstab, groups of the tests of variance and pairs of means."""
+    parts = []
+    for banner, stub in (("o_orderpriority", "o_orderstatus"), ("o_orderstatus", "o_orderpriority")):
+        parts.append(f"""SELECT theme, 'categorical_crosstab' AS kind, '{banner}' AS banner, '{stub}' AS stub, NULL AS test, comparisons, significant, significant || ' of ' || comparisons AS caption, label, series, value, NULL::DOUBLE AS n
+FROM (SELECT '{banner} & {stub}' AS theme, count(*) AS comparisons, count(*) FILTER (significant) AS significant FROM plan WHERE banner_column = '{banner}' AND stub_column = '{stub}') c CROSS JOIN (SELECT s.v AS label, b.v AS series, {_r(f"(SELECT count(*) FROM orders WHERE {banner} = b.v AND {stub} = s.v) * 100.0::DOUBLE / (SELECT count(*) FROM orders WHERE {banner} = b.v)", 1)} AS value FROM (SELECT DISTINCT {banner} AS v FROM orders) b CROSS JOIN (SELECT DISTINCT {stub} AS v FROM orders) s) x""")
+    for banner in ("o_orderpriority", "o_orderstatus"):
+        own = f"FROM plan WHERE banner_column = '{banner}' AND stub_column = 'o_totalprice'"
+        parts.append(f"""SELECT '{banner} & o_totalprice', 'group_means', '{banner}', 'o_totalprice', 'anova', (SELECT count(*) {own}), (SELECT count(*) FILTER (significant AND test = 'means') {own}), NULL, {banner}, NULL, {_r("avg(o_totalprice)", 2)}, count(o_totalprice)::DOUBLE FROM orders GROUP BY {banner}""")
+    return f"WITH plan AS ({_PLAN_SQL}) {' UNION ALL '.join(parts)}"
+
+
 def _split(groups: str, label: str, place: str) -> str:
     return f"""{groups}, f AS (SELECT *, s1 / n1 - s2 / n2 AS gap, sqrt(v1 / n1 + v2 / n2) AS se FROM c WHERE n1 >= 5 AND n2 >= 5), r AS (SELECT *, {_r("gap / se", 2)} AS t FROM f WHERE se > 0)
 SELECT {label} AS label, n1 AS n_1, n2 AS n_2, {_r("s1 / n1", 2)} AS mean_1, {_r("s2 / n2", 2)} AS mean_2, {_r("gap", 2)} AS gap, t FROM r WHERE abs(t) >= 1.96 ORDER BY abs(t) DESC, {place} LIMIT 1"""
@@ -212,6 +284,12 @@ FROM r a JOIN r b ON a.k = 1 AND b.k = 2 WHERE abs((a.mean - b.mean) / sqrt(a.va
         for i, a in enumerate([*LINE_VALUES, "l_net"])
         for b in [*LINE_VALUES, "l_net"][i + 1 :]
     ),
+    "table_patterns": f"WITH {_PATTERNS_SQL} SELECT pattern, pattern_type, theme, description FROM patterns",
+    "pattern_digest": f"WITH {_PATTERNS_SQL} SELECT string_agg('- ' || description, chr(10) ORDER BY pattern) AS digest FROM patterns WHERE pattern <= 8",
+    "pattern_findings": f"WITH {_PATTERNS_SQL} SELECT 'generated' AS origin, pattern_type, theme, description AS finding_text, 'accepted' AS status, CASE WHEN row IS NOT NULL THEN '{{\"rowIndices\":[' || row || ']}}' END AS source_cells FROM patterns",
+    "pattern_rows": f"WITH {_PATTERNS_SQL} SELECT pattern, CASE WHEN half = cat_a THEN 1 ELSE 2 END AS side, s_suppkey AS row FROM patterns JOIN agg ON half IN (cat_a, cat_b) WHERE pattern_type = 'segment_difference' UNION ALL SELECT pattern, 1, row FROM patterns WHERE pattern_type = 'outlier'",
+    "pattern_points": _points_sql(),
+    "plan_charts": _charts_sql(),
     "outliers_orders": f"""WITH m AS (SELECT o_orderkey AS row, o_totalprice * o_totalprice / 1e6 AS v, o_totalprice * o_totalprice / 1e6 - avg(o_totalprice * o_totalprice / 1e6) OVER () AS c FROM orders WHERE o_totalprice IS NOT NULL),
 s AS (SELECT count(*) AS n, sum(c) AS s, sum(c * c) AS ss FROM m),
 z AS (SELECT row, v, (c - (s - c) / (n - 1)) / sqrt((ss - c * c) / (n - 1) - ((s - c) / (n - 1)) * ((s - c) / (n - 1))) AS z FROM m CROSS JOIN s)

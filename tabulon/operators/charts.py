@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.exprs import num_to_text
 from tabulon.operators import tables as T
+from tabulon.plans.lineage import cut
 
 #: Strength of a correlation by lower bound.
 STRENGTH = ((0.7, "strong"), (0.5, "moderate"))
@@ -185,7 +186,8 @@ def theme_charts(findings: DataFrame) -> DataFrame:
     kinds, about several pairs of columns, or whose statistics lack what their
     chart needs have no row.
     """
-    rows = chart_stats(findings)
+    # Each kind of chart reads the statistics anew.
+    rows = cut(chart_stats(cut(findings.select("run_id", "finding_id", "place", "origin", "pattern_type", "theme", "stated_stats"))))
     pairs = _pairs(rows)
     parts = [_crosstab_charts(pairs), _means_charts(pairs), _scatter_charts(rows), _outlier_charts(rows)]
     out = parts[0]

@@ -160,6 +160,35 @@ def relationships(df: DataFrame, values: list[str]) -> DataFrame:
     return rows.select("col_a", "col_b", "n", r.alias("r")).where(F.abs("r") >= STRONG_ENOUGH)
 
 
+#: Fixed value: most points of a relationship that are kept for drawing.
+POINTS = 300
+
+
+def relationship_points(df: DataFrame, relations: DataFrame, row: str, most: int = POINTS) -> DataFrame:
+    """(col_a, col_b, points) of each relation (col_a, col_b, n): its complete pairs (x, y) in row order, ``most`` of them evenly spaced if there are more.
+
+    All relations are ranked in one pass: a running count each of the rows that
+    have both values, range by range.  Relations are pairs of a table's first
+    columns, so they are few.
+    """
+    pairs = [(r["col_a"], r["col_b"], r["n"]) for r in relations.select("col_a", "col_b", "n").collect()]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, points array<struct<x:double,y:double>>")
+    names = sorted({c for a, b, _ in pairs for c in (a, b)})
+    values = df.select(F.col(row).alias("r"), *[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(names)])
+    at = {c: f"v_{i}" for i, c in enumerate(names)}
+    both = values.withColumns({f"b_{k}": (F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull()).cast("long") for k, (a, b, _) in enumerate(pairs)})
+    ranked = running_sum(both, "r", {f"b_{k}": f"u_{k}" for k in range(len(pairs))})
+    each = F.array(*[F.when(F.col(f"b_{k}") == 1, F.struct(F.lit(k).alias("k"), (F.col(f"u_{k}") - 1).alias("spot"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y"))) for k, (a, b, _) in enumerate(pairs)])
+    rows = ranked.select(F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    # At most ``most`` places for each relation.
+    spots = [(k, int(i * (n / most)) if n > most else i, i) for k, (_, _, n) in enumerate(pairs) for i in range(min(n, most))]
+    wanted = df.sparkSession.createDataFrame(spots, "k int, spot long, i int")
+    named = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(pairs)], "k int, col_a string, col_b string")
+    g = rows.join(F.broadcast(wanted), ["k", "spot"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", F.struct("x", "y").alias("p")))).alias("l"))
+    return g.join(F.broadcast(named), "k").select("col_a", "col_b", F.transform("l", lambda e: e["p"]).alias("points"))
+
+
 def outliers(df: DataFrame, value: str, row: str) -> DataFrame:
     """Rows two or more deviations from the mean of all others (leave-one-out in closed form); needs four values."""
     present = df.select(F.col(row).alias("row"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")

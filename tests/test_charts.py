@@ -105,3 +105,26 @@ def test_themes_of_runs_stay_apart(spark):
     got = C.theme_charts(spark.createDataFrame(rows, KIND)).collect()
     assert sorted((r.run_id, r.theme) for r in got) == [(1, C.NO_THEME), (2, C.NO_THEME)]
     assert C.theme_charts(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_points_are_complete_pairs_evenly_spaced(spark):
+    from tabulon.operators import patterns as P
+    from tabulon.operators import tables as T
+
+    rows = [(i, float(i), None if i % 4 == 0 else 2.0 * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    whole = [(x, y) for _, x, y in rows if y is not None]
+    found = T.relationships(df, ["a", "b"])
+    got = {most: [(p.x, p.y) for p in T.relationship_points(df, found, "k", most).first().points] for most in (300, 7)}
+    assert got[300] == whole and got[7] == [whole[int(i * (len(whole) / 7))] for i in range(7)]
+    assert T.relationship_points(df, found.limit(0), "k").count() == 0
+    table = spark.createDataFrame([(i, "x" if i % 2 else "y", 10.0 + i % 3 + (50 if i % 2 else 0) + (900 if i == 9 else 0)) for i in range(30)], "k long, c string, v double")
+    patterns = P.table_patterns(table, ["c", "v"], "k")
+    behind = {}
+    for r in P.pattern_rows(table, patterns, "k").collect():
+        behind.setdefault(r.pattern, set()).add(r["row"])
+    kinds = {r.pattern: r.pattern_type for r in patterns.collect()}
+    assert {k: behind[p] for p, k in kinds.items()} == {"segment_difference": set(range(30)), "outlier": {9}} or behind[max(kinds)] == {9}
+    cells = {r.pattern_type: r.source_cells for r in P.pattern_findings(patterns, C.F.lit(1), C.F.lit(1), C.F.col("pattern_type")).collect()}
+    assert cells["outlier"] == '{"rowIndices":[9]}'
+    assert P.pattern_findings(patterns, C.F.lit(1), C.F.lit(1), C.F.col("pattern_type"), "raw").count() == 0
