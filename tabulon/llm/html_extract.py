@@ -4,15 +4,16 @@ A page is cut into blocks of text, each with its root-to-leaf tag path; inline
 parts are fused with their block's path.  Blocks are aggregated by path: text
 outside links and punctuation, a block.  Both ratios are smoothed over the
 paths of one container and fused by product, and the paths that reach a share
-of the text-weighted mean are content nodes.  They mark the article's region,
-and the other blocks in it (headings, list items, cells) stay however short
-they are, but for paths that the ratios show to be menus: several short blocks
-made of links.
-
-Names are only guards.  Menus, headers, footers, asides, forms, buttons and
-elements whose class, id or role names such a thing, an advert, a notice or a
-comment list don't compete, unless all of the page's text is in one.  Where a
-page has article or main elements, only paths inside them compete.
+of the text-weighted mean are content nodes.
+
+What a page says of itself comes first.  Menus, headers, footers, asides, forms,
+buttons and elements whose class, id or role names such a thing, an advert, a
+notice or a comment list are guards: they don't compete, unless all of the
+page's text is in one.  Where there are article or main elements, the article is
+what stands in them, however short, their own headers with the title included,
+but for paths that the ratios show to be menus: several short blocks made of
+links.  Elsewhere the ratios decide: content nodes mark the article's region,
+and the other blocks in it (headings, list items, cells) stay.
 """
 
 from __future__ import annotations
@@ -48,14 +49,14 @@ THRESHOLD = 0.2
 MENU_BLOCKS, MENU_LINKS, MENU_CHARS = 3, 0.8, 40
 #: The region of a page without article and main is the smallest element with this share of the content paths' text.
 REGION = 0.9
-#: A guard is lifted if it holds so many times the text that stands outside all guards; so often at most, for guards in guards.
-LIFT, LIFTS = 20, 8
+#: A guard is lifted if it holds so many times the text that stands outside all guards; again for guards in guards, until none is.
+LIFT = 20
 #: Elements deeper than this count as parts of the one at this depth, as in browsers.
 DEPTH = 512
 
 _MARK = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _TAG = re.compile(r"[^\s/>]+")
-_STOP = re.compile("[>\"']")
+_STOP = re.compile(r""">|=[ \t\n\r\f]*(["'])""")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 _NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -95,14 +96,13 @@ def _tag_end(page: str, at: int, lost: set[str]) -> int:
         m = _STOP.search(page, at)
         if m is None:
             return -1
-        i = m.start()
-        if page[i] == ">":
-            return i
-        at = i + 1
-        if page[i] not in lost and page[max(0, i - 64) : i].rstrip()[-1:] == "=":
-            close = page.find(page[i], i + 1)
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if m[1] not in lost:
+            close = page.find(m[1], at)
             if close < 0:
-                lost.add(page[i])
+                lost.add(m[1])
             else:
                 at = close + 1
 
@@ -143,9 +143,9 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                 yield raw, at, "", False, ""
 
 
-def _guard(tag: str, attributes: str) -> str:
-    """What makes an element a guard, or ''."""
-    if tag in BOILERPLATE:
+def _guard(tag: str, attributes: str, scoped: bool) -> str:
+    """What makes an element a guard, or ''; the header of an article is part of it."""
+    if tag in BOILERPLATE and not (tag == "header" and scoped):
         return tag
     if attributes and tag not in ("html", "body"):
         for values in _NAMES.findall(attributes):
@@ -218,7 +218,7 @@ def read_page(page: str, lifted: frozenset[int] = frozenset()) -> Page:
             continue
         _, path, node, guard, scoped, link, hidden = stack[-1]
         if not guard and number not in lifted:
-            name = _guard(tag, attributes)
+            name = _guard(tag, attributes, scoped)
             if name:
                 guard, out.guard_name[number] = number, name
         if tag not in INLINE:
@@ -242,9 +242,7 @@ def unguarded(page: str) -> Page:
     """The page with those guards lifted that hold all but a little of its text, such as a form around everything."""
     lifted: frozenset[int] = frozenset()
     found = read_page(page)
-    for _ in range(LIFTS):
-        if not found.guarded:
-            break
+    while found.guarded:
         guard, size = max(found.guarded.items(), key=lambda x: (x[1], -x[0]))
         free = sum(len(b.text) for b in found.blocks)
         if size <= LIFT * free or 2 * size <= sum(found.guarded.values()) + free or NEVER.search(found.guard_name[guard]):

@@ -485,6 +485,41 @@ def test_ratios_choose_where_names_say_nothing():
     assert html_extract.main_text('<p class=x">text</p> <p title="a>b">z</p>') == "text\nz"
 
 
+@pytest.mark.parametrize("depth", [1, 8, 9, 40])
+@pytest.mark.parametrize("guard", ["form", 'div class="widget"'])
+def test_text_inside_nested_guards_stays(depth, guard):
+    body = "".join(f"<p>Sentence {i}, of the text, ends here.</p>" for i in range(30))
+    page = f"<body>{f'<{guard}>' * depth}{body}{f'</{guard.split()[0]}>' * depth}</body>"
+    assert html_extract.main_text(page) == "\n".join(f"Sentence {i}, of the text, ends here." for i in range(30))
+
+
+@pytest.mark.parametrize("blanks", [0, 1, 63, 64, 80, 5000])
+def test_quotes_may_stand_far_behind_their_sign(blanks):
+    assert html_extract.main_text(f'<article><p>Go to <a href={" " * blanks}"x>y">link</a>, now. It\'s fine.</p></article>') == "Go to link, now. It's fine."
+
+
+def test_the_header_of_an_article_holds_its_title():
+    page = "<body><header><p>Site name</p></header><article><header><h1>Title</h1><nav><a href=x>menu</a></nav></header><p>Text of it, here.</p></article></body>"
+    assert html_extract.main_text(page) == "Title\nText of it, here."
+
+
+def test_ratios_alone_find_the_article_of_varied_pages():
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9))))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    cut_short = 0
+    for k in range(20):
+        paragraphs = [" ".join(sentence(int(rng.integers(6, 15))) for _ in range(int(rng.integers(3, 7)))) for _ in range(int(rng.integers(4, 12)))]
+        items = [sentence(3) for _ in range(int(rng.integers(0, 4)))]
+        menu = "<ul>" + "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(int(rng.integers(4, 12)))) + "</ul>"
+        inner = "".join(f"<p>{p}</p>" for p in paragraphs[:2]) + ("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if items else "") + "".join(f"<p>{p}</p>" for p in paragraphs[2:])
+        shell = ("<section>{}</section>", "<div><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>")[k % 3]
+        page = f"<body><div>{menu}</div>{shell.format(inner)}<div>{menu}<span>{word()} {word()}</span></div></body>"
+        assert html_extract.main_text(page) == "\n".join(paragraphs[:2] + items + paragraphs[2:])
+        cut_short += html_extract.main_text(page, threshold=50.0) != html_extract.main_text(page)
+    assert cut_short == 20
+
+
 def test_malformed_pages_take_time_in_proportion():
     import time
 
