@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tabulon.functions.exprs import normalize_page, normalize_text
+from tabulon.plans.lineage import cut
 
 #: Least length of a fragment, least tokens, share of known tokens and of tokens in order of a near match.
 FRAGMENT_LEAST, NEAR_TOKENS, NEAR_FILTER, NEAR_SHARE = 8, 4, 0.6, 0.85
-#: Quote characters that are sought at once; more are taken in blocks.
-BLOCK_CHARS = 2_000_000
+#: Bytes of an anchor (no quote sought is shorter), bits of the bitmap of anchors, and turns looked at together.
+GRAM, SLOTS, TURNS_AT_ONCE = 8, 1 << 23, 500
 
 
 def quote_fragments(quote: Column) -> Column:
@@ -102,43 +104,64 @@ def kept_themes(themes: DataFrame, matches: DataFrame) -> DataFrame:
     return both.withColumn("kept", (F.col("match") == "exact") & ~moderator).withColumn("reason", reason).drop("match", "role")
 
 
-def quotes_in_corpus(quotes: DataFrame, turns: DataFrame) -> DataFrame:
-    """(quote_id, doc, idx): first turn of all that holds the normalised quote, a participant's before a moderator's.
+def _grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, order) of every run of eight bytes inside a text: the bytes themselves as a number, and a hash of them that orders them."""
+    data = [(x or "").encode() for x in text.to_pylist()]
+    ends = np.cumsum([len(x) for x in data], dtype=np.int64)
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    if len(whole) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(whole, GRAM)).view(np.uint64)[:, 0]
+    row = np.searchsorted(ends, np.arange(len(key)), "right")
+    inside = np.arange(len(key)) + GRAM <= ends[row]
+    row, key = row[inside], key[inside]
+    order = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return row, key, order ^ (order >> np.uint64(32))
 
-    All quotes are sought at once in one pass over the turns, by an automaton
-    that is broadcast; quotes beyond BLOCK_CHARS characters go in further passes.
-    """
-    q = quotes.select("quote_id", normalize_text(F.col("quote")).alias("q")).where(F.length("q") >= FRAGMENT_LEAST)
-    t = turns.select("doc", "idx", (F.col("role") == "moderator").alias("moderator"), normalize_text(F.col("text")).alias("t"))
-    blocks = q.withColumn("block", F.floor(F.sum(F.length("q")).over(Window.orderBy("quote_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / BLOCK_CHARS))
-    context, out = quotes.sparkSession.sparkContext, None
-    for (block,) in blocks.select("block").distinct().orderBy("block").collect():
-        own = blocks.where(F.col("block") == block).groupBy("q").agg(F.collect_list("quote_id").alias("ids")).toPandas()
-        shared = context.broadcast(list(zip(own["q"], map(list, own["ids"]), strict=True)))
-        found = t.mapInArrow(_seeker(shared), "quote_id long, doc long, idx long, moderator boolean")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return turns.limit(0).select(F.lit(0).cast("long").alias("quote_id"), F.col("doc").cast("long").alias("doc"), F.col("idx").cast("int").alias("idx"))
-    first = out.groupBy("quote_id").agg(F.min(F.struct("moderator", "doc", "idx")).alias("f"))
-    return first.select("quote_id", "f.doc", F.col("f.idx").cast("int").alias("idx"))
 
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Quotes (quote_id, q) with their anchor, the eight bytes of least hash, and its slot among ``SLOTS``."""
+    for batch in batches:
+        row, key, order = _grams(batch.column("q"))
+        line = np.lexsort((order, row))
+        first = line[np.unique(row[line], return_index=True)[1]]
+        part = batch.take(pa.array(row[first]))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key[first].view(np.int64)), pa.array((order[first] % np.uint64(SLOTS)).astype(np.int64))], names=["quote_id", "q", "anchor", "slot"])
 
-def _seeker(shared):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for text, ids in shared.value:
-            automaton.add_word(text, ids)
-        automaton.make_automaton()
-        for batch in batches:
-            rows = []
-            for doc, idx, moderator, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "idx", "moderator", "t")], strict=True):
-                rows += [(i, doc, idx, moderator) for ids in {id(v): v for _, v in automaton.iter(text or "")}.values() for i in ids]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["quote_id", "doc", "idx", "moderator"])
+def quotes_in_corpus(quotes: DataFrame, turns: DataFrame) -> DataFrame:
+    """(quote_id, doc, idx): first turn of all that holds the normalised quote, a participant's before a moderator's.
 
-    return work
+    A quote is known by its anchor, eight bytes of it.  One pass over the turns
+    keeps those that hold bytes which may be an anchor, by a bitmap of fixed size;
+    they meet the quotes in a join and are verified whole.  Shorter quotes aren't sought.
+    """
+    own = quotes.select(F.col("quote_id").cast("long").alias("quote_id"), normalize_text(F.col("quote")).alias("q")).where(F.length("q") >= FRAGMENT_LEAST)
+    anchored = cut(own.mapInArrow(_anchored, "quote_id long, q string, anchor long, slot long"))
+    # SLOTS bits, whatever the number of quotes.
+    words = anchored.select(F.floor(F.col("slot") / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    bitmap = np.zeros(SLOTS // 64, np.uint64)
+    for r in words.toLocalIterator():
+        bitmap[r["w"]] = np.int64(r["bits"]).view(np.uint64)
+    shared = quotes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, TURNS_AT_ONCE):
+                part = batch.slice(at, TURNS_AT_ONCE)
+                row, key, order = _grams(part.column("t"))
+                slot = order % np.uint64(SLOTS)
+                some = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                met = np.unique(np.stack([row[some], key[some].view(np.int64)], axis=1), axis=0)
+                rows = part.take(pa.array(met[:, 0]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(met[:, 1])], names=["doc", "idx", "moderator", "t", "anchor"])
+
+    t = turns.select(F.col("doc").cast("long").alias("doc"), F.col("idx").cast("long").alias("idx"), (F.col("role") == "moderator").alias("moderator"), normalize_text(F.col("text")).alias("t"))
+    near = t.mapInArrow(meets, "doc long, idx long, moderator boolean, t string, anchor long")
+    found = near.join(anchored.select("quote_id", "q", "anchor"), "anchor").where(F.contains("t", "q"))
+    first = found.groupBy("quote_id").agg(F.min(F.struct("moderator", "doc", "idx")).alias("f"))
+    return first.select("quote_id", "f.doc", F.col("f.idx").cast("int").alias("idx"))
 
 
 def quotes_on_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
