@@ -154,11 +154,6 @@ def themes_by_attribute(codes: DataFrame, turns: DataFrame, attributes: DataFram
     return out.select("code", "value", "with_code", "base", jround(F.col("with_code") * 100.0 / F.col("base"), 1).alias("share"), "turns", (F.col("base") < SMALL_BASE).alias("small_base"), "unknown")
 
 
-def value_order(value: Column) -> list[Column]:
-    """Order of attribute values: by their leading number where they have one, then as text."""
-    return [F.regexp_extract(value, r"^\d+", 0).try_cast("long").asc_nulls_last(), F.lower(value).asc(), value.asc()]
-
-
 def cooccurrence(codes: DataFrame, turns: DataFrame) -> DataFrame:
     """(code_a, code_b, turns, respondents): pairs of codes on one turn or voiced by one respondent, the diagonal holding each code's own count.
 

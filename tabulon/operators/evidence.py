@@ -98,26 +98,46 @@ def token_sets(df: DataFrame, key: str, text: str, group: str | None = None) ->
     words = F.sort_array(statement_tokens(F.col(text)))
     if group:
         words = F.transform(words, lambda w: F.concat(F.col(group).cast("string"), F.lit(":"), w))
-    each = df.select(F.col(key).alias("id"), words.alias("words")).where(F.size("words") > 0).withColumn("set", F.xxhash64(F.array_join("words", " ")))
-    return each.groupBy("set").agg(F.first("words").alias("words")), each.select("id", "set")
+    each = cut(df.select(F.col(key).alias("id"), words.alias("words")).where(F.size("words") > 0).withColumn("set", F.xxhash64(F.array_join("words", " "))))
+    return cut(each.groupBy("set").agg(F.first("words").alias("words"))), each.select("id", "set")
+
+
+#: Longs of 64 bits in a set's signature.
+SIGNATURE_LONGS = 4
 
 
 def similar_sets(sets: DataFrame, likeness: float = DUPLICATE_LIKENESS) -> DataFrame:
-    """Pairs (a, b, j) of different word sets with that Jaccard likeness.
+    """Pairs (a, b, j) of different word sets with that Jaccard likeness; ``sets`` is read several times, so it should be stored.
 
     Words are ordered by how many sets hold them; two alike sets share a word of
     their prefixes of n - ceil(likeness n) + 1 rarest words, so only those are
     joined.  Words that only one set holds are dropped first, which leaves
     neither side of the join an aggregate: Spark can split a hot word.
+
+    A row of the join must leave room for enough common words behind its places
+    in both prefixes (true of the first word that two alike sets share), and the
+    sets' signatures, a bit for each word, may differ in no more bits than alike
+    sets differ in words.  Both only leave out pairs that can't be alike, inside
+    the join, so hot words cost comparisons but no rows.
     """
+    hashed = F.pmod(F.xxhash64("w"), F.lit(64 * SIGNATURE_LONGS))
     tokens = sets.select("set", F.size("words").alias("n"), F.explode("words").alias("w"))
     frequency = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(frequency, "w").withColumn("k", F.row_number().over(Window.partitionBy("set").orderBy("df", "w")))
-    prefix = cut(ranked.where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * likeness - 1e-9) + 1) & (F.col("df") > 1)).select("w", "set", "n"))
-    a, b = prefix.select("w", F.col("set").alias("a"), F.col("n").alias("na")), prefix.select("w", F.col("set").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * likeness) & (F.col("nb") >= F.col("na") * likeness)).select("a", "b").distinct()
+    own = Window.partitionBy("set")
+    signature = {f"s{i}": F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == i, F.expr("shiftleft(1L, int(bit % 64))"))).over(own), F.lit(0).cast("long")) for i in range(SIGNATURE_LONGS)}
+    ranked = tokens.join(frequency, "w").withColumn("bit", hashed).withColumns({"k": F.row_number().over(own.orderBy("df", "w")), **signature})
+    prefix = cut(ranked.where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * likeness - 1e-9) + 1) & (F.col("df") > 1)).select("w", "set", "n", "k", *signature))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    total = F.col("a.n") + F.col("b.n")
+    room = F.least(F.col("a.n") - F.col("a.k"), F.col("b.n") - F.col("b.k")) + 1
+    unlike = F.lit(0)
+    for s in signature:
+        unlike = unlike + F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")))
+    fits = (room >= total * (likeness / (1 + likeness)) - 1e-9) & (unlike <= total * ((1 - likeness) / (1 + likeness)) + 1e-9)
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.set") < F.col("b.set")) & fits).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("set").alias("b"), F.col("words").alias("wb")), "b")
-    j = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    common = F.size(F.array_intersect("wa", "wb"))
+    j = common / (F.size("wa") + F.size("wb") - common)
     return both.withColumn("j", j).where(F.col("j") >= likeness).select("a", "b", "j")
 
 

@@ -284,9 +284,3 @@ def framing_prompt(brief: Column, proposal: Column) -> Column:
     """The documents of a run under their headings, each cut at 40,000 characters; null where there is neither."""
     part = lambda name, x: F.when(F.length(x) > 0, F.concat(F.lit(f"=== {name} ===\n"), F.left(x, F.lit(BRIEF_CHARS))))
     return F.nullif(F.concat_ws("\n\n", part("BRIEF", brief), part("PROPOSAL", proposal)), F.lit(""))
-
-
-def verdict_answers(answers: DataFrame) -> DataFrame:
-    """(key, tier): judged tiers that exist; others count as insufficient information."""
-    tier = F.get_json_object("answer", "$.tier")
-    return answers.select("key", F.when(tier.isin("robust", "use_with_caution", "not_supported", "insufficient_information"), tier).otherwise("insufficient_information").alias("tier"))

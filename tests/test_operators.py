@@ -179,6 +179,30 @@ def test_duplicate_statements(spark):
     assert got == {1: 1, 2: 1}
 
 
+@pytest.mark.parametrize("likeness", [0.3, 0.55, 0.8, 1.0])
+def test_similar_sets_lose_no_pair(spark, likeness):
+    """Short and long sets, families of near copies, words that nearly all hold, against every pair."""
+    rng = random.Random(11)
+    texts = []
+    for size in (1, 2, 3, 8, 40, 600):
+        for _ in range(6):
+            base = [f"w{rng.randrange(4 * size + 3)}" for _ in range(size)] + ["hot", "hotter"] * (size > 2)
+            texts += [" ".join(w for w in base if rng.random() > loss) for loss in (0, 0.02, 0.2, 0.5)]
+    texts += ["", "  ", None, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(frozenset((t or "").split()), i)
+    sets.pop(frozenset())
+    want = set()
+    for (x, a), (y, b) in itertools.combinations(sets.items(), 2):
+        if len(x & y) >= likeness * len(x | y):
+            want.add((a, b, math.floor(len(x & y) / len(x | y) * 1000 + 0.5) / 1000))
+    got = [tuple(r) for r in E.similar_statements(df, "id", "t", likeness).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (want or likeness == 1.0)
+    assert E.similar_statements(df.limit(0), "id", "t", likeness).count() == 0
+
+
 def test_archive_is_idempotent(spark):
     rows = spark.createDataFrame([(1, "rejected"), (2, "accepted")], "id long, status string")
     kept, history = E.archive(rows, rows.limit(0), "id", F.col("status") == "rejected")
@@ -324,7 +348,6 @@ def test_answers_are_validated(spark):
     said = '[{"theme":"T","headline":"H","insight_indices":[0,1,2,3,3,7]},{"theme":"","headline":"","insight_indices":[1]}]'
     assert [tuple(r) for r in V.pillars(answers(said), insights).collect()] == [(1, 0, "T", "H", "103,101,100", 1)]
     assert V.pillars(answers("[]"), insights).count() == 4
-    assert [r.tier for r in V.verdict_answers(spark.createDataFrame([(1, '{"tier":"robust"}'), (2, '{"tier":"x"}')], "key int, answer string")).orderBy("key").collect()] == ["robust", "insufficient_information"]
 
 
 def test_judge_answers_are_checked(spark):
