@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.catalog import changes, coding, evidence, judgements, records, recoding, tables, text, views
+from tabulon.catalog import answers, changes, coding, evidence, judgements, records, recoding, tables, text, views
 
-MODULES = (tables, coding, evidence, text, views, changes, recoding, judgements, records)
+MODULES = (tables, coding, evidence, text, views, changes, recoding, judgements, records, answers)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
