@@ -138,6 +138,12 @@ _CELLS = """cells AS (SELECT o_orderkey AS row, 'case' AS variable, ' C' || (o_c
 _SURVEY = f"""{_CELLS}, keyed AS (SELECT doc, speaker, CASE WHEN doc % 6 = 0 THEN ' ' ELSE 'c' || (doc % 50) END AS k FROM (SELECT DISTINCT doc, speaker FROM turns WHERE role <> 'moderator') r),
 hit AS (SELECT lower(trim(value)) AS k, min(row) AS row, count(*) AS matches FROM cells WHERE variable = 'case' GROUP BY 1), found AS (SELECT doc, speaker, row, coalesce(matches, 0) AS matches FROM keyed LEFT JOIN hit USING (k)),
 medians AS (SELECT 'price' AS variable, median(o_totalprice) AS median, count(*) AS n FROM orders UNION ALL SELECT 'percent', median((o_orderkey % 90)::DOUBLE), count(*) FROM orders)"""
+_HASH = f"list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split('{S.SAMPLE_SEED}:' || idx, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+# A step for each code in order, one for turns without a code, one for all turns; each takes what earlier steps left of its list.
+_SAMPLE = f"""pool AS (SELECT doc, idx, {_HASH} AS rank FROM turns WHERE role <> 'moderator'),
+lists AS (SELECT doc, 0 AS kind, code, {S.PER_CODE} AS most, list(idx ORDER BY rank, idx) AS l FROM pool JOIN codes USING (doc, idx) GROUP BY doc, code UNION ALL SELECT doc, 1, '', {max(2, S.SAMPLE // 3)}, list(idx ORDER BY rank, idx) FROM pool WHERE (doc, idx) NOT IN (SELECT (doc, idx) FROM codes) GROUP BY doc UNION ALL SELECT doc, 2, '', {S.SAMPLE}, list(idx ORDER BY rank, idx) FROM pool GROUP BY doc),
+steps AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY kind, code) AS s, count(*) OVER (PARTITION BY doc) AS last FROM lists),
+fold(doc, s, last, taken) AS (SELECT DISTINCT doc, 0::BIGINT, last, []::BIGINT[] FROM steps UNION ALL SELECT f.doc, f.s + 1, f.last, list_concat(f.taken, list_filter(t.l, lambda x: NOT list_contains(f.taken, x))[1:least(t.most, {S.SAMPLE} - len(f.taken))]) FROM fold f JOIN steps t ON t.doc = f.doc AND t.s = f.s + 1)"""
 _EXEMPLAR = "CASE WHEN length(t) <= 500 THEN t WHEN greatest(d1, d2, d3) > 500 / 3.0 THEN left(t, greatest(d1, d2, d3) + 1) ELSE trim(left(left(t, 500), 500 - position(' ' IN reverse(left(t, 500))))) END"
 
 
@@ -181,6 +187,7 @@ t AS (SELECT doc, count(*) FILTER (k > 1) AS duplicate_turns FROM (SELECT doc, r
 j AS (SELECT *, CASE WHEN moderator_turns > 0 THEN (total_words - participant_words)::DOUBLE / total_words END AS m FROM g LEFT JOIN q USING (doc) LEFT JOIN t USING (doc) LEFT JOIN h USING (doc))
 SELECT doc, coalesce(respondents, 0) AS respondents, participant_turns, moderator_turns, total_words, participant_words, {_R4.format(x="m")} AS moderator_word_share, {_R4.format(x="s::DOUBLE / participant_turns")} AS sentences_per_turn, {_R4.format(x="one::DOUBLE / a")} AS top_speaker_share, {_R4.format(x="three::DOUBLE / a")} AS top_three_share,
   coalesce(thin_respondents, 0) AS thin_respondents, coalesce(duplicate_turns, 0) AS duplicate_turns, {_R4.format(x="c::DOUBLE / participant_turns")} AS coded_share, coalesce(thin_themes, 0) AS thin_themes, (CASE WHEN respondents < 8 THEN 1 ELSE 0 END + CASE WHEN m > 0.4 THEN 1 ELSE 0 END + CASE WHEN respondents >= 4 AND one::DOUBLE / a > 0.3 THEN 1 ELSE 0 END)::INTEGER AS notes FROM j""",
+    "calibration_sample": f"WITH RECURSIVE {_STUDY_CODES}, {_SAMPLE} SELECT doc, unnest(taken) AS idx FROM fold WHERE s = last",
     "meaning_split": f"WITH {_STUDY_CODES}, {_ORDER}, g AS (SELECT c.doc, c.code, count(*) FILTER (position <= floor(people * 2 / 3.0)) AS early_turns, count(*) FILTER (position > floor(people * 2 / 3.0)) AS late_turns FROM codes c JOIN turns USING (doc, idx) JOIN o USING (doc, speaker) WHERE people >= 6 GROUP BY 1, 2) SELECT *, CASE WHEN early_turns < 3 OR late_turns = 0 THEN 'too_few_turns' ELSE 'ready' END AS verdict FROM g",
     "numeric_variables": f'WITH {_TURNS}, {_SURVEY} SELECT variable, median, n AS "values" FROM medians',
     "case_rows": f"WITH {_TURNS}, {_SURVEY} SELECT doc, speaker, row, matches FROM found",

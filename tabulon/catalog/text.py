@@ -134,7 +134,7 @@ def _chains(spark, sf_dir):
 
 def scalars(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", X.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), X.fnv1a(F.col("p_name")).alias("fnv"), X.code_key(F.upper("p_name")).alias("key"), X.num_to_text(F.floor("p_retailprice").cast("double")).alias("price"))
+    return p.select("p_partkey", X.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), X.fnv1a(F.concat("p_name", F.lit(" é€"))).alias("fnv"), X.code_key(F.upper("p_name")).alias("key"), X.num_to_text(F.floor("p_retailprice").cast("double")).alias("price"))
 
 
 QUERIES = {
@@ -232,7 +232,7 @@ SELECT key::INTEGER AS key, index::INTEGER AS index, one_score, 3 AS two_score,
   (key * 10) || CASE WHEN r IN (1, 2) THEN ',' || (key * 10 + r) ELSE '' END AS relied, CASE WHEN o = 2 THEN (key * 10 + 2)::VARCHAR ELSE '' END AS contradicting FROM i""",
     "objective_scores_current": oracle("SELECT run_id, coalesce(bool_and(v.item_text IS NOT DISTINCT FROM s.item_text), false) AS current FROM validations v FULL JOIN objective_scores s USING (run_id, item_order) GROUP BY 1", "validations", "objective_scores"),
     "scalar_functions": """SELECT p_partkey, left(trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-'), 60) AS slug,
-  list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS fnv,
+  list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(p_name || ' é€', ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS fnv,
   lower(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) AS key, floor(p_retailprice)::BIGINT::VARCHAR AS price FROM part""",
     "windowed_usage": "SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls, sum(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) AS tokens FROM events GROUP BY 1, 2",
 }

@@ -121,9 +121,9 @@ def join_numbered(items: Column) -> Column:
 
 
 def fnv1a(x: Column) -> Column:
-    """32-bit FNV-1a of an ASCII text."""
-    codes = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(4294967296)))
+    """32-bit FNV-1a over the UTF-16 code units of a text."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(x, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("bigint"))
+    return F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(4294967296)))
 
 
 def ordered_list(value: Column, *keys: Column) -> Column:

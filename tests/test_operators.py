@@ -44,6 +44,11 @@ def test_text_helpers(spark):
     assert one(spark, X.normalize_text(F.lit("  “A” –  b c"))) == '"a" - b c'
     assert one(spark, X.join_numbered(F.array(F.lit("a")))) == "a"
     assert one(spark, X.join_numbered(F.array(F.lit("a"), F.lit("b")))) == "1. a\n2. b"
+    assert one(spark, X.fnv1a(F.lit(""))) == 2166136261 and one(spark, X.fnv1a(F.lit(None).cast("string"))) is None
+    hashed, said = 2166136261, "naïve € 😀".encode("utf-16-be")
+    for i in range(0, len(said), 2):
+        hashed = (hashed ^ int.from_bytes(said[i : i + 2])) * 16777619 % 2**32
+    assert one(spark, X.fnv1a(F.lit("naïve € 😀"))) == hashed
     assert one(spark, X.split_numbered(F.lit("1. a\n2. b"))) == ["a", "b"]
     assert one(spark, X.cap_words(F.lit("One two. Three four five six"), F.lit(3))) == "One two."
     assert one(spark, X.cap_words(F.lit("One. two three, four five six"), F.lit(3))) == "One. two three,…"
