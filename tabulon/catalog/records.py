@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon.catalog import coding as K
 from tabulon.catalog.fixtures import oracle, tables
+from tabulon.functions import exprs as X
 from tabulon.operators import changes as C
 from tabulon.operators import coding as Q
 from tabulon.operators import judge as J
@@ -162,6 +163,26 @@ best AS (SELECT doc, code, idx, trim(text) AS t FROM ({_LONG}) x QUALIFY row_num
 found AS (SELECT n.doc, n.code, turns, speakers, idx, CASE WHEN length(t) <= 500 THEN t WHEN {_SENTENCE} > 500 / 3.0 THEN left({_HEAD}, ({_SENTENCE} + 1)::INTEGER) ELSE trim(left({_HEAD}, greatest(0, {_behind(' ')})::INTEGER)) END AS quote, (n.doc % 4)::INTEGER AS reproduced_runs, 3 AS total_runs, coalesce(theme, n.code) AS theme FROM n JOIN best USING (doc, code) LEFT JOIN themes ON themes.code = n.code)"""
 
 
+# Every turn with single blanks, capped as a headline and as a paragraph of a story are.
+def _capped(conversations):
+    said = F.regexp_replace("text", r"\s+", " ")
+    return conversations.select("conv_id", "turn", X.cap_words(said, F.lit(22)).alias("headline"), X.cap_words(said, F.lit(75)).alias("paragraph"))
+
+
+_CAP = """CASE WHEN len(w) <= {n} THEN t ELSE coalesce((SELECT array_to_string(w[1:max(i)], ' ') FROM range({low}, {n} + 1) r(i) WHERE regexp_matches(w[i], '[.!?]$') HAVING max(i) IS NOT NULL), array_to_string(w[1:{n}], ' ') || '…') END"""
+_spec("story_caps", _capped, "conversations", f"""WITH s AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM conversations), x AS (SELECT *, string_split(t, ' ') AS w FROM s)
+SELECT conv_id, turn, {_CAP.format(n=22, low=14)} AS headline, {_CAP.format(n=75, low=45)} AS paragraph FROM x""")
+
+
+# Four lines of each part as a numbered block, two of them blank or a bare number.
+def _items(part):
+    block = F.concat(F.lit("1. "), "p_name", F.lit("\n \n\t2."), "p_brand", F.lit(" \n3.\n"), "p_type", F.lit(" 4. x"))
+    return part.select("p_partkey", F.posexplode(X.split_numbered(block)).alias("place", "item"))
+
+
+_spec("numbered_items", _items, "part", "SELECT p_partkey, unnest(range(4))::INTEGER AS place, unnest([trim(p_name), trim(p_brand), '', trim(p_type) || ' 4. x']) AS item FROM part")
+
+
 def _query(name: str):
     function, names, _ = _SPECS[name]
     return lambda spark, sf_dir: function(*tables(spark, sf_dir, *names))

@@ -223,6 +223,8 @@ f(doc, k, idx, batch, used, n) AS (SELECT doc, k, idx, 0, cost, 1 FROM t WHERE k
 SELECT lower(code) AS key, first(code ORDER BY sheet, row, i) AS code, first(theme ORDER BY sheet, row, i) FILTER (theme IS NOT NULL) AS theme FROM a GROUP BY 1""",
     "coding_import": oracle("WITH q AS (SELECT doc, segment_id, idx, idx % 2 = 0 AS a, CASE WHEN idx % 3 = 0 THEN " + _FRAGMENT.replace("{a}", "6").replace("{n}", "50") + f""" END AS q FROM segments), t AS (SELECT doc, idx, role, {_normal("text")} AS t FROM segments), m AS (SELECT segment_id, bool_or(role <> 'moderator') AS ok FROM q JOIN t USING (doc) WHERE length(q) >= 8 AND contains(t, q) GROUP BY 1)
 SELECT doc, count(*) FILTER (q.idx % 3 < 2) AS quotes_total, count(*) FILTER (ok) AS quotes_matched, count(*) FILTER (NOT ok) AS in_moderator_turns, count(DISTINCT a) AS codes, count(DISTINCT a) - count(DISTINCT a) FILTER (ok) AS codes_without_quotes FROM q LEFT JOIN m USING (segment_id) GROUP BY 1""", "segments"),
+    # The score hangs on the hash modulo 3, which is that of its digits' sum.
+    "judge_roundtrip": "SELECT item_id, [1, 3, 5][1 + (list_sum(list_transform(string_split(sha256(text), ''), lambda c: position(c IN '0123456789abcdef') - 1)) % 3)::BIGINT] AS score, 'stub' AS rationale FROM benchmark QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sha256(text)) = 1",
     "answer_scores": f"""WITH i AS (SELECT key::INTEGER AS key, 0 AS place, 0 AS index, (key % 6)::INTEGER AS one_score, 'r' AS rationale FROM {_ITEMS} UNION ALL SELECT key, 1, 0, 5, 'again' FROM {_ITEMS} UNION ALL SELECT key, 2, key % 4, 1, 's' FROM {_ITEMS})
 SELECT key::INTEGER AS key, index::INTEGER AS index, one_score, 3 AS two_score, one_score + 3 AS total, rationale FROM i WHERE one_score IN (1, 3, 5) AND index < 3 QUALIFY row_number() OVER (PARTITION BY key, index ORDER BY place) = 1""",
     "answer_assignments": f"SELECT key::INTEGER AS key, 1 AS index, unnest([1, 2]) AS code FROM {_ITEMS} WHERE key <> 1 UNION ALL SELECT key::INTEGER, key::INTEGER, 3 FROM {_ITEMS} WHERE key BETWEEN 1 AND 10",

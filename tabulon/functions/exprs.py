@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Texts that count as missing after trimming and lower-casing.
 MISSING = ("", "na", "n/a", "nan", "null", "#n/a", ".")
@@ -17,6 +13,12 @@ STOPWORDS = (
 )
 #: Blanks as JavaScript's \s knows them.
 BLANK = r"[\s   -     　﻿]"
+_WORD = "[^" + BLANK[1:]
+
+
+def strip(x: Column) -> Column:
+    """Without the blanks at both ends."""
+    return F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def jround(x: Column, digits: int = 0) -> Column:
@@ -109,9 +111,9 @@ def slug(x: Column) -> Column:
 
 
 def split_numbered(x: Column) -> Column:
-    """Items of a numbered block, their numbers taken off; empty lines dropped."""
-    items = F.transform(F.split(F.coalesce(x, F.lit("")), r"\n+"), lambda s: F.trim(F.regexp_replace(F.trim(s), r"^\d+\.\s*", "")))
-    return F.filter(items, lambda s: s != "")
+    """Lines of a numbered block, their numbers taken off; blank lines dropped, a bare number leaves an empty item."""
+    lines = F.transform(F.split(F.coalesce(x, F.lit("")), r"\n"), strip)
+    return F.transform(F.filter(lines, lambda s: s != ""), lambda s: F.regexp_replace(s, rf"^\d+\.{BLANK}*", ""))
 
 
 def join_numbered(items: Column) -> Column:
@@ -132,17 +134,11 @@ def ordered_list(value: Column, *keys: Column) -> Column:
     return F.transform(rows, lambda r: r["v"])
 
 
-@F.pandas_udf(StringType())
-def cap_words(text: pd.Series, budget: pd.Series) -> pd.Series:
+def cap_words(text: Column, budget: Column) -> Column:
     """At most ``budget`` words: cut behind the last sentence that fits and keeps three fifths of it, else hard with an ellipsis."""
-
-    def one(t, n):
-        t = (t or "").strip()
-        words = t.split()
-        if len(words) <= n:
-            return t
-        ends = [m.start() + 1 for m in re.finditer(r"[.!?](?=\s|$)", t)]
-        fits = [e for e in ends if 0.6 * n <= len(t[:e].split()) <= n]
-        return t[: fits[-1]].strip() if fits else " ".join(words[:n]) + "…"
-
-    return pd.Series([one(t, int(n)) for t, n in zip(text, budget, strict=True)])
+    said = strip(F.coalesce(text, F.lit("")))
+    words = F.split(said, BLANK + "+")
+    spots = F.filter(F.sequence(F.lit(1), budget), lambda i: (i >= budget * 0.6) & F.try_element_at(words, i).rlike(r"[.!?]$"))
+    behind = F.regexp_substr(said, F.concat(F.lit(f"^(?:{_WORD}+{BLANK}+){{"), (F.array_max(spots) - 1).cast("string"), F.lit(f"}}{_WORD}+")))
+    hard = F.concat(F.array_join(F.slice(words, F.lit(1), budget), " "), F.lit("…"))
+    return F.when(F.size(words) <= budget, said).when(F.size(spots) > 0, behind).otherwise(hard)

@@ -51,6 +51,10 @@ def test_text_helpers(spark):
     assert one(spark, X.fnv1a(F.lit("naïve € 😀"))) == hashed
     assert one(spark, X.split_numbered(F.lit("1. a\n2. b"))) == ["a", "b"]
     assert one(spark, X.cap_words(F.lit("One two. Three four five six"), F.lit(3))) == "One two."
+    assert one(spark, X.split_numbered(F.lit("\t1. a\n \n2.\n3b\u00a0"))) == ["a", "", "3b"]
+    assert one(spark, X.cap_words(F.lit(" One\n two.\u00a0 Three, (four)! five six "), F.lit(4))) == "One\n two.\u00a0 Three, (four)!"
+    assert one(spark, X.cap_words(F.lit(None).cast("string"), F.lit(4))) == "" and one(spark, X.cap_words(F.lit("One"), F.lit(4))) == "One"
+    assert one(spark, X.cap_words(F.lit("One two. Three"), F.lit(1))) == "One…"
     assert one(spark, X.cap_words(F.lit("One. two three, four five six"), F.lit(3))) == "One. two three,…"
     assert one(spark, X.keyword_count(F.lit("price Priced PRICE"), F.lit("price"))) == 2
 
