@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import validators as W
 
-K = F.col("key")
-
 
 def _keys(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"))
@@ -25,11 +23,11 @@ def _range(first: int, last: int) -> Column:
 
 def _codes(spark, sf_dir):
     """Fourteen codes; the sixth has no definition, the last is called like the first, run 4 doesn't exist."""
-    keys = _keys(spark, sf_dir)
+    keys, k = _keys(spark, sf_dir), F.col("key")
 
     def code(i: Column) -> Column:
-        members = F.transform(_range(1, 4), lambda r: F.struct(r.alias("run"), ((K + i * r) % 4).alias("theme")))
-        kept = F.filter(members, lambda m: (K + i + m["run"]) % 3 > 0)
+        members = F.transform(_range(1, 4), lambda r: F.struct(r.alias("run"), ((k + i * r) % 4).alias("theme")))
+        kept = F.filter(members, lambda m: (k + i + m["run"]) % 3 > 0)
         name = F.when(i == 13, " A ").otherwise(F.char(i + 97))
         return F.struct(name.alias("name"), F.when(i == 5, " ").otherwise(F.concat(F.lit("d"), i.cast("string"))).alias("definition"), F.concat(kept, kept).alias("members"))
 
@@ -48,12 +46,12 @@ def _theme_codes(place: int, key: str) -> list[str]:
 
 def _themes(spark, sf_dir):
     """Five themes that ask for each other's codes: as a list, as a list inside a text, or as a map of names to codes."""
-    keys = _keys(spark, sf_dir)
+    keys, k = _keys(spark, sf_dir), F.col("key")
     codes = [F.array(*[F.expr(c).cast("int") for c in _theme_codes(i, "key")]) for i in range(len(_THEMES))]
     plain = F.to_json(F.array(*[F.struct(F.lit(n).alias("theme"), c.alias("codes")) for n, c in zip(_THEMES, codes, strict=True)]))
     named = F.to_json(F.struct(*[c.alias(n) for n, c in zip(_THEMES, codes, strict=True)]))
-    answer = F.when(K % 3 == 0, plain).when(K % 3 == 1, F.to_json(F.struct(plain.alias("groups")))).otherwise(named)
-    out = W.theme_groups(keys.select("key", answer.alias("answer")), keys.select("key", (K % 3 + 6).cast("int").alias("n")))
+    answer = F.when(k % 3 == 0, plain).when(k % 3 == 1, F.to_json(F.struct(plain.alias("groups")))).otherwise(named)
+    out = W.theme_groups(keys.select("key", answer.alias("answer")), keys.select("key", (k % 3 + 6).cast("int").alias("n")))
     return out.select("key", "theme", F.array_join(F.array_sort("codes"), ",").alias("codes"))
 
 
@@ -71,10 +69,10 @@ def _theme_sql() -> str:
 
 def _placements(spark, sf_dir):
     """Six placements of the codes 5 to 9: in themes 1 to 3, in a theme that isn't there, or in new ones, whose names repeat."""
-    keys = _keys(spark, sf_dir)
+    keys, k = _keys(spark, sf_dir), F.col("key")
 
     def entry(i: Column) -> Column:
-        kind, word = (K + i) % 5, K * i % 3
+        kind, word = (k + i) % 5, k * i % 3
         new = F.when(word == 0, "New").when(word == 1, " new ").otherwise("Old")
         theme = F.when(kind.between(1, 3), kind).when(kind == 4, 99)
         return F.struct((i % 5 + 5).alias("code"), theme.alias("theme"), F.when(kind == 0, new).when(kind == 4, F.when(word == 2, new).otherwise(" ")).alias("new_theme"))
@@ -86,13 +84,13 @@ def _placements(spark, sf_dir):
 
 def _pillars(spark, sf_dir):
     """Three pillars of six insights, the last without a headline; every fourth answer has none at all."""
-    keys = _keys(spark, sf_dir)
+    keys, k = _keys(spark, sf_dir), F.col("key")
     pillar = lambda theme, headline, *at: F.struct(F.lit(theme).alias("theme"), F.lit(headline).alias("headline"), F.array(*[F.expr(str(a)).cast("int") for a in at]).alias("insight_indices"))
     said = F.to_json(F.array(pillar(" T ", " H ", 0, 1, 2, "key % 6", "key % 6", 9), pillar("", "second", 5, 3), pillar("x", " ", 4)))
-    answers = keys.select("key", F.when(K % 4 == 3, "[]").otherwise(said).alias("answer"))
+    answers = keys.select("key", F.when(k % 4 == 3, "[]").otherwise(said).alias("answer"))
     i = F.col("index")
-    tier = F.when((K + i) % 4 == 0, "strong").when((K + i) % 4 == 1, "moderate").when((K + i) % 4 == 2, "exploratory")
-    insights = keys.select("key", F.explode(_range(0, 5)).alias("index")).select("key", "index", (K * 10 + i).alias("synth_id"), tier.alias("confidence_tier"), F.when((K + i) % 5 > 0, K * i % 7).alias("quality_score"), F.concat(F.lit("h"), i.cast("string")).alias("headline"))
+    tier = F.when((k + i) % 4 == 0, "strong").when((k + i) % 4 == 1, "moderate").when((k + i) % 4 == 2, "exploratory")
+    insights = keys.select("key", F.explode(_range(0, 5)).alias("index")).select("key", "index", (k * 10 + i).alias("synth_id"), tier.alias("confidence_tier"), F.when((k + i) % 5 > 0, k * i % 7).alias("quality_score"), F.concat(F.lit("h"), i.cast("string")).alias("headline"))
     return W.pillars(answers, insights)
 
 
