@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from tabulon.operators import validators as W
 
 
+#: Answers that one task makes and reads.
+_ANSWERS_EACH = 25_000
+
+
 def _keys(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"))
+    """Customers' keys, dealt out before an answer is made of each: the file is small and comes in few pieces, its answers don't."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"))
+    return keys.repartition(keys.count() // _ANSWERS_EACH + spark.sparkContext.defaultParallelism, "key")
 
 
 def _range(first: int, last: int) -> Column:

@@ -51,10 +51,20 @@ def tolerant_list(answer: pd.Series) -> pd.Series:
     return answer.map(lambda a: None if a is None or (found := find_list(a, -1)) is None else json.dumps(found))
 
 
-def items(answers: DataFrame, schema: str) -> DataFrame:
-    """(key, place, ...) of the objects in the lists of (key, answer); what can't be read gives no rows."""
+def items(answers: DataFrame, schema: str, *beside: str) -> DataFrame:
+    """(key, place, ...) of the objects in the lists of (key, answer), columns of the answer beside them; what can't be read gives no rows."""
     parsed = F.from_json(tolerant_list(F.col("answer")), f"array<struct<{schema}>>")
-    return answers.select("key", F.posexplode(parsed).alias("place", "item")).where("item IS NOT NULL").select("key", "place", "item.*")
+    return answers.select("key", *beside, F.posexplode(parsed).alias("place", "item")).where("item IS NOT NULL").select("key", *beside, "place", "item.*")
+
+
+def _beside(answers: DataFrame, rows: DataFrame, name: str, *columns: str, how: str = "inner") -> DataFrame:
+    """Answers with the key's rows in a list ``name``.
+
+    A key has one answer, and its rows are what that answer could name, so both
+    sides are one row a key.  Rows made by exploding look small to the planner,
+    which would broadcast them whole; a merge join keeps them on the executors.
+    """
+    return answers.join(rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias(name)).hint("merge"), "key", how)
 
 
 def _first(rows: DataFrame, *keys: str) -> DataFrame:
@@ -190,17 +200,25 @@ def pillars(answers: DataFrame, insights: DataFrame, most: int = MOST_PROOFS) ->
     A pillar needs a headline and a known index; its three strongest insights
     stay, by tier and then score.  Where none survives, each insight is a pillar.
     """
-    rows = items(answers, "theme: string, headline: string, insight_indices: array<int>").where(_said("headline"))
     rank = F.lit(3)
     for tier, r in CONFIDENCE_RANK.items():
         rank = F.when(F.col("confidence_tier") == tier, r).otherwise(rank)
-    each = rows.select("key", "place", F.trim("theme").alias("theme"), F.trim("headline").alias("headline"), F.posexplode(F.array_distinct("insight_indices")).alias("at", "index")).join(insights.drop("headline"), ["key", "index"])
-    w = Window.partitionBy("key", "place")
-    ranked = each.withColumn("k", F.row_number().over(w.orderBy(rank, F.desc(F.coalesce("quality_score", F.lit(0))), "at"))).withColumn("n", F.count(F.lit(1)).over(w))
-    made = ranked.where(F.col("k") <= most).groupBy("key", "place", "theme", "headline", "n").agg(F.sort_array(F.collect_list(F.struct("k", "synth_id"))).alias("l"))
-    named = made.select("key", F.col("place").alias("pillar"), F.coalesce(F.nullif("theme", F.lit("")), F.lit("Key finding")).alias("theme"), "headline", F.array_join(F.transform("l", lambda x: x["synth_id"]), ",").alias("insight_ids"), F.greatest(F.lit(0), F.col("n") - most).alias("overflow"))
-    bare = insights.join(named.select("key").distinct(), "key", "left_anti")
-    return named.union(bare.select("key", F.col("index"), F.coalesce("confidence_tier", F.lit("Key finding")), "headline", F.col("synth_id").cast("string"), F.lit(0).cast("long")))
+    ranked = insights.withColumns({"rank": rank, "worse": -F.coalesce("quality_score", F.lit(0))})
+    # Insights without an answer stay: each of them is a pillar.
+    both = _beside(answers, ranked, "insights", "index", "synth_id", "rank", "worse", "confidence_tier", "headline", how="right")
+    parsed = F.from_json(tolerant_list(F.col("answer")), "array<struct<theme: string, headline: string, insight_indices: array<int>>>")
+
+    def proofs(indices: Column) -> Column:
+        """The insights of those numbers, the strongest first."""
+        each = F.transform(F.array_distinct(indices), lambda x, at: F.transform(F.filter("insights", lambda i: i["index"] == x), lambda i: F.struct(i["rank"], i["worse"], at.alias("at"), i["synth_id"].alias("synth_id"))))
+        return F.sort_array(F.flatten(each))
+
+    placed = F.transform(F.coalesce("said", F.array().cast("array<struct<theme: string, headline: string, insight_indices: array<int>>>")), lambda x, place: F.struct(place.alias("pillar"), F.trim(x["theme"]).alias("theme"), F.trim(x["headline"]).alias("headline"), proofs(x["insight_indices"]).alias("l")))
+    fine = F.filter(placed, lambda p: (p["headline"] != "") & (F.size(p["l"]) > 0))
+    made = F.transform(fine, lambda p: F.struct(p["pillar"].alias("pillar"), F.coalesce(F.nullif(p["theme"], F.lit("")), F.lit("Key finding")).alias("theme"), p["headline"].alias("headline"), F.array_join(F.transform(F.slice(p["l"], 1, most), lambda x: x["synth_id"].cast("string")), ",").alias("insight_ids"), F.greatest(F.lit(0), F.size(p["l"]) - most).cast("long").alias("overflow")))
+    bare = F.transform("insights", lambda i: F.struct(i["index"].alias("pillar"), F.coalesce(i["confidence_tier"], F.lit("Key finding")).alias("theme"), i["headline"].alias("headline"), i["synth_id"].cast("string").alias("insight_ids"), F.lit(0).cast("long").alias("overflow")))
+    found = both.select("key", "insights", parsed.alias("said")).select("key", "insights", made.alias("made"))
+    return found.select("key", F.explode(F.when(F.size("made") > 0, F.col("made")).otherwise(bare)).alias("p")).select("key", "p.*")
 
 
 #: Findings of a request and of a pass, insights of a request and of a pass, insights and claims of a contradiction check, characters of a brief.
