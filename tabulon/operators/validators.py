@@ -100,10 +100,11 @@ def consolidated_codes(answers: DataFrame, themes_per_run: DataFrame, most: int
     (key, run, themes) don't count, and codes without one go.  Of equal names
     the first stays; at most twelve by number of runs.
     """
-    rows = items(answers, "name: string, definition: string, members: array<struct<run: int, theme: int>>").where(_said("name") & _said("definition"))
-    each = rows.select("key", "place", F.trim("name").alias("name"), F.trim("definition").alias("definition"), F.explode("members").alias("m")).select("*", "m.run", "m.theme")
-    inside = each.join(themes_per_run, ["key", "run"]).where("theme >= 1 AND theme <= themes")
-    runs = inside.groupBy("key", "place", "name", "definition").agg(F.count_distinct("run").alias("reproduced_runs"))
+    known = _beside(answers, themes_per_run, "known", "run", "themes")
+    rows = items(known, "name: string, definition: string, members: array<struct<run: int, theme: int>>", "known").where(_said("name") & _said("definition"))
+    inside = F.filter("members", lambda m: (m["theme"] >= 1) & F.exists("known", lambda k: (k["run"] == m["run"]) & (m["theme"] <= k["themes"])))
+    reproduced = F.size(F.array_distinct(F.transform(inside, lambda m: m["run"]))).cast("long")
+    runs = rows.select("key", "place", F.trim("name").alias("name"), F.trim("definition").alias("definition"), reproduced.alias("reproduced_runs")).where("reproduced_runs > 0")
     one = _first(runs.withColumn("low", F.lower("name")), "low")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("reproduced_runs"), "place"))
     return one.withColumn("rank", rank).where(F.col("rank") <= most).select("key", "rank", "name", "definition", "reproduced_runs")
@@ -144,8 +145,8 @@ def theme_groups(answers: DataFrame, codes: DataFrame) -> DataFrame:
 
     A theme that is left with one code gives it back, so themes are folded in order, a few to a codebook.
     """
-    rows = items(answers, "theme: string, codes: array<string>").where(_said("theme")).select("key", "place", F.left(F.trim("theme"), F.lit(120)).alias("theme"), _numbers("codes").alias("codes"))
-    inside = rows.join(codes, "key").withColumn("codes", F.filter("codes", lambda c: (c >= 1) & (c <= F.col("n"))))
+    rows = items(answers.join(codes.hint("merge"), "key"), "theme: string, codes: array<string>", "n").where(_said("theme")).select("key", "n", "place", F.left(F.trim("theme"), F.lit(120)).alias("theme"), _numbers("codes").alias("codes"))
+    inside = rows.withColumn("codes", F.filter("codes", lambda c: (c >= 1) & (c <= F.col("n"))))
     lined = inside.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "theme", "codes"))).alias("l"))
     empty = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<theme:string,codes:array<int>>>").alias("out"))
 

@@ -21,3 +21,14 @@ def test_pillars_stay_off_the_driver(spark):
     assert "Broadcast" not in _plan(found)
     bare = [(k, i, "strong", "own", str(i + 7), 0) for k in (0, 2) for i in (0, 1)]
     assert sorted(map(tuple, found.collect())) == sorted([(1, 0, "Key finding", "h", "8", 1), *bare])
+
+
+def test_codes_and_themes_stay_off_the_driver(spark):
+    said = '[{"name": "A", "definition": "d", "members": [{"run": 1, "theme": 2}, {"run": 1, "theme": 1}, {"run": 2, "theme": 9}, {"run": 3, "theme": 1}]}, {"name": "a ", "definition": "e", "members": [{"run": 2, "theme": 1}]}, {"name": "b", "definition": "f", "members": [{"run": 2, "theme": 3}, {"run": 1, "theme": 2}]}]'
+    themes = _keys(spark).select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("run")).withColumn("themes", F.col("run") + 1)
+    found = W.consolidated_codes(_keys(spark).select("key", F.lit(said).alias("answer")), themes)
+    assert "Broadcast" not in _plan(found)
+    assert sorted(map(tuple, found.where("key = 1").collect())) == [(1, 1, "b", "f", 2), (1, 2, "A", "d", 1)]
+    groups = W.theme_groups(_keys(spark).select("key", F.lit('{"A": [1, 2, 9], "B": [2, 3]}').alias("answer")), _keys(spark).withColumn("n", F.lit(3)))
+    assert "Broadcast" not in _plan(groups)
+    assert [tuple(r) for r in groups.where("key = 1").collect()] == [(1, "A", [1, 2])]
