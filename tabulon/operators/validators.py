@@ -163,13 +163,17 @@ def theme_groups(answers: DataFrame, codes: DataFrame) -> DataFrame:
 
 def place_leftovers(answers: DataFrame, groups: DataFrame, leftover: DataFrame) -> DataFrame:
     """(key, theme, code) of codes left over (key, code): in the theme of a number (key, number, theme), in a new theme of two, or in the holding theme."""
-    rows = _first(items(answers, "code: int, theme: int, new_theme: string").join(leftover, ["key", "code"], "left_semi").where("theme IS NOT NULL OR trim(new_theme) <> ''"), "code")
-    known = rows.join(groups.select("key", F.col("number").alias("theme"), F.col("theme").alias("name")), ["key", "theme"], "left")
-    fresh = F.lower(F.trim("new_theme"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("key", "fresh"))
-    first = F.first("label").over(Window.partitionBy("key", "fresh").orderBy("place"))
-    new = known.where("name IS NULL").where(_said("new_theme")).withColumn("fresh", fresh).withColumn("label", F.left(F.trim("new_theme"), F.lit(120))).withColumn("n", n).withColumn("label", first)
-    return known.where("name IS NOT NULL").select("key", F.col("name").alias("theme"), "code").union(new.select("key", F.when(F.col("n") >= 2, F.col("label")).otherwise(HOLDING_THEME), "code"))
+    asked = _beside(_beside(answers, leftover, "left", "code"), groups, "groups", "number", "theme", how="left")
+    told = items(asked, "code: int, theme: int, new_theme: string", "left", "groups").where(F.exists("left", lambda x: x["code"] == F.col("code")) & (F.col("theme").isNotNull() | (F.trim("new_theme") != "")))
+    named = F.transform(F.filter("groups", lambda g: g["number"] == F.col("theme")), lambda g: g["theme"])
+    known = _first(told, "code").select("key", "place", "code", "new_theme", F.explode_outer(named).alias("name"))
+    # A known theme has no part in new names; new ones need a name.
+    fresh = F.when(F.col("name").isNull(), F.lower(F.trim("new_theme")))
+    own = Window.partitionBy("key", "fresh")
+    lined = known.where(F.col("name").isNotNull() | _said("new_theme")).withColumn("fresh", fresh)
+    label = F.first(F.left(F.trim("new_theme"), F.lit(120))).over(own.orderBy("place"))
+    new = F.when(F.col("n") >= 2, F.col("label")).otherwise(HOLDING_THEME)
+    return lined.withColumns({"n": F.count(F.lit(1)).over(own), "label": label}).select("key", F.coalesce("name", new).alias("theme"), "code")
 
 
 def chain_tier(outcome: Column) -> Column:

@@ -32,3 +32,12 @@ def test_codes_and_themes_stay_off_the_driver(spark):
     groups = W.theme_groups(_keys(spark).select("key", F.lit('{"A": [1, 2, 9], "B": [2, 3]}').alias("answer")), _keys(spark).withColumn("n", F.lit(3)))
     assert "Broadcast" not in _plan(groups)
     assert [tuple(r) for r in groups.where("key = 1").collect()] == [(1, "A", [1, 2])]
+
+
+def test_placements_stay_off_the_driver(spark):
+    said = '[{"code": 5, "theme": 1}, {"code": 5, "theme": 2}, {"code": 6, "new_theme": " New "}, {"code": 7, "theme": 9, "new_theme": "new"}, {"code": 8, "new_theme": "old"}, {"code": 4, "theme": 1}, {"code": 9, "theme": 9, "new_theme": " "}]'
+    groups = _keys(spark).select("key", F.lit(1).alias("number"), F.lit("A").alias("theme"))
+    left = _keys(spark).select("key", F.explode(F.sequence(F.lit(5), F.lit(9))).alias("code"))
+    found = W.place_leftovers(_keys(spark).select("key", F.lit(said).alias("answer")), groups, left)
+    assert "Broadcast" not in _plan(found)
+    assert sorted(tuple(r) for r in found.where("key = 1").collect()) == [(1, "A", 5), (1, "New", 6), (1, "New", 7), (1, W.HOLDING_THEME, 8)]
