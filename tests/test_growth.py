@@ -1,8 +1,14 @@
 """What must hold as tables grow: nothing made by exploding is broadcast whole, and pairs aren't made to be thrown away."""
 
+from collections import Counter
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tabulon import catalog
 from tabulon.operators import validators as W
+from tabulon.operators import views as V
 
 
 def _plan(df):
@@ -41,3 +47,19 @@ def test_placements_stay_off_the_driver(spark):
     found = W.place_leftovers(_keys(spark).select("key", F.lit(said).alias("answer")), groups, left)
     assert "Broadcast" not in _plan(found)
     assert sorted(tuple(r) for r in found.where("key = 1").collect()) == [(1, "A", 5), (1, "New", 6), (1, "New", 7), (1, W.HOLDING_THEME, 8)]
+
+
+def test_claims_sort_short_lists_not_their_whole_run(spark):
+    cells = "run_id long, finding_id long, theme string, created_at long, finding_kind string, status string"
+    rows = [(i % 2, i, ("a", "b", None)[i % 3], 50 - i // 2, ("fact", "stated_insight")[i % 11 == 5], ("pending", "rejected")[i % 13 == 4]) for i in range(60)]
+    findings = spark.createDataFrame(rows, cells)
+    told = [(100, 0, "a", [2, 4, 7]), (101, 0, None, [0]), (102, 1, "b", None), (103, 1, "c", []), (104, 5, "a", [2])]
+    claims = spark.createDataFrame(told, "claim_id long, run_id long, theme string, cited array<long>")
+    found = V.evidence_pool(claims, findings, findings.where("finding_id % 7 <> 3").select("finding_id"), most=3)
+    assert not [x for x in _plan(found).splitlines() if "Window" in x and "claim_id" in x]
+    live = [r for r in rows if r[4] == "fact" and r[5] == "pending" and r[1] % 7 != 3]
+    want = []
+    for claim, run, theme, cited in told:
+        own = sorted((r for r in live if r[0] == run), key=lambda r: (r[1] not in (cited or []), r[2] != theme, r[3], r[1]))
+        want += [(claim, i, r[1]) for i, r in enumerate(own[:3])]
+    assert sorted(map(tuple, found.collect())) == want
