@@ -63,3 +63,20 @@ def test_claims_sort_short_lists_not_their_whole_run(spark):
         own = sorted((r for r in live if r[0] == run), key=lambda r: (r[1] not in (cited or []), r[2] != theme, r[3], r[1]))
         want += [(claim, i, r[1]) for i, r in enumerate(own[:3])]
     assert sorted(map(tuple, found.collect())) == want
+
+
+def _same(spark, folder, name):
+    """The query's rows over a folder against its SQL's."""
+    c = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    c.execute(f"CREATE TABLE wanted AS {catalog.ORACLE_SQL[name]}")
+    wanted = c.execute(f"SELECT {', '.join(df.columns)} FROM wanted").fetchall()
+    assert Counter(map(tuple, df.collect())) == Counter(wanted)
+
+
+@pytest.mark.parametrize("name", ["table_patterns", "pattern_findings"])
+def test_patterns_of_many_suppliers(spark, tmp_path, name):
+    duckdb.execute(f"COPY (SELECT s_suppkey + i * 1000 AS s_suppkey, s_name, s_nationkey, s_acctbal FROM '/root/testdata/sf0.1/supplier.parquet', range(6) r(i)) TO '{tmp_path}/supplier.parquet'")
+    _same(spark, tmp_path, name)
