@@ -80,3 +80,8 @@ def _same(spark, folder, name):
 def test_patterns_of_many_suppliers(spark, tmp_path, name):
     duckdb.execute(f"COPY (SELECT s_suppkey + i * 1000 AS s_suppkey, s_name, s_nationkey, s_acctbal FROM '/root/testdata/sf0.1/supplier.parquet', range(6) r(i)) TO '{tmp_path}/supplier.parquet'")
     _same(spark, tmp_path, name)
+
+
+def test_uploads_are_new_however_many_files_there_are(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT (i // 8) * 100000 + i % 8 AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, (i * 7 % 50)::INTEGER AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(16) r(i)) TO '{tmp_path}/part.parquet'")
+    _same(spark, tmp_path, "upload_register")
