@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon import catalog
+from tabulon.functions import exprs as X
 from tabulon.operators import validators as W
 from tabulon.operators import views as V
 
@@ -85,3 +86,11 @@ def test_patterns_of_many_suppliers(spark, tmp_path, name):
 def test_uploads_are_new_however_many_files_there_are(spark, tmp_path):
     duckdb.execute(f"COPY (SELECT (i // 8) * 100000 + i % 8 AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, (i * 7 % 50)::INTEGER AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(16) r(i)) TO '{tmp_path}/part.parquet'")
     _same(spark, tmp_path, "upload_register")
+
+
+def test_caps_split_a_text_once(spark):
+    shown = spark.range(1).select(X.cap_words(F.col("id").cast("string"), F.lit(75)).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count("split(") == 1
+    told = "One two. Three four? " + "five " * 9 + "end"
+    got = spark.createDataFrame([(told,)], "t string").select(X.cap_words(F.col("t"), F.lit(6)), X.cap_words(F.col("t"), F.lit(8)), X.cap_words(F.col("t"), F.lit(14))).first()
+    assert tuple(got) == ("One two. Three four?", "One two. Three four? five five five five…", told)
