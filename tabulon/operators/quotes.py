@@ -68,14 +68,15 @@ def match_quotes(quotes: DataFrame, segments: DataFrame) -> DataFrame:
     order.  Else ``none``, with the best score.  Pairs are a quote and the
     segments of its own document only.
     """
-    asked = quotes.select("quote_id", "doc", quote_fragments(F.col("quote")).alias("f"))
-    said = segments.select("doc", "idx", "speaker", "role", "text", normalize_text(F.col("text")).alias("t"))
+    # Words are cut before the join, once for each quote and segment: behind it a filter would cut them for every word it looks at.
+    asked = quotes.select("quote_id", "doc", quote_fragments(F.col("quote")).alias("f")).withColumn("q", quote_tokens(F.array_join("f", " ")))
+    said = segments.select("doc", "idx", "speaker", "role", normalize_text(F.col("text")).alias("t"), quote_tokens(F.col("text")).alias("w"))
     pairs = asked.where(F.size("f") > 0).join(said, "doc")
     first = F.struct((F.col("role") == "moderator").alias("m"), "idx", "speaker", "role")
     exact = pairs.where(in_order(F.col("f"), F.col("t"))).groupBy("quote_id", "doc").agg(F.min(first).alias("e"))
     whole = said.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "t"))), lambda x: x["t"]), " ").alias("whole"))
     spans = asked.where(F.size("f") > 0).join(whole, "doc").where(F.forall("f", lambda f: F.contains(F.col("whole"), f))).select("quote_id", "doc", F.lit(True).alias("spans"))
-    words = pairs.select("quote_id", "doc", "idx", "speaker", "role", quote_tokens(F.array_join("f", " ")).alias("q"), quote_tokens(F.col("text")).alias("w"))
+    words = pairs.select("quote_id", "doc", "idx", "speaker", "role", "q", "w")
     known = F.size(F.filter("w", lambda w: F.array_contains("q", w)))
     close = words.where((F.size("q") >= NEAR_TOKENS) & (known >= NEAR_FILTER * F.size("q"))).withColumn("score", common_in_order("q", "w") / F.size("q"))
     best = close.groupBy("quote_id", "doc").agg(F.min(F.struct((-F.col("score")).alias("s"), (F.col("role") == "moderator").alias("m"), "idx", "speaker", "role")).alias("b"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabulon import catalog
 from tabulon.functions import exprs as X
+from tabulon.operators import quotes as U
 from tabulon.operators import validators as W
 from tabulon.operators import views as V
 
@@ -94,3 +95,12 @@ def test_caps_split_a_text_once(spark):
     told = "One two. Three four? " + "five " * 9 + "end"
     got = spark.createDataFrame([(told,)], "t string").select(X.cap_words(F.col("t"), F.lit(6)), X.cap_words(F.col("t"), F.lit(8)), X.cap_words(F.col("t"), F.lit(14))).first()
     assert tuple(got) == ("One two. Three four?", "One two. Three four? five five five five…", told)
+
+
+def test_quotes_are_cut_into_words_once(spark):
+    segments = spark.createDataFrame([(1, 0, "a", "participant", "we like the cheap green tea a lot"), (1, 1, "b", "moderator", "why is that")], "doc long, idx int, speaker string, role string, text string")
+    quotes = spark.createDataFrame([(7, 1, "we like the cheap green tea lot")], "quote_id long, doc long, quote string")
+    found = U.match_quotes(quotes, segments)
+    lambdas = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "array_contains(" in x]
+    assert lambdas and not any("regexp_replace(" in x for x in lambdas)
+    assert [(r["match"], r["idx"], r["score"]) for r in found.collect()] == [("near", 0, 1.0)]
