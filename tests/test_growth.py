@@ -1,5 +1,7 @@
 """What must hold as tables grow: nothing made by exploding is broadcast whole, and pairs aren't made to be thrown away."""
 
+import itertools
+import random
 from collections import Counter
 
 import duckdb
@@ -8,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tabulon import catalog
 from tabulon.functions import exprs as X
+from tabulon.operators import evidence as E
 from tabulon.operators import quotes as U
 from tabulon.operators import validators as W
 from tabulon.operators import views as V
+from tabulon.plans import components
 
 
 def _plan(df):
@@ -104,3 +108,34 @@ def test_quotes_are_cut_into_words_once(spark):
     lambdas = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "array_contains(" in x]
     assert lambdas and not any("regexp_replace(" in x for x in lambdas)
     assert [(r["match"], r["idx"], r["score"]) for r in found.collect()] == [("near", 0, 1.0)]
+
+
+def _families(rng):
+    """Families whose texts differ in two of four words, one with strays that share only its common words or link it to another."""
+    kin = lambda name, *w: " ".join(f"{name}{x}" for x in ("one", "two", "three", "four", "five")) + " " + " ".join(f"{name}{p}{x}" for p, x in zip("pqrs", w, strict=True))
+    texts = {kin("a", *(rng.randrange(k) for k in (9, 5, 4, 3))) for _ in range(150)}
+    texts |= {kin("b", *(rng.randrange(k) for k in (4, 3, 3, 2))) for _ in range(40)}
+    texts |= {f"{t} {rng.randrange(9)}x {rng.randrange(9)}y" for t in rng.sample(sorted(texts), 20)}
+    texts |= {"aone atwo athree afour afive z1 z2 z3 z4", "aone atwo athree", "bone btwo bthree bfour bfive z1 z2 z3 z4", "alone here", "here alone now", ""}
+    return sorted(texts) * 2
+
+
+@pytest.mark.parametrize("least", [2, 64])
+def test_families_are_grouped_without_all_their_pairs(spark, monkeypatch, least):
+    made = []
+    monkeypatch.setattr(E, "connected_components", lambda edges: made.append(edges.count()) or components.connected_components(edges))
+    monkeypatch.setattr(E, "FAMILY", least, raising=False)
+    texts = _families(random.Random(5))
+    sets = [frozenset(t.split()) for t in texts]
+    root = list(range(len(texts)))
+    pairs = 0
+    for j, i in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and len(sets[i] & sets[j]) >= 0.55 * len(sets[i] | sets[j]):
+            pairs += sets[i] != sets[j]
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    size = Counter(root)
+    want = {(i, r) for i, r in enumerate(root) if size[r] > 1 and sets[i]}
+    got = E.duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t")
+    assert set(map(tuple, got.collect())) == want
+    assert pairs > 8 * len(texts) and sum(made) < 3 * len(texts)
