@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -14,7 +15,7 @@ from tabulon.operators import evidence as E
 from tabulon.operators import quotes as U
 from tabulon.operators import validators as W
 from tabulon.operators import views as V
-from tabulon.plans import components
+from tabulon.plans import components, lineage
 
 
 def _plan(df):
@@ -139,3 +140,20 @@ def test_families_are_grouped_without_all_their_pairs(spark, monkeypatch, least)
     got = E.duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t")
     assert set(map(tuple, got.collect())) == want
     assert pairs > 8 * len(texts) and sum(made) < 3 * len(texts)
+
+
+def test_signatures_tell_long_sets_apart(spark, monkeypatch):
+    """Sets of 200 words that share a third of them pass the join's bound for few pairs but the true ones."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(100)]
+    texts = [" ".join([*rng.sample(common, 80), *(f"w{rng.randrange(4000)}" for _ in range(120))]) for _ in range(60)]
+    texts += [t.rsplit(" ", 4)[0] for t in texts[:5]]
+    stored = []
+    monkeypatch.setattr(E, "cut", lambda df: stored.append(lineage.cut(df)) or stored[-1])
+    found = E.similar_statements(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()
+    prefix = next(df for df in stored if "s0" in df.columns)
+    bits = [c for c in prefix.columns if re.fullmatch(r"s\d+", c)]
+    rows = prefix.select("set", "n", *bits).distinct().collect()
+    passed = sum(sum((x ^ y).bit_count() if (x ^ y) >= 0 else ((x ^ y) + (1 << 64)).bit_count() for x, y in zip(a[2:], b[2:], strict=True)) <= (a.n + b.n) * 0.45 / 1.55 for a, b in itertools.combinations(rows, 2))
+    assert sorted((r.a, r.b) for r in found) == [(i, 60 + i) for i in range(5)]
+    assert len(rows) == 65 and 5 <= passed < 50
