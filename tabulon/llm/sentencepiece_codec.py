@@ -217,13 +217,14 @@ def codec(model: str, algorithm: str) -> Codec:
 
 
 def encode_texts(tool: Codec, texts: list[str | None], table: dict[str, bytes]) -> list[bytes]:
-    """32-bit ids of each text; ``table`` keeps the pieces of words seen before and is renewed when it is full."""
+    """32-bit ids of each text; ``table`` keeps the pieces of words seen before, of these texts' alone when it is full."""
     split = [tool.split(x or "") for x in texts]
     words = set(chain.from_iterable(split))
     new = words.difference(table)
     if len(table) + len(new) > KEPT_WORDS:
+        kept = {w: table[w] for w in words.difference(new)}
         table.clear()
-        new = words
+        table.update(kept)
     lined = sorted(w[1:] if w[:1] == MARK_FREE else MARK + w for w in new)
     for word, ids in zip(lined, tool.encode_sorted(lined), strict=True):
         table[word[1:] if word[:1] == MARK else MARK_FREE + word] = array("i", ids).tobytes()

@@ -871,3 +871,18 @@ def test_chains_lead_to_their_ends(spark):
     forms = [(f"w{i}", f"w{i + 1}") for i in range(11)] + [("a", "w5")]
     got = {r.word: r.root for r in spelling_variants.roots(spark.createDataFrame(forms, "word string, form string")).collect()}
     assert got == {w: "w11" for w, _ in forms}
+
+
+def test_a_full_table_keeps_the_words_at_hand(monkeypatch):
+    from tabulon.llm import sentencepiece_codec
+
+    tool, made = sentencepiece_codec.codec(sentencepiece_codec.MODEL, "bpe"), []
+    encode = tool.encode_sorted
+    monkeypatch.setattr(tool, "encode_sorted", lambda words: made.extend(words) or encode(words), raising=False)
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_WORDS", 5)
+    parts = [["the red tea"], ["the red cup and"], ["the red jug"], ["a  b\nthe"]]
+    table = {}
+    got = [x for part in parts for x in sentencepiece_codec.encode_texts(tool, part, table)]
+    assert got == [sentencepiece_codec.encode_texts(tool, part, {})[0] for part in parts]
+    count = made[: len(made) - sum(len(set(tool.split(p[0]))) for p in parts)]
+    assert count.count("▁the") == 1 and count.count("▁red") == 1 and len(table) <= 5
