@@ -605,6 +605,48 @@ def test_jaccard_links_rows_without_id(spark):
     assert found == Counter([(None, 38, 5), (5, 39, 5), (None, 2, None), (None, 2, None), (7, 1, 7), (None, 1, 7)])
 
 
+def test_jaccard_texts_that_share_runs_of_common_words_alone_meet_nowhere(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"common{rng.integers(20)}" if rng.random() < 0.7 else f"d{i}w{j}" for j in range(120))) for i in range(300)]
+    held, cut = [], jaccard_join.cut
+
+    def counted(frame):
+        out = cut(frame)
+        if "lead" in out.columns:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_documents(docs(spark, rows), 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90)
+    assert len(held) == 1 and held[0] < 30  # of about 3,900 signatures
+
+
+def test_jaccard_order_of_a_token_is_the_same_in_every_set():
+    cost = np.random.default_rng(5).integers(0, 18, 1 << jaccard_join.SLOT_BITS).astype(np.uint8)
+    base = [f"w{i % 37}x{i % 11}" for i in range(200)]
+    texts = pa.array([" ".join(base), " ".join(base[50:150]), None, "one two", " ".join(["more", *base[::-1], *base])])
+    values, off = jaccard_join.ordered_sets(texts, 3, cost)
+    plain, plain_off = words.shingle_sets(texts, 3, lower=True)
+    assert off.tolist() == plain_off.tolist()
+    place = {}
+    for i in range(len(texts)):
+        own = values[off[i] : off[i + 1]].tolist()
+        assert sorted(own) == plain[off[i] : off[i + 1]].tolist()
+        place[i] = {t: at for at, t in enumerate(own)}
+    for i in (0, 4):
+        both = sorted(set(place[1]) & set(place[i]), key=place[1].get)
+        assert both and both == sorted(both, key=place[i].get)
+
+
+def test_documents_that_surely_stay_are_told_without_a_join(spark):
+    frame = spark.range(1000).selectExpr("id AS doc_id").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    got = jaccard_join.may_hold(frame, frame.where("doc_id % 100 = 7"))
+    marked = {r.doc_id for r in got.where("nd_may").collect()}
+    assert got.count() == 1001 and {7 + 100 * i for i in range(10)} <= marked and len(marked) < 30
+    assert jaccard_join.may_hold(frame, frame.limit(0)).where("NOT nd_may").count() == 1001
+
+
 def test_vectors_that_share_an_id_have_each_their_own_links(spark):
     e = np.eye(4)
     rows = [(1, e[0]), (1, e[1]), (2, e[0] + 0.01), (3, e[1] + 0.01), (4, e[2]), (None, e[3]), (None, e[3]), (None, e[3] + 0.01), (9, e[3] + 0.02)]
